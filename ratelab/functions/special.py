@@ -1,8 +1,9 @@
 """Log-gamma and its first two derivatives as column expressions.
 
-Each shifts its positive argument up by eight and uses the asymptotic series
-there (Abramowitz and Stegun 6.1.41, 6.3.18, 6.4.12). They stay inside
-generated code, so a likelihood over counts needs no Python on the row path.
+Each takes SQL text for a positive double, shifts it up by eight and uses the
+asymptotic series there (Abramowitz and Stegun 6.1.41, 6.3.18, 6.4.12). They
+stay inside generated code, so a likelihood over counts needs no Python on the
+row path. Text keeps building them cheap: each is one parse.
 """
 
 from __future__ import annotations
@@ -13,33 +14,29 @@ SHIFT = 8
 HALF_LOG_TWO_PI = 0.9189385332046727
 
 
-def log_gamma(x: Column) -> Column:
-    z = x + SHIFT
-    product = x
-    for k in range(1, SHIFT):
-        product = product * (x + k)
-    r = 1 / z
-    r2 = r * r
-    series = r * (1 / 12 - r2 * (1 / 360 - r2 * (1 / 1260 - r2 * (1 / 1680 - r2 / 1188))))
-    return (z - 0.5) * F.log(z) - z + HALF_LOG_TWO_PI + series - F.log(product)
-
-
-def digamma(x: Column) -> Column:
-    z = x + SHIFT
-    shifted = 1 / x
-    for k in range(1, SHIFT):
-        shifted = shifted + 1 / (x + k)
-    r2 = 1 / (z * z)
-    series = r2 * (1 / 12 - r2 * (1 / 120 - r2 * (1 / 252 - r2 * (1 / 240 - r2 / 132))))
-    return F.log(z) - 0.5 / z - series - shifted
-
-
-def trigamma(x: Column) -> Column:
-    z = x + SHIFT
-    shifted = 1 / (x * x)
-    for k in range(1, SHIFT):
-        shifted = shifted + 1 / ((x + k) * (x + k))
-    r = 1 / z
-    r2 = r * r
-    series = r * r2 * (1 / 6 - r2 * (1 / 30 - r2 * (1 / 42 - r2 * (1 / 30 - r2 * 5 / 66))))
-    return r + 0.5 * r2 + series + shifted
+def _shifted(x: str) -> list[str]:
+    return [f"(({x}) + {k}D)" for k in range(SHIFT)]
+
+
+def log_gamma(x: str) -> Column:
+    z = f"(({x}) + {SHIFT}D)"
+    r, r2 = f"(1D / {z})", f"(1D / ({z} * {z}))"
+    series = f"{r} * (1D/12 - {r2} * (1D/360 - {r2} * (1D/1260 - {r2} * (1D/1680 - {r2} / 1188D))))"
+    product = " * ".join(_shifted(x))
+    return F.expr(f"({z} - 0.5D) * ln({z}) - {z} + {HALF_LOG_TWO_PI}D + {series} - ln({product})")
+
+
+def digamma(x: str) -> Column:
+    z = f"(({x}) + {SHIFT}D)"
+    r2 = f"(1D / ({z} * {z}))"
+    series = f"{r2} * (1D/12 - {r2} * (1D/120 - {r2} * (1D/252 - {r2} * (1D/240 - {r2} / 132D))))"
+    steps = " + ".join(f"1D / {s}" for s in _shifted(x))
+    return F.expr(f"ln({z}) - 0.5D / {z} - {series} - ({steps})")
+
+
+def trigamma(x: str) -> Column:
+    z = f"(({x}) + {SHIFT}D)"
+    r, r2 = f"(1D / {z})", f"(1D / ({z} * {z}))"
+    series = f"{r} * {r2} * (1D/6 - {r2} * (1D/30 - {r2} * (1D/42 - {r2} * (1D/30 - {r2} * 5D/66))))"
+    steps = " + ".join(f"1D / ({s} * {s})" for s in _shifted(x))
+    return F.expr(f"{r} + 0.5D * {r2} + {series} + {steps}")

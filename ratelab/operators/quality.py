@@ -57,6 +57,6 @@ def missing_numerator(
     return totals.filter((F.col(persons) > 0) & none).select(*by, persons)
 
 
-def periods_without_events(population: DataFrame, activity: DataFrame, name: str = "month_no") -> DataFrame:
-    """Periods in the population cells that no activity cell has."""
-    return population.select(name).distinct().join(activity.select(name).distinct(), name, "left_anti")
+def periods_without_events(population: DataFrame, activity: DataFrame, *by: str) -> DataFrame:
+    """Periods (or other ``by`` groups) of the population that no activity row has."""
+    return population.select(*by).distinct().join(activity.select(*by).distinct(), list(by), "left_anti")

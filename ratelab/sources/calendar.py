@@ -46,6 +46,16 @@ def monthly(spark: SparkSession, start: date, count: int) -> Calendar:
     return rolling(spark, start, count, 1)
 
 
+def spanning(df: DataFrame, when: str, width: int = 1) -> Calendar:
+    """Windows of ``width`` months starting in every month the dates cover."""
+    facts = df.agg(F.min(when).alias("low"), F.max(when).alias("high")).first()
+    low, high = facts["low"], facts["high"]
+    if low is None:
+        raise ValueError(f"{when} has no dates")
+    count = (high.year - low.year) * 12 + high.month - low.month + 1
+    return rolling(df.sparkSession, date(low.year, low.month, 1), count, width)
+
+
 def from_table(df: DataFrame) -> Calendar:
     """Use a stored calendar, after checking that month_no names one window."""
     periods = df.select(*COLUMNS)
