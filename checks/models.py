@@ -22,6 +22,7 @@ from ratelab.models.design import (
 )
 from ratelab.models.fit import fit
 from ratelab.models.inference import compare_aic, forest_table, sequential_deviance, summary, tidy
+from ratelab.models.mixed import GAUSSIAN, fit_random_intercept, tidy_mixed
 from ratelab.operators.membership import events_in_periods
 from ratelab.plans import study
 from ratelab.scratch import Scratch
@@ -354,3 +355,34 @@ def spline_basis(spark, sf_dir):
     basis = natural_spline(F.col("month_no").cast("double"), F.col("low"), F.col("high"), (4.0, 8.0))
     out = seen.join(ends).select("month_no", "n", *[b.alias(f"s{i + 1}") for i, b in enumerate(basis)])
     return rounded(out, "s1", "s2", "s3")
+
+
+# --- random intercepts ----------------------------------------------------------
+
+
+def _mixed(spark, sf_dir, family, exposed="deprived", extra=()):
+    model = RateModel("attends", (*study.AGE_SEX, Numeric(exposed), *extra), family)
+    with Scratch(spark) as scratch:
+        fitted = fit_random_intercept(model_table(spark, sf_dir), model, "borough", scratch)
+    table = tidy_mixed(fitted, spark).withColumn("status", F.lit(fitted.status))
+    return table.withColumns({"spread": F.lit(fitted.spread), "loglik": F.lit(fitted.loglik)})
+
+
+@query("mixed_intercept_poisson")
+def mixed_poisson(spark, sf_dir):
+    return _mixed(spark, sf_dir, POISSON)
+
+
+@query("mixed_intercept_poisson_season")
+def mixed_poisson_season(spark, sf_dir):
+    return _mixed(spark, sf_dir, POISSON, "deprived2", study.SEASON)
+
+
+@query("mixed_intercept_nb")
+def mixed_nb(spark, sf_dir):
+    return _mixed(spark, sf_dir, NEGATIVE_BINOMIAL)
+
+
+@query("mixed_intercept_gaussian")
+def mixed_gaussian(spark, sf_dir):
+    return _mixed(spark, sf_dir, GAUSSIAN)

@@ -147,11 +147,15 @@ class Design:
     def names(self) -> list[str]:
         return [INTERCEPT, *[n for block in self.blocks for n in block]]
 
+    @cached_property
+    def bounds(self) -> list[str]:
+        """Columns holding each spline's outer knots in a model."""
+        return [f"{end}{i}" for i in range(len(self.model.splines)) for end in ("low", "high")]
+
     def _basis(self, term: NaturalSpline) -> list[Column]:
         i = self.model.splines.index(term)
-        bounds = F.col("bounds")
         x = F.col(term.column).cast("double")
-        return natural_spline(x, bounds[2 * i], bounds[2 * i + 1], term.knots)
+        return natural_spline(x, F.col(self.bounds[2 * i]), F.col(self.bounds[2 * i + 1]), term.knots)
 
     @cached_property
     def row(self) -> Column:

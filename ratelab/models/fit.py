@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ratelab.models.design import (
     NEGATIVE_BINOMIAL,
+    POISSON,
     Design,
     RateModel,
     compress,
@@ -182,9 +183,8 @@ def _facts(rows: DataFrame, model: RateModel) -> list:
     )
 
 
-def _fit_rows(rows: DataFrame, patterns: DataFrame, design: Design) -> FitResult:
+def _fit_rows(rows: DataFrame, patterns: DataFrame, design: Design, facts: list) -> FitResult:
     model = design.model
-    facts = _facts(rows, model)
     models = [r["model_id"] for r in facts]
     p, m = len(design.names), len(models)
     bounds = np.zeros((m, 2 * len(model.splines)))
@@ -208,10 +208,13 @@ def _fit_rows(rows: DataFrame, patterns: DataFrame, design: Design) -> FitResult
     if not todo:
         if len(models) == 1 and status[0] == NOT_IDENTIFIED:
             raise ValueError(f"the spline is not identified on a range of {bounds[0].tolist()}")
-        blank = Stats(np.zeros((m, p)), np.zeros((m, p, p)), {})
-        return FitResult(design, likelihood, models, np.zeros(m), bounds, b, free, theta, status, blank, np.zeros((m, p, p)))
+        blank = Stats(np.zeros((m, p, p)), {"sr": np.zeros((m, p))}, {"ll": np.zeros(m)})
+        cells = np.array([r["cells"] for r in facts])
+        return FitResult(
+            design, likelihood, models, cells, bounds, b, free, theta, status, blank, np.zeros((m, p, p))
+        )
     names = [models[i] for i in todo]
-    poisson = Likelihood(rows if nb else patterns, design, False)
+    poisson = Likelihood(patterns, design, False)
     # Which columns are independent does not depend on the weights.
     first = poisson(names, b[todo], bounds[todo])
     free[todo] = [independent(m) for m in first.info]
@@ -229,11 +232,7 @@ def _fit_rows(rows: DataFrame, patterns: DataFrame, design: Design) -> FitResult
     for k, i in enumerate(todo):
         status[i] = solution.status[k]
     part = likelihood(names, b[todo], bounds[todo], theta[todo], full=True)
-    stats = Stats(
-        _spread(part.score, todo, m),
-        _spread(part.info, todo, m),
-        {k: _spread(v, todo, m) for k, v in part.scalars.items()},
-    )
+    stats = part.spread(todo, m)
     covariance = np.zeros((m, p, p))
     for i in todo:
         f = free[i]
@@ -242,12 +241,6 @@ def _fit_rows(rows: DataFrame, patterns: DataFrame, design: Design) -> FitResult
     return FitResult(design, likelihood, models, cells, bounds, b, free, theta, status, stats, covariance)
 
 
-def _spread(values: np.ndarray, todo: list[int], m: int) -> np.ndarray:
-    out = np.zeros((m, *values.shape[1:]))
-    out[todo] = values
-    return out
-
-
 def fit_slices(
     df: DataFrame, model: RateModel, scratch: Scratch, by: str | None = None, name: str = "model"
 ) -> Iterator[FitResult]:
@@ -266,14 +259,17 @@ def fit_slices(
     if slices > 1:
         of = F.pmod(F.xxhash64("model_id"), F.lit(slices)).cast("int")
         rows = scratch.keep(rows.withColumn("slice", of), f"{name}_sliced", partition_by="slice")
-    patterns = scratch.keep(sum_events(rows, model), f"{name}_patterns") if slices == 1 else None
-    for s in range(max(slices, 1)):
-        part = rows if slices <= 1 else rows.filter(F.col("slice") == s).drop("slice")
-        if part.isEmpty():
-            if slices > 1:
-                continue
+    for number in range(max(slices, 1)):
+        part = rows if slices <= 1 else rows.filter(F.col("slice") == number).drop("slice")
+        facts = _facts(part, model)
+        if not facts and slices > 1:
+            continue
+        if not facts:
             raise ValueError("no complete cases with people to fit")
-        yield _fit_rows(part, sum_events(part, model) if patterns is None else patterns, design)
+        patterns = part
+        if model.family == POISSON:
+            patterns = scratch.keep(sum_events(part, model), f"{name}_patterns{number}")
+        yield _fit_rows(part, patterns, design, facts)
 
 
 def fit(df: DataFrame, model: RateModel, scratch: Scratch, by: str | None = None, name: str = "model") -> FitResult:

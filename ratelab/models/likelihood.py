@@ -18,8 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ratelab.functions import special
 from ratelab.models.design import Design
 
-STATE = ["fit_id", "model_id", "b", "bounds", "theta", "lg_theta", "dg_theta", "tg_theta"]
-SCALARS = ["ll", "dtheta", "ddtheta", "excess", "mu2", "pearson", "deviance"]
+STATE = ["fit_id", "model_id", "b", "theta", "lg_theta", "dg_theta", "tg_theta"]
 
 
 def _series(theta: float) -> tuple[float, float, float]:
@@ -38,19 +37,40 @@ def _series(theta: float) -> tuple[float, float, float]:
 
 @dataclass
 class Stats:
-    """Arrays over fits."""
+    """Arrays over fits: sums of x x' w, of x times each vector weight, and of scalars."""
 
-    score: np.ndarray
     info: np.ndarray
+    vectors: dict[str, np.ndarray]
     scalars: dict[str, np.ndarray]
 
+    @property
+    def score(self) -> np.ndarray:
+        return self.vectors["sr"]
+
     @property
     def ll(self) -> np.ndarray:
         return self.scalars["ll"]
 
+    def spread(self, where: list[int], size: int) -> "Stats":
+        """The same among ``size`` fits, zero for those not in ``where``."""
+
+        def place(values: np.ndarray) -> np.ndarray:
+            out = np.zeros((size, *values.shape[1:]))
+            out[where] = values
+            return out
+
+        return Stats(
+            place(self.info),
+            {k: place(v) for k, v in self.vectors.items()},
+            {k: place(v) for k, v in self.scalars.items()},
+        )
+
 
 class Likelihood:
-    """Evaluates fits of one design over ``rows``; ``theta`` None means Poisson."""
+    """Evaluates fits of one design over ``rows``, Poisson or negative binomial."""
+
+    # Weights whose products with the design columns are summed.
+    vectors = ["sr"]
 
     def __init__(self, rows: DataFrame, design: Design, negative_binomial: bool):
         self.rows = rows
@@ -74,18 +94,17 @@ class Likelihood:
                 pa.array(range(fits), pa.int64()),
                 pa.array(models, pa.string()),
                 pa.array(b.tolist(), pa.list_(pa.float64())),
-                pa.array(bounds.tolist(), pa.list_(pa.float64())),
                 pa.array(shape, pa.float64()),
                 *[pa.array([s[k] for s in series], pa.float64()) for k in range(3)],
+                *[pa.array(column, pa.float64()) for column in bounds.T],
             ],
-            names=STATE,
+            names=STATE + self.design.bounds,
         )
         # At most as many rows as fits in the slice, a size checked by the caller.
         table = F.broadcast(self.rows.sparkSession.createDataFrame(state))
-        sums = self._pattern_sums(table, full)
-        products = self._products(sums, table, p)
-        result = products.toArrow()
-        return self._unpack(result, fits, p)
+        scalars = [c for c in (self._full_sums if full else self._sums) if c not in ("sw", "sr")]
+        products = self._products(self._pattern_sums(table, full), scalars, p)
+        return self._unpack(products.toArrow(), scalars, fits, p)
 
     @cached_property
     def _sums(self) -> dict[str, Column]:
@@ -129,31 +148,58 @@ class Likelihood:
         )
         sums = self._full_sums if full else self._sums
         return df.groupBy("fit_id", *self.design.model.covariates).agg(
-            *[F.sum(F.col("f") * value).alias(name) for name, value in sums.items()]
+            *[F.sum(F.col("f") * value).alias(name) for name, value in sums.items()],
+            *[F.any_value(name).alias(name) for name in self.design.bounds],
         )
 
-    def _products(self, sums: DataFrame, table: DataFrame, p: int) -> DataFrame:
-        scalars = ", ".join(c if c in sums.columns else "0D" for c in SCALARS)
-        # Upper triangle of x x' sw, then x sr, then the scalar sums.
+    def _products(self, sums: DataFrame, scalars: list[str], p: int) -> DataFrame:
+        # Upper triangle of x x' sw, then x times each vector weight, then the scalar sums.
+        vectors = ", ".join(f"transform(x, v -> v * {name})" for name in self.vectors)
         values = f"""concat(
             flatten(transform(sequence(0, {p - 1}), i -> transform(sequence(i, {p - 1}), j -> x[i] * x[j] * sw))),
-            transform(x, v -> v * sr), array({scalars}))"""
+            {vectors}, array({", ".join(scalars)}))"""
         return (
-            sums.join(table.select("fit_id", "bounds"), "fit_id")
-            .withColumn("x", self.design.row)
+            sums.withColumn("x", self.design.row)
             .select("fit_id", F.expr(f"posexplode({values}) AS (pos, value)"))
             .filter("value != 0")
             .groupBy("fit_id", "pos")
             .agg(F.sum("value").alias("value"))
         )
 
-    def _unpack(self, result, fits: int, p: int) -> Stats:
+    def _unpack(self, result: pa.Table, scalars: list[str], fits: int, p: int) -> Stats:
         upper = p * (p + 1) // 2
-        flat = np.zeros((fits, upper + p + len(SCALARS)))
+        after = upper + p * len(self.vectors)
+        flat = np.zeros((fits, after + len(scalars)))
         flat[result["fit_id"].to_numpy(), result["pos"].to_numpy()] = result["value"].to_numpy()
         info = np.zeros((fits, p, p))
         rows, cols = np.triu_indices(p)
         info[:, rows, cols] = flat[:, :upper]
         info[:, cols, rows] = flat[:, :upper]
-        names = {s: flat[:, upper + p + i] for i, s in enumerate(SCALARS)}
-        return Stats(flat[:, upper : upper + p], info, names)
+        vectors = {v: flat[:, upper + p * i : upper + p * (i + 1)] for i, v in enumerate(self.vectors)}
+        return Stats(info, vectors, {name: flat[:, after + i] for i, name in enumerate(scalars)})
+
+
+class Curvature(Likelihood):
+    """Adds what integrating out an intercept needs: observed curvature and its slopes."""
+
+    vectors = ["sr", "curve", "third"]
+
+    @cached_property
+    def _sums(self) -> dict[str, Column]:
+        sums = dict(super()._sums)
+        if self.nb:
+            sums["curve"] = F.expr("mu * theta * (theta + y) / ((theta + mu) * (theta + mu))")
+            sums["third"] = F.expr("theta * (theta + y) * mu * (theta - mu) / power(theta + mu, 3)")
+            sums["curve_t"] = F.expr("mu * (2 * theta * mu + y * mu - y * theta) / power(theta + mu, 3)")
+            sums["score_t"] = F.expr("(y - mu) * mu / ((theta + mu) * (theta + mu))")
+        else:
+            sums["curve"] = sums["third"] = F.col("mu")
+        return sums
+
+
+class Moments(Likelihood):
+    """Sums of squares and products of log-scale residuals for a linear model."""
+
+    @cached_property
+    def _sums(self) -> dict[str, Column]:
+        return {"sw": F.lit(1.0), "sr": F.expr("y - ln(n)"), "ll": F.expr("(y - ln(n)) * (y - ln(n))")}
