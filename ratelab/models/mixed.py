@@ -102,13 +102,16 @@ def fit_random_intercept(df: DataFrame, model: RateModel, group: str, scratch: S
         curve = s.scalars["curve"] + inverse
         pull = s.score[:, 0] - u * inverse
         value = float(s.ll.sum() - (u * u).sum() * inverse / 2 - np.log(spread**2 * curve).sum() / 2)
-        # Gradients through the moving modes.
+        # Gradients at the modes the intercepts are moving to.
+        to_mode = pull / curve
+        mode = u + to_mode
         du = -s.vectors["curve"] / curve[:, None]
+        score = s.score + s.vectors["curve"] * -to_mode[:, None]
         third = s.scalars["third"]
-        grad_b = s.score.sum(axis=0) - ((s.vectors["third"] + third[:, None] * du) / curve[:, None]).sum(axis=0) / 2
-        du_spread = 2 * u * inverse / curve
+        grad_b = score.sum(axis=0) - ((s.vectors["third"] + third[:, None] * du) / curve[:, None]).sum(axis=0) / 2
+        du_spread = 2 * mode * inverse / curve
         shrink = (curve - inverse) / curve
-        grad_spread = float((u * u * inverse - shrink - third * du_spread / curve / 2).sum())
+        grad_spread = float((mode * mode * inverse - shrink - third * du_spread / curve / 2).sum())
         weight = s.info - np.einsum("gi,gj->gij", s.info[:, 0, :], s.info[:, 0, :]) / (
             s.info[:, 0, 0] + inverse
         )[:, None, None]
@@ -116,17 +119,17 @@ def fit_random_intercept(df: DataFrame, model: RateModel, group: str, scratch: S
         step_b = np.zeros(p)
         step_b[free] = np.linalg.solve(info, grad_b[free])
         at_edge = spread <= SPREAD_LIMIT and grad_spread < 0
-        step_s = 0.0 if at_edge else float(np.clip(grad_spread / max(2 * (shrink**2).sum(), 1e-3), -1, 1))
+        step_s = 0.0 if at_edge else float(np.clip(grad_spread / max(2 * (shrink**2).sum(), 1e-12), -1, 1))
         step_t = 0.0
         if nb:
             drift = s.scalars["curve_t"] + third * s.scalars["score_t"] / curve
-            first = s.scalars["dtheta"] - drift / curve / 2
+            first = s.scalars["dtheta"] + s.scalars["score_t"] * to_mode - drift / curve / 2
             g = theta * float(first.sum())
             h = theta * theta * float(s.scalars["ddtheta"].sum()) + g
             step_t = float(np.clip(-g / h if h < 0 else np.sign(g), -1, 1))
             if theta >= THETA_LIMIT and step_t > 0:
                 step_t = 0.0
-        step_u = pull / curve + du @ step_b + du_spread * step_s
+        step_u = to_mode + du @ step_b + du_spread * step_s
         best = (value, s)
         size = max(np.abs(step_b).max(), np.abs(step_u).max(), abs(step_s), abs(step_t))
         scale = min(1.0, 2 / size) if size > 0 else 1.0
