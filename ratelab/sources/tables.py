@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 SCHEMAS = {
@@ -105,10 +105,11 @@ def read_query(spark: SparkSession, url_variable: str, query: str, **partitionin
 
 def write_table(df: DataFrame, target: str, partition_by: str | None = None) -> None:
     """Replace a parquet folder, or a catalog table when ``target`` has no slash."""
+    if partition_by:
+        # Gathers each period into few files; AQE splits the large ones.
+        df = df.hint("rebalance", F.col(partition_by))
     writer = df.write.mode("overwrite").format("parquet")
     if partition_by:
-        # One writing task per period would follow the size of the largest
-        # period; spreading by row keeps tasks even and AQE merges small ones.
         writer = writer.partitionBy(partition_by)
     if "/" in target:
         writer.save(target)
