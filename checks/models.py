@@ -161,36 +161,37 @@ def nb_saturated_ratio(spark, sf_dir):
     return rounded(out.select("term", "estimate"), "estimate")
 
 
-def _nb(group: str, name: str = "nb", steps: int = 320) -> list[str]:
-    """Negative binomial fit per ``group`` by one-factor score steps and Newton for log(theta)."""
+def _nb(group: str, name: str = "nb", steps: int = 320, parts: str = "agd") -> list[str]:
+    """Negative binomial fit per ``group``: one-factor score steps, then Newton for log(theta)."""
     r = "f * (y - mu) / (1 + mu / th)"
     w = "f * mu / (1 + mu / th)"
+    last = len(parts)
 
     def move(part: str) -> str:
         over = f"OVER (PARTITION BY {', '.join(p for p in (group, part) if p)})"
         return f"sum({r}) {over} / sum({w}) {over}"
 
     whole = f"OVER (PARTITION BY {group})" if group else "OVER ()"
-    keys = f"{group}, " if group else ""
-    first = f"""f * (coalesce(list_sum(list_transform(range(y), lambda j: 1.0 / (th + j))), 0)
+    keys = ", ".join([*([group] if group else []), *parts])
+    moves = " ".join(f"WHEN {i} THEN {move(part)}" for i, part in enumerate(parts))
+    first = """f * (coalesce(list_sum(list_transform(range(y), lambda j: 1.0 / (th + j))), 0)
    - ln(1 + mu / th) + (mu - y) / (mu + th))"""
-    second = f"""f * (mu / (th * (mu + th)) - (mu - y) / ((mu + th) * (mu + th))
+    second = """f * (mu / (th * (mu + th)) - (mu - y) / ((mu + th) * (mu + th))
    - coalesce(list_sum(list_transform(range(y), lambda j: 1.0 / ((th + j) * (th + j)))), 0))"""
     return [
         f"""
-{name}_rows AS (SELECT {keys}a, g, d, n, y, CAST(count(*) AS DOUBLE) AS f FROM cell GROUP BY ALL)""",
+{name}_rows AS (SELECT {keys}, n, y, CAST(count(*) AS DOUBLE) AS f FROM cell GROUP BY ALL)""",
         f"""
-{name} AS (SELECT 0 AS k, {keys}a, g, d, n, y, f, ln(sum(f * y) {whole} / sum(f * n) {whole}) AS eta,
+{name} AS (SELECT 0 AS k, {keys}, n, y, f, ln(sum(f * y) {whole} / sum(f * n) {whole}) AS eta,
   CAST(10 AS DOUBLE) AS th FROM {name}_rows
- UNION ALL SELECT k + 1, {keys}a, g, d, n, y, f,
-  eta + CASE k % 4 WHEN 0 THEN {move('a')} WHEN 1 THEN {move('g')} WHEN 2 THEN {move('d')} ELSE 0 END,
-  CASE WHEN k % 4 < 3 THEN th ELSE least(1e5, th * exp(greatest(-1.5, least(1.5,
+ UNION ALL SELECT k + 1, {keys}, n, y, f,
+  eta + CASE k % {last + 1} {moves} ELSE 0 END,
+  CASE WHEN k % {last + 1} < {last} THEN th ELSE least(1e5, th * exp(greatest(-1.5, least(1.5,
    CASE WHEN th * th * s2 + th * s1 < 0 THEN -th * s1 / (th * th * s2 + th * s1) ELSE sign(s1) END)))) END
  FROM (SELECT *, sum(t1) {whole} AS s1, sum(t2) {whole} AS s2 FROM
   (SELECT *, {first} AS t1, {second} AS t2 FROM (SELECT *, n * exp(eta) AS mu FROM {name} WHERE k < {steps}))))""",
         f"""
-{name}_fit AS (SELECT DISTINCT {keys}a, g, d, eta, th FROM
- (SELECT {keys}a, g, d, max(eta) AS eta, max(th) AS th FROM {name} WHERE k = {steps} GROUP BY ALL))""",
+{name}_fit AS (SELECT {keys}, max(eta) AS eta, max(th) AS th FROM {name} WHERE k = {steps} GROUP BY ALL)""",
     ]
 
 
@@ -226,7 +227,20 @@ UNION ALL SELECT bo, 'deprived', NULL FROM nb_fit GROUP BY bo HAVING min(d) = ma
     _PERIOD_TABLE, _CELLS, *_nb("bo", steps=400),
 )
 def nb_per_borough(spark, sf_dir):
-    table = study.group_ratios(model_table(spark, sf_dir), "borough")
+    table = study.rate_ratio(model_table(spark, sf_dir), by="borough", method="wald")
+    return table.select("model_id", "term", (F.round("estimate", 5) + F.lit(0.0)).alias("estimate"))
+
+
+@query(
+    "nb_crude_per_borough",
+    """
+SELECT t.bo AS model_id, 'deprived' AS term, round(exp(max(t.eta) - max(b.eta)), 5) AS estimate
+FROM nb_fit t JOIN nb_fit b ON t.bo = b.bo AND b.d = 0 AND t.d = 1 GROUP BY t.bo
+UNION ALL SELECT bo, 'deprived', NULL FROM nb_fit GROUP BY bo HAVING min(d) = max(d)""",
+    _PERIOD_TABLE, _CELLS, *_nb("bo", steps=100, parts="d"),
+)
+def nb_crude_per_borough(spark, sf_dir):
+    table = study.rate_ratio(model_table(spark, sf_dir), by="borough", adjust=(), method="wald")
     return table.select("model_id", "term", (F.round("estimate", 5) + F.lit(0.0)).alias("estimate"))
 
 

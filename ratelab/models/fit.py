@@ -18,6 +18,7 @@ from ratelab.models.design import (
     POISSON,
     Design,
     RateModel,
+    Term,
     compress,
     find_levels,
     sum_events,
@@ -47,14 +48,14 @@ class Solution:
     status: list[str]
 
 
-def independent(info: np.ndarray) -> np.ndarray:
+def independent(info: np.ndarray, among: np.ndarray | None = None) -> np.ndarray:
     """Columns that are no combination of earlier ones, by elimination."""
     p = len(info)
     a = info.copy()
     keep = np.zeros(p, dtype=bool)
     scale = np.diag(info).copy()
     for j in range(p):
-        if scale[j] > 0 and a[j, j] > 1e-10 * scale[j]:
+        if (among is None or among[j]) and scale[j] > 0 and a[j, j] > 1e-10 * scale[j]:
             keep[j] = True
             a -= np.outer(a[:, j], a[j, :]) / a[j, j]
     return keep
@@ -141,11 +142,16 @@ def maximise(
 
 @dataclass
 class FitResult:
-    """Fitted models of one batch, with everything later steps need."""
+    """Fitted models of one batch, with everything later steps need.
+
+    A batch holds every group once per label, a label naming the terms used.
+    """
 
     design: Design
     likelihood: Likelihood
     models: list[str]
+    labels: list[str]
+    used: np.ndarray
     cells: np.ndarray
     bounds: np.ndarray
     b: np.ndarray
@@ -183,84 +189,104 @@ def _facts(rows: DataFrame, model: RateModel) -> list:
     )
 
 
-def _fit_rows(rows: DataFrame, patterns: DataFrame, design: Design, facts: list) -> FitResult:
+def _columns_of(design: Design, terms: tuple[Term, ...]) -> np.ndarray:
+    """Which design columns belong to the intercept and ``terms``."""
+    mask = [True]
+    for term, block in zip(design.model.terms, design.blocks):
+        mask += [term in terms] * len(block)
+    return np.array(mask)
+
+
+def _fit_rows(
+    rows: DataFrame, patterns: DataFrame, design: Design, facts: list, variants: dict[str, tuple[Term, ...]]
+) -> FitResult:
     model = design.model
-    models = [r["model_id"] for r in facts]
-    p, m = len(design.names), len(models)
+    kinds = [(label, terms, r) for label, terms in variants.items() for r in facts]
+    models = [r["model_id"] for _, _, r in kinds]
+    p, m = len(design.names), len(kinds)
+    used = np.array([_columns_of(design, terms) for _, terms, _ in kinds])
     bounds = np.zeros((m, 2 * len(model.splines)))
     status = [CONVERGED] * m
     b = np.zeros((m, p))
-    for i, r in enumerate(facts):
+    for i, (_, terms, r) in enumerate(kinds):
         for j, term in enumerate(model.splines):
             low, high = r[f"low{j}"], r[f"high{j}"]
-            bounds[i, 2 * j], bounds[i, 2 * j + 1] = low, high
-            if not (low < min(term.knots) and max(term.knots) < high):
-                status[i] = NOT_IDENTIFIED
+            if low < min(term.knots) and max(term.knots) < high:
+                bounds[i, 2 * j : 2 * j + 2] = low, high
+            else:
+                # Any range with the knots inside serves when the term is not used.
+                bounds[i, 2 * j : 2 * j + 2] = min(term.knots) - 1, max(term.knots) + 1
+                if term in terms:
+                    status[i] = NOT_IDENTIFIED
         if r["events"] == 0:
             status[i] = NO_EVENTS
         else:
             b[i, 0] = np.log(r["events"] / r["people"])
+    if m == 1 and status[0] == NOT_IDENTIFIED:
+        raise ValueError(f"the spline is not identified on its range in the data: {model.splines}")
     nb = model.family == NEGATIVE_BINOMIAL
-    todo = [i for i, s in enumerate(status) if s == CONVERGED]
-    theta = np.full(m, np.nan)
-    free = np.zeros((m, p), dtype=bool)
     likelihood = Likelihood(rows, design, nb)
-    if not todo:
-        if len(models) == 1 and status[0] == NOT_IDENTIFIED:
-            raise ValueError(f"the spline is not identified on a range of {bounds[0].tolist()}")
-        blank = Stats(np.zeros((m, p, p)), {"sr": np.zeros((m, p))}, {"ll": np.zeros(m)})
-        cells = np.array([r["cells"] for r in facts])
-        return FitResult(
-            design, likelihood, models, cells, bounds, b, free, theta, status, blank, np.zeros((m, p, p))
-        )
-    names = [models[i] for i in todo]
-    poisson = Likelihood(patterns, design, False)
-    # Which columns are independent does not depend on the weights.
-    first = poisson(names, b[todo], bounds[todo])
-    free[todo] = [independent(m) for m in first.info]
-    start = b[todo] + [solve(first.info[k], first.score[k], free[i]) for k, i in enumerate(todo)]
-    if nb:
-        alpha = first.scalars["excess"] / first.scalars["mu2"]
-        solution = maximise(
-            likelihood, names, start, bounds[todo], free[todo], 1 / np.clip(alpha, 1e-2, 1e2), fit_theta=True
-        )
-    else:
-        solution = maximise(poisson, names, start, bounds[todo], free[todo])
-    b[todo] = solution.b
-    if nb:
-        theta[todo] = solution.theta
-    for k, i in enumerate(todo):
-        status[i] = solution.status[k]
-    part = likelihood(names, b[todo], bounds[todo], theta[todo], full=True)
-    stats = part.spread(todo, m)
+    cells = np.array([r["cells"] for _, _, r in kinds])
+    theta, free = np.full(m, np.nan), np.zeros((m, p), dtype=bool)
     covariance = np.zeros((m, p, p))
-    for i in todo:
-        f = free[i]
-        covariance[i][np.ix_(f, f)] = np.linalg.pinv(stats.info[i][np.ix_(f, f)])
-    cells = np.array([r["cells"] for r in facts])
-    return FitResult(design, likelihood, models, cells, bounds, b, free, theta, status, stats, covariance)
+    stats = Stats(np.zeros((m, p, p)), {"sr": np.zeros((m, p))}, {"ll": np.zeros(m)})
+    todo = [i for i, s in enumerate(status) if s == CONVERGED]
+    if todo:
+        names = [models[i] for i in todo]
+        poisson = Likelihood(patterns, design, False)
+        # Which columns are independent does not depend on the weights.
+        first = poisson(names, b[todo], bounds[todo])
+        free[todo] = [independent(first.info[k], used[i]) for k, i in enumerate(todo)]
+        start = b[todo] + [solve(first.info[k], first.score[k], free[i]) for k, i in enumerate(todo)]
+        if nb:
+            alpha = first.scalars["excess"] / first.scalars["mu2"]
+            theta0 = 1 / np.clip(alpha, 1e-2, 1e2)
+            solution = maximise(likelihood, names, start, bounds[todo], free[todo], theta0, fit_theta=True)
+            theta[todo] = solution.theta
+        else:
+            solution = maximise(poisson, names, start, bounds[todo], free[todo])
+        b[todo] = solution.b
+        for k, i in enumerate(todo):
+            status[i] = solution.status[k]
+        stats = likelihood(names, b[todo], bounds[todo], theta[todo], full=True).spread(todo, m)
+        for i in todo:
+            part = np.ix_(free[i], free[i])
+            covariance[i][part] = np.linalg.pinv(stats.info[i][part])
+    labels = [label for label, _, _ in kinds]
+    return FitResult(
+        design, likelihood, models, labels, used, cells, bounds, b, free, theta, status, stats, covariance
+    )
 
 
 def fit_slices(
-    df: DataFrame, model: RateModel, scratch: Scratch, by: str | None = None, name: str = "model"
+    df: DataFrame,
+    model: RateModel,
+    scratch: Scratch,
+    by: str | None = None,
+    name: str = "model",
+    variants: dict[str, tuple[Term, ...]] | None = None,
 ) -> Iterator[FitResult]:
     """Fit ``model`` to all of ``df``, or to every group of ``by`` at once.
 
+    ``variants`` names subsets of the model's terms to fit side by side, on
+    the complete cases of the whole model.
+
     Yields one result, or several if the groups are too many for the driver to
     hold their matrices together. Then the compressed cells are stored by slice
     and every slice reads its own part only.
     """
+    variants = variants or {"": model.terms}
     rows = scratch.keep(compress(df, model, by), f"{name}_rows")
     design = Design(model, find_levels(rows, model))
     slices = 1
     if by:
-        entries = rows.select("model_id").distinct().count() * len(design.names) ** 2
-        slices = -(-entries // DRIVER_ENTRIES)
+        groups = rows.select("model_id").distinct().count()
+        slices = max(1, -(-groups * len(variants) * len(design.names) ** 2 // DRIVER_ENTRIES))
     if slices > 1:
         of = F.pmod(F.xxhash64("model_id"), F.lit(slices)).cast("int")
         rows = scratch.keep(rows.withColumn("slice", of), f"{name}_sliced", partition_by="slice")
-    for number in range(max(slices, 1)):
-        part = rows if slices <= 1 else rows.filter(F.col("slice") == number).drop("slice")
+    for number in range(slices):
+        part = rows if slices == 1 else rows.filter(F.col("slice") == number).drop("slice")
         facts = _facts(part, model)
         if not facts and slices > 1:
             continue
@@ -269,12 +295,19 @@ def fit_slices(
         patterns = part
         if model.family == POISSON:
             patterns = scratch.keep(sum_events(part, model), f"{name}_patterns{number}")
-        yield _fit_rows(part, patterns, design, facts)
+        yield _fit_rows(part, patterns, design, facts, variants)
 
 
-def fit(df: DataFrame, model: RateModel, scratch: Scratch, by: str | None = None, name: str = "model") -> FitResult:
+def fit(
+    df: DataFrame,
+    model: RateModel,
+    scratch: Scratch,
+    by: str | None = None,
+    name: str = "model",
+    variants: dict[str, tuple[Term, ...]] | None = None,
+) -> FitResult:
     """Fit one model, or few groups; see ``fit_slices`` for very many groups."""
-    results = list(fit_slices(df, model, scratch, by, name))
+    results = list(fit_slices(df, model, scratch, by, name, variants))
     if len(results) > 1:
         raise ValueError("too many groups for one result: use fit_slices")
     return results[0]

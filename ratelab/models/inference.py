@@ -40,6 +40,7 @@ def tidy(
 ) -> DataFrame:
     """One row per coefficient. Exponentiating leaves the standard error alone.
 
+    A batch of labelled variants gets an ``adjustment`` column.
     ``method`` is "wald" or "profile". A term that is a combination of earlier
     ones has nulls; so have all terms of a model that could not be fitted.
     """
@@ -52,8 +53,10 @@ def tidy(
     for i, model_id in enumerate(fit.models):
         usable = i in fit.usable
         for j in wanted:
+            if not fit.used[i, j]:
+                continue
             if not usable or not fit.free[i, j]:
-                out.append((model_id, names[j], *[None] * 6))
+                out.append((model_id, names[j], *[None] * 6, fit.labels[i]))
                 continue
             estimate = fit.b[i, j]
             error = math.sqrt(max(fit.covariance[i, j, j], 0.0))
@@ -69,9 +72,11 @@ def tidy(
                     _number(statistic),
                     _number(math.erfc(abs(statistic) / math.sqrt(2))),
                     *ends,
+                    fit.labels[i],
                 )
             )
-    return spark.createDataFrame(out, COEFFICIENTS)
+    table = spark.createDataFrame(out, COEFFICIENTS + ", adjustment string")
+    return table if any(fit.labels) else table.drop("adjustment")
 
 
 def profile_limits(

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import chain
+from operator import and_
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ratelab.functions.columns import exposure
 from ratelab.models.design import (
@@ -16,8 +20,9 @@ from ratelab.models.design import (
     RateModel,
     Term,
 )
-from ratelab.models.fit import fit, fit_slices
+from ratelab.models.fit import FitResult, fit_slices
 from ratelab.models.inference import keep_term, tidy
+from ratelab.models.mixed import GAUSSIAN, fit_random_intercept, tidy_mixed
 from ratelab.operators.cells import PLACE, link_cells_on, study_strata, sum_cells
 from ratelab.operators.filters import keep_period
 from ratelab.scratch import Scratch
@@ -83,7 +88,6 @@ def _specification(
     return Specification(RateModel(outcome, terms, family), **kind)
 
 
-GAUSSIAN = "gaussian"
 BOROUGH = (Categorical("borough"),)
 
 SPECIFICATIONS: dict[str, Specification] = {
@@ -129,54 +133,75 @@ SPECIFICATIONS: dict[str, Specification] = {
 }
 
 
-def rate_ratio(
-    table: DataFrame,
-    outcome: str = "attends",
-    family: str = NEGATIVE_BINOMIAL,
-    exposed: str = "deprived",
-    adjust: tuple[Term, ...] = AGE_SEX,
-    method: str = "profile",
-) -> DataFrame:
-    """Rate ratio of the exposed against the rest, with limits."""
+def run_specification(spec: Specification, table: DataFrame, method: str = "wald") -> DataFrame:
+    """Coefficient table of one specification, over a table with the feature columns."""
     spark = table.sparkSession
     with Scratch(spark) as scratch:
-        fitted = fit(table, RateModel(outcome, (*adjust, Numeric(exposed)), family), scratch)
-        return keep_term(tidy(fitted, spark, method=method, terms=[exposed]), exposed)
+        if spec.random:
+            return tidy_mixed(fit_random_intercept(table, spec.model, spec.random, scratch), spark)
+        return _stack(fit_slices(table, spec.model, scratch, spec.by), spark, method=method)
 
 
-def group_ratios(
+def _stack(parts: Iterator[FitResult], spark: SparkSession, **how) -> DataFrame:
+    """One coefficient table; many slices go through a stored table of their own."""
+    tables = (tidy(f, spark, **how) for f in parts)
+    out, more = next(tables), next(tables, None)
+    if more is None:
+        return out
+    kept = Scratch(spark).table("coefficients")
+    for part in chain((out, more), tables):
+        part.write.mode("append").parquet(kept)
+    return spark.read.schema(out.schema).parquet(kept)
+
+
+def rate_ratio(
     table: DataFrame,
-    by: str,
     outcome: str = "attends",
     family: str = NEGATIVE_BINOMIAL,
     exposed: str = "deprived",
     adjust: tuple[Term, ...] = AGE_SEX,
-    method: str = "wald",
+    by: str | None = None,
+    method: str = "profile",
 ) -> DataFrame:
-    """The same for every group of ``by`` at once, however many there are."""
+    """Rate ratio of the exposed against the rest, overall or in every group of ``by``."""
     spark = table.sparkSession
     model = RateModel(outcome, (*adjust, Numeric(exposed)), family)
     with Scratch(spark) as scratch:
-        parts = fit_slices(table, model, scratch, by)
-        tables = (tidy(f, spark, method=method, terms=[exposed]) for f in parts)
-        out = next(tables)
-        more = next(tables, None)
-        if more is None:
-            return out
-        # Too many groups to hold at once: results go to a table of their own.
-        kept = Scratch(spark).table("ratios")
-        for part in (out, more, *tables):
-            part.write.mode("append").parquet(kept)
-        return spark.read.schema(out.schema).parquet(kept)
+        return keep_term(
+            _stack(fit_slices(table, model, scratch, by), spark, method=method, terms=[exposed]), exposed
+        )
 
 
 def adjustment_comparison(
     table: DataFrame, by: str = "borough", exposed: str = "deprived", method: str = "wald"
 ) -> DataFrame:
-    """Rate ratios per group under each adjustment set, stacked with its label."""
-    stacked = None
-    for label, adjust in ADJUSTMENTS.items():
-        part = group_ratios(table, by, exposed=exposed, adjust=adjust, method=method)
-        part = part.withColumn("adjustment", F.lit(label))
-        stacked = part if stacked is None else stacked.unionByName(part, allowMissingColumns=True)
-    return keep_term(stacked, exposed)
+    """Rate ratios per group under each adjustment set, stacked with its label.
+
+    The sets are fitted side by side over the same cells. Where a covariate is
+    missing in some rows the sets have different complete cases, and each is
+    then fitted to its own.
+    """
+    spark = table.sparkSession
+    terms = {label: (*adjust, Numeric(exposed)) for label, adjust in ADJUSTMENTS.items()}
+    every = tuple(dict.fromkeys(t for set_ in terms.values() for t in set_))
+    models = {label: RateModel("attends", t) for label, t in terms.items()}
+    full = RateModel("attends", every)
+    counts = table.agg(
+        *[
+            F.count_if(reduce(and_, [F.col(c).isNotNull() for c in m.covariates])).alias(f"n{i}")
+            for i, m in enumerate([full, *models.values()])
+        ]
+    ).first()
+    how = {"method": method, "terms": [exposed]}
+    with Scratch(spark) as scratch:
+        if len(set(counts)) == 1:
+            stacked = _stack(fit_slices(table, full, scratch, by, variants=terms), spark, **how)
+        else:
+            each = [
+                _stack(fit_slices(table, m, scratch, by, f"set{i}"), spark, **how).withColumn(
+                    "adjustment", F.lit(label)
+                )
+                for i, (label, m) in enumerate(models.items())
+            ]
+            stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), each)
+        return keep_term(stacked, exposed)

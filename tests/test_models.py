@@ -170,7 +170,7 @@ def test_slices_give_the_same(spark, df, scratch, monkeypatch):
     assert len(parts) > 1
     got = {(r["model_id"], r["term"]): r["estimate"] for f in parts for r in tidy(f, spark).collect()}
     assert got == pytest.approx({(r["model_id"], r["term"]): r["estimate"] for r in whole}, rel=1e-7)
-    sliced = study.group_ratios(df, "grp", "y", exposed="d", adjust=TERMS[:2])
+    sliced = study.rate_ratio(df, "y", exposed="d", adjust=TERMS[:2], by="grp", method="wald")
     assert sliced.count() == 3
 
 
@@ -283,13 +283,37 @@ def test_dependent_columns_are_found():
     assert independent(x.T @ x).tolist() == [True, True, False, False]
 
 
-def test_comparison_and_forest(spark, df):
+def test_comparison_and_forest(spark, df, scratch):
     table = df.withColumnsRenamed({"age": "age_band", "sex": "gender", "d": "deprived", "y": "attends"})
-    got = study.adjustment_comparison(table, by="grp")
-    assert got.count() == 9
-    assert {r[0] for r in got.select("adjustment").distinct().collect()} == set(study.ADJUSTMENTS)
-    assert set(forest_table(got).columns) == {"model_id", "adjustment", "term", "estimate", "conf_low", "conf_high"}
-    assert keep_term(got, "gender").count() == 0
+    rows = study.adjustment_comparison(table, by="grp")
+    got = {(r["model_id"], r["adjustment"]): r["estimate"] for r in rows.collect()}
+    assert len(got) == 9 and {a for _, a in got} == set(study.ADJUSTMENTS)
+    for label, adjust in study.ADJUSTMENTS.items():
+        model = RateModel("attends", (*adjust, Numeric("deprived")))
+        alone = tidy(fit(table, model, scratch, "grp", label[:3]), spark, terms=["deprived"]).collect()
+        assert [got[r["model_id"], label] for r in alone] == pytest.approx([r["estimate"] for r in alone], rel=1e-6)
+    assert set(forest_table(rows).columns) == {
+        "model_id", "adjustment", "term", "estimate", "conf_low", "conf_high"
+    }
+    assert keep_term(rows, "gender").count() == 0
+
+
+def test_each_set_keeps_its_own_complete_cases(spark, df, scratch):
+    table = df.withColumnsRenamed({"age": "age_band", "sex": "gender", "d": "deprived", "y": "attends"})
+    holes = table.withColumn("age_band", F.when(F.col("persons") % 5 > 0, F.col("age_band")))
+    rows = study.adjustment_comparison(holes, by="grp").filter("adjustment = 'None'").orderBy("model_id")
+    model = RateModel("attends", (Numeric("deprived"),))
+    alone = tidy(fit(table, model, scratch, "grp"), spark, terms=["deprived"]).collect()
+    assert [r["estimate"] for r in rows.collect()] == pytest.approx([r["estimate"] for r in alone], rel=1e-6)
+
+
+def test_specifications_run(spark, df):
+    names = {"age": "age_band", "sex": "gender", "d": "deprived", "y": "attends", "grp": "borough"}
+    table = df.withColumnsRenamed(names)
+    mixed = study.run_specification(study.SPECIFICATIONS["month_poisson_random"], table)
+    assert mixed.filter("term = 'deprived'").count() == 1
+    grouped = study.run_specification(study.SPECIFICATIONS["month_nb_borough_crude"], table)
+    assert grouped.filter("term = 'deprived'").count() == 3
 
 
 def test_specifications_cover_the_study():
