@@ -37,7 +37,22 @@ def model_table(spark, sf_dir):
 
 _CELLS = """
 cell AS (SELECT age_band AS a, gender AS g, CASE WHEN quintile < 2 THEN 1 ELSE 0 END AS d, borough AS bo, month_no,
- CAST(persons AS DOUBLE) AS n, CAST(attends AS BIGINT) AS y FROM period_table WHERE persons > 0)"""
+ 1 AS one, CAST(persons AS DOUBLE) AS n, CAST(attends AS BIGINT) AS y FROM period_table WHERE persons > 0)"""
+# The same with the second exposure and spline columns made orthogonal over months.
+_SEASON_CELLS = """
+sp0 AS (SELECT month_no, sum(persons) AS w, (month_no - lo) / (hi - lo) AS u, (4 - lo) / (hi - lo) AS k1,
+  (8 - lo) / (hi - lo) AS k2 FROM period_table, (SELECT CAST(min(month_no) AS DOUBLE) AS lo, max(month_no) AS hi
+  FROM period_table) GROUP BY month_no, lo, hi),
+sp1 AS (SELECT month_no, w, u, u ** 3 - (greatest(u - k2, 0) ** 3) / (1 - k2) AS s2,
+ (greatest(u - k1, 0) ** 3) / (1 - k1) - (greatest(u - k2, 0) ** 3) / (1 - k2) AS s3 FROM sp0),
+sp2 AS (SELECT month_no, w, u - sum(w * u) OVER () / sum(w) OVER () AS z1, s2 - sum(w * s2) OVER () / sum(w) OVER () AS s2,
+ s3 - sum(w * s3) OVER () / sum(w) OVER () AS s3 FROM sp1),
+sp3 AS (SELECT month_no, w, z1, s2 - z1 * sum(w * s2 * z1) OVER () / sum(w * z1 * z1) OVER () AS z2,
+ s3 - z1 * sum(w * s3 * z1) OVER () / sum(w * z1 * z1) OVER () AS s3 FROM sp2),
+sp4 AS (SELECT month_no, z1, z2, s3 - z2 * sum(w * s3 * z2) OVER () / sum(w * z2 * z2) OVER () AS z3 FROM sp3),
+cell AS (SELECT age_band AS a, gender AS g, CASE WHEN quintile < 2 THEN 1 ELSE 0 END AS d,
+ CASE WHEN quintile < 3 THEN 1 ELSE 0 END AS e, borough AS bo, month_no, z1, z2, z3,
+ CAST(persons AS DOUBLE) AS n, CAST(attends AS BIGINT) AS y FROM period_table JOIN sp4 USING (month_no) WHERE persons > 0)"""
 _PATTERNS = """
 pat AS (SELECT a, g, d, CAST(sum(y) AS DOUBLE) AS y, sum(n) AS n FROM cell GROUP BY a, g, d)"""
 _IPF = """
@@ -161,35 +176,47 @@ def nb_saturated_ratio(spark, sf_dir):
     return rounded(out.select("term", "estimate"), "estimate")
 
 
-def _nb(group: str, name: str = "nb", steps: int = 320, parts: str = "agd") -> list[str]:
-    """Negative binomial fit per ``group``: one-factor score steps, then Newton for log(theta)."""
-    r = "f * (y - mu) / (1 + mu / th)"
-    w = "f * mu / (1 + mu / th)"
-    last = len(parts)
-
-    def move(part: str) -> str:
-        over = f"OVER (PARTITION BY {', '.join(p for p in (group, part) if p)})"
-        return f"sum({r}) {over} / sum({w}) {over}"
+def _nb(
+    group: str,
+    name: str = "nb",
+    cycles: int = 80,
+    parts: tuple[str, ...] = ("a", "g", "d"),
+    curves: bool = False,
+    theta: str = "",
+) -> list[str]:
+    """Negative binomial fit per ``group``: score steps one term at a time, then one for log(theta).
 
+    A factor's levels move together; a spline column ``z`` moves on its own.
+    Given ``theta``, that value stays.
+    """
+    bends = ["z1", "z2", "z3"] if curves else []
+    last = len(parts) + len(bends)
+    every, steps = last + 1, cycles * (last + 1)
+    keys = ", ".join(dict.fromkeys([*([group] if group else []), *parts, *bends]))
+    of_key = " ".join(f"WHEN {i} THEN CAST({part} AS VARCHAR)" for i, part in enumerate(parts))
+    of_z = " ".join(f"WHEN {len(parts) + i} THEN {z}" for i, z in enumerate(bends)) or "WHEN -1 THEN 1"
     whole = f"OVER (PARTITION BY {group})" if group else "OVER ()"
-    keys = ", ".join([*([group] if group else []), *parts])
-    moves = " ".join(f"WHEN {i} THEN {move(part)}" for i, part in enumerate(parts))
-    first = """f * (coalesce(list_sum(list_transform(range(y), lambda j: 1.0 / (th + j))), 0)
-   - ln(1 + mu / th) + (mu - y) / (mu + th))"""
-    second = """f * (mu / (th * (mu + th)) - (mu - y) / ((mu + th) * (mu + th))
-   - coalesce(list_sum(list_transform(range(y), lambda j: 1.0 / ((th + j) * (th + j)))), 0))"""
+    block = f"OVER (PARTITION BY {', '.join([*([group] if group else []), 'key'])})"
     return [
         f"""
 {name}_rows AS (SELECT {keys}, n, y, CAST(count(*) AS DOUBLE) AS f FROM cell GROUP BY ALL)""",
         f"""
 {name} AS (SELECT 0 AS k, {keys}, n, y, f, ln(sum(f * y) {whole} / sum(f * n) {whole}) AS eta,
-  CAST(10 AS DOUBLE) AS th FROM {name}_rows
+  CAST({theta or 10} AS DOUBLE) AS th FROM {name}_rows
  UNION ALL SELECT k + 1, {keys}, n, y, f,
-  eta + CASE k % {last + 1} {moves} ELSE 0 END,
-  CASE WHEN k % {last + 1} < {last} THEN th ELSE least(1e5, th * exp(greatest(-1.5, least(1.5,
+  CASE WHEN k % {every} < {last} THEN eta + z * s1 / s2 ELSE eta END,
+  CASE WHEN k % {every} < {last} OR {'true' if theta else 'false'} THEN th ELSE least(1e5, th * exp(greatest(-1.5, least(1.5,
    CASE WHEN th * th * s2 + th * s1 < 0 THEN -th * s1 / (th * th * s2 + th * s1) ELSE sign(s1) END)))) END
- FROM (SELECT *, sum(t1) {whole} AS s1, sum(t2) {whole} AS s2 FROM
-  (SELECT *, {first} AS t1, {second} AS t2 FROM (SELECT *, n * exp(eta) AS mu FROM {name} WHERE k < {steps}))))""",
+ FROM (SELECT *, sum(v1) {block} AS s1, sum(v2) {block} AS s2 FROM
+  (SELECT *,
+    CASE WHEN k % {every} < {last} THEN f * z * (y - mu) / (1 + mu / th)
+     ELSE f * (coalesce(list_sum(list_transform(range(y), lambda j: 1.0 / (th + j))), 0)
+      - ln(1 + mu / th) + (mu - y) / (mu + th)) END AS v1,
+    CASE WHEN k % {every} < {last} THEN f * z * z * mu / (1 + mu / th)
+     ELSE f * (mu / (th * (mu + th)) - (mu - y) / ((mu + th) * (mu + th))
+      - coalesce(list_sum(list_transform(range(y), lambda j: 1.0 / ((th + j) * (th + j)))), 0)) END AS v2
+   FROM (SELECT *, n * exp(eta) AS mu, CASE k % {every} {of_key} ELSE '' END AS key,
+     CASE k % {every} {of_z} ELSE 1.0 END AS z FROM {name} WHERE k < {steps}))))""",
         f"""
 {name}_fit AS (SELECT {keys}, max(eta) AS eta, max(th) AS th FROM {name} WHERE k = {steps} GROUP BY ALL)""",
     ]
@@ -224,7 +251,7 @@ def nb_summary(spark, sf_dir):
 SELECT t.bo AS model_id, 'deprived' AS term, round(exp(avg(t.eta - b.eta)), 5) AS estimate
 FROM nb_fit t JOIN nb_fit b ON t.bo = b.bo AND b.d = 0 AND t.d = 1 AND t.a = b.a AND t.g = b.g GROUP BY t.bo
 UNION ALL SELECT bo, 'deprived', NULL FROM nb_fit GROUP BY bo HAVING min(d) = max(d)""",
-    _PERIOD_TABLE, _CELLS, *_nb("bo", steps=400),
+    _PERIOD_TABLE, _CELLS, *_nb("bo"),
 )
 def nb_per_borough(spark, sf_dir):
     table = study.rate_ratio(model_table(spark, sf_dir), by="borough", method="wald")
@@ -237,7 +264,7 @@ def nb_per_borough(spark, sf_dir):
 SELECT t.bo AS model_id, 'deprived' AS term, round(exp(max(t.eta) - max(b.eta)), 5) AS estimate
 FROM nb_fit t JOIN nb_fit b ON t.bo = b.bo AND b.d = 0 AND t.d = 1 GROUP BY t.bo
 UNION ALL SELECT bo, 'deprived', NULL FROM nb_fit GROUP BY bo HAVING min(d) = max(d)""",
-    _PERIOD_TABLE, _CELLS, *_nb("bo", steps=100, parts="d"),
+    _PERIOD_TABLE, _CELLS, *_nb("bo", parts=("d",)),
 )
 def nb_crude_per_borough(spark, sf_dir):
     table = study.rate_ratio(model_table(spark, sf_dir), by="borough", adjust=(), method="wald")
@@ -296,25 +323,59 @@ SELECT CASE t WHEN 0 THEN 'NULL' WHEN 1 THEN 'age_band' WHEN 2 THEN 'gender' ELS
     _PERIOD_TABLE, _CELLS, _PATTERNS, _NESTED,
 )
 def deviance_table(spark, sf_dir):
-    # One table for the whole model: the compressed rows must outlive the fit.
+    return _deviances(spark, sf_dir, POISSON, 5)
+
+
+def _deviances(spark, sf_dir, family, digits):
+    # The nested fits read the compressed rows again, so they come before clearing.
     with Scratch(spark) as scratch:
-        fitted = fit(model_table(spark, sf_dir), RateModel("attends", ADJUSTED, POISSON), scratch)
+        fitted = fit(model_table(spark, sf_dir), RateModel("attends", ADJUSTED, family), scratch)
         table = sequential_deviance(fitted, spark)
-    return table.select(
-        "term",
-        F.round("deviance", 5).alias("deviance"),
-        F.round("residual_deviance", 5).alias("residual_deviance"),
-    )
+    numbers = {c: F.round(c, digits) + F.lit(0.0) for c in ("deviance", "residual_deviance")}
+    return table.select("term", *numbers).withColumns(numbers)
+
+
+_NESTED_NB = [
+    *_nb(""),
+    *[
+        cte
+        for i, parts in enumerate([("one",), ("a",), ("a", "g"), ("a", "g", "d")])
+        for cte in _nb("", f"nest{i}", 60, parts, theta="(SELECT max(th) FROM nb_fit)")
+    ],
+]
+
+
+def _nested_sql(i: int, keys: str) -> str:
+    return f"""
+SELECT {i} AS t, 2 * sum(CASE WHEN c.y > 0 THEN c.y * ln(c.y / (c.n * exp(f.eta))) ELSE 0 END
+ - (c.y + f.th) * ln((c.y + f.th) / (c.n * exp(f.eta) + f.th))) AS dev FROM cell c JOIN nest{i}_fit f USING ({keys})"""
 
 
-@query("sequential_deviance_nb")
+@query(
+    "sequential_deviance_nb",
+    """
+SELECT CASE t WHEN 0 THEN 'NULL' WHEN 1 THEN 'age_band' WHEN 2 THEN 'gender' ELSE 'deprived' END AS term,
+ round(lag(dev) OVER (ORDER BY t) - dev, 4) AS deviance, round(dev, 4) AS residual_deviance FROM ("""
+    + " UNION ALL ".join(_nested_sql(i, keys) for i, keys in enumerate(["one", "a", "a, g", "a, g, d"]))
+    + ")",
+    _PERIOD_TABLE, _CELLS, *_NESTED_NB,
+)
 def deviance_table_nb(spark, sf_dir):
-    with Scratch(spark) as scratch:
-        fitted = fit(model_table(spark, sf_dir), RateModel("attends", ADJUSTED, NEGATIVE_BINOMIAL), scratch)
-        return sequential_deviance(fitted, spark)
+    return _deviances(spark, sf_dir, NEGATIVE_BINOMIAL, 4)
 
 
-@query("aic_table")
+@query(
+    "aic_table",
+    """
+SELECT 'poisson' AS model, k AS df, round(ll, 4) AS loglik, round(-2 * ll + 2 * k, 4) AS aic FROM
+ (SELECT sum(y * ln(mu) - mu - lgamma(y + 1)) AS ll FROM cellmu), size
+UNION ALL SELECT 'negative_binomial', k + 1, round(ll, 4), round(-2 * ll + 2 * (k + 1), 4) FROM
+ (SELECT sum(lgamma(y + th) - lgamma(th) - lgamma(y + 1) + th * ln(th / (mu + th)) + y * ln(mu / (mu + th))) AS ll
+  FROM (SELECT c.y, c.n * exp(f.eta) AS mu, f.th FROM cell c JOIN nb_fit f USING (a, g, d))), size""",
+    _PERIOD_TABLE, _CELLS, _PATTERNS, _IPF, _POISSON, _ROWS, *_nb(""),
+    """
+size AS (SELECT count(DISTINCT a) + count(DISTINCT g) + count(DISTINCT d) - 2 AS k FROM pat)""",
+)
 def aic_table(spark, sf_dir):
     table = model_table(spark, sf_dir)
     with Scratch(spark) as scratch:
@@ -322,23 +383,65 @@ def aic_table(spark, sf_dir):
             family: fit(table, RateModel("attends", ADJUSTED, family), scratch, name=family)
             for family in (POISSON, NEGATIVE_BINOMIAL)
         }
-    return compare_aic(fits, spark)
+    out = compare_aic(fits, spark)
+    return out.select("model", "df", F.round("loglik", 4).alias("loglik"), F.round("aic", 4).alias("aic"))
+
+
+def _comparison_sql(x: str, term: str) -> tuple[str, list[str]]:
+    sets = {
+        "Age, Sex, Seasonality": (("a", "g", x), True),
+        "Seasonality": ((x,), True),
+        "None": ((x,), False),
+    }
+    extra, parts = [], []
+    for i, (label, (factors, curves)) in enumerate(sets.items()):
+        name = f"nb{i}"
+        extra += _nb("bo", name, 60, factors, curves)
+        same = " AND ".join(f"t.{k} = b.{k}" for k in ("bo", *factors[:-1], *(["z1"] if curves else [])))
+        parts.append(
+            f"""
+SELECT t.bo AS model_id, '{term}' AS term, '{label}' AS adjustment, round(exp(avg(t.eta - b.eta)), 4) AS estimate
+FROM {name}_fit t JOIN {name}_fit b ON b.{x} = 0 AND t.{x} = 1 AND {same} GROUP BY t.bo
+UNION ALL SELECT bo, '{term}', '{label}', NULL FROM {name}_fit GROUP BY bo HAVING min({x}) = max({x})"""
+        )
+    return " UNION ALL ".join(parts), extra
+
 
+def _comparison(spark, sf_dir, exposed):
+    table = study.adjustment_comparison(model_table(spark, sf_dir), exposed=exposed)
+    estimate = F.round("estimate", 4) + F.lit(0.0)
+    return table.select("model_id", "term", "adjustment", estimate.alias("estimate"))
 
-@query("adjustment_comparison")
+
+_SQL_Q1, _EXTRA_Q1 = _comparison_sql("d", "deprived")
+_SQL_Q12, _EXTRA_Q12 = _comparison_sql("e", "deprived2")
+
+
+@query("adjustment_comparison", _SQL_Q1, _PERIOD_TABLE, _SEASON_CELLS, *_EXTRA_Q1)
 def adjustment_comparison(spark, sf_dir):
-    return study.adjustment_comparison(model_table(spark, sf_dir))
+    return _comparison(spark, sf_dir, "deprived")
 
 
-@query("adjustment_comparison_q12")
+@query("adjustment_comparison_q12", _SQL_Q12, _PERIOD_TABLE, _SEASON_CELLS, *_EXTRA_Q12)
 def adjustment_comparison_q12(spark, sf_dir):
-    return study.adjustment_comparison(model_table(spark, sf_dir), exposed="deprived2")
+    return _comparison(spark, sf_dir, "deprived2")
 
 
-@query("spline_season_model")
-def spline_season_model(spark, sf_dir):
+@query(
+    "nb_borough_and_season",
+    """
+SELECT concat('borough', t.bo) AS term, round(exp(avg(t.eta - b.eta)), 4) AS estimate FROM nb_fit t
+JOIN nb_fit b ON b.bo = (SELECT min(bo) FROM nb_fit) AND t.bo <> b.bo AND t.a = b.a AND t.g = b.g AND t.e = b.e
+ AND t.z1 = b.z1 GROUP BY t.bo
+UNION ALL SELECT 'deprived2', round(exp(avg(t.eta - b.eta)), 4) FROM nb_fit t
+JOIN nb_fit b ON b.e = 0 AND t.e = 1 AND t.a = b.a AND t.g = b.g AND t.bo = b.bo AND t.z1 = b.z1""",
+    _PERIOD_TABLE, _SEASON_CELLS, *_nb("", cycles=60, parts=("a", "g", "e", "bo"), curves=True),
+)
+def nb_borough_and_season(spark, sf_dir):
     terms = (*study.AGE_SEX, Numeric("deprived2"), Categorical("borough"), *study.SEASON)
-    return tidy(_fit(spark, sf_dir, terms, NEGATIVE_BINOMIAL), spark)
+    table = forest_table(tidy(_fit(spark, sf_dir, terms, NEGATIVE_BINOMIAL), spark))
+    kept = table.filter(F.col("term").startswith("borough") | (F.col("term") == "deprived2"))
+    return kept.select("term", (F.round("estimate", 4) + F.lit(0.0)).alias("estimate"))
 
 
 _SPLINE = """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import date
 from statistics import NormalDist
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def age_band(dob: str, asof: date, width: int = 15) -> Column:
@@ -31,6 +31,11 @@ def starts_with_any(name: str, prefixes: tuple[str, ...]) -> Column:
     return test
 
 
+def caseless(df: DataFrame, *names: str) -> DataFrame:
+    """Give text columns a collation that ignores case and trailing blanks."""
+    return df.withColumns({n: F.collate(n, "UTF8_LCASE_RTRIM") for n in names})
+
+
 def normal_quantile(level: float) -> float:
     """Two-sided standard normal quantile for a confidence level."""
     return NormalDist().inv_cdf(level + (1 - level) / 2)

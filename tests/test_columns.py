@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ratelab.functions import special
-from ratelab.functions.columns import age_band, exposure, nonblank, starts_with_any, sum_known, sum_strict
+from ratelab.functions.columns import age_band, caseless, exposure, nonblank, starts_with_any, sum_known, sum_strict
 from ratelab.operators.filters import drop_month, keep_month, latest_period
 from ratelab.operators.quality import factor_levels, missing_numerator, wide_strata
 from ratelab.operators.rates import rate_table
@@ -82,3 +82,10 @@ def test_wide_strata_and_gaps(spark):
 def test_levels_sort_as_numbers(spark):
     df = spark.createDataFrame([(105,), (15,), (90,), (None,)], "a int")
     assert [r[0] for r in factor_levels(df, "a").collect()] == [15, 90, 105]
+
+
+def test_caseless_text(spark):
+    a = spark.createDataFrame([("North",)], "b string")
+    b = spark.createDataFrame([("NORTH  ", 1)], "b string, n int")
+    assert a.join(b, "b").count() == 0
+    assert caseless(a, "b").join(caseless(b, "b"), "b").first()["n"] == 1
