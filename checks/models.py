@@ -234,15 +234,16 @@ def nb_adjusted(spark, sf_dir):
 SELECT round(max(th), 4) AS theta, count(*) AS n, round(2 * sum(CASE WHEN y > 0 THEN y * ln(y / mu) ELSE 0 END
   - (y + th) * ln((y + th) / (mu + th))), 6) AS deviance,
  round(sum((y - mu) * (y - mu) / (mu + mu * mu / th)) / (count(*) - max(k)), 6) AS pearson_ratio,
- round(sum(lgamma(y + th) - lgamma(th) - lgamma(y + 1) + th * ln(th / (mu + th)) + y * ln(mu / (mu + th))), 6) AS loglik
+ round(sum(lgamma(y + th) - lgamma(th) - lgamma(y + 1) + th * ln(th / (mu + th)) + y * ln(mu / (mu + th))), 4) AS loglik
 FROM (SELECT c.y, c.n * exp(f.eta) AS mu, f.th FROM cell c JOIN nb_fit f USING (a, g, d)),
  (SELECT count(DISTINCT a) + count(DISTINCT g) + count(DISTINCT d) - 2 AS k FROM pat)""",
     _PERIOD_TABLE, _CELLS, _PATTERNS, *_nb(""),
 )
 def nb_summary(spark, sf_dir):
     table = summary(_fit(spark, sf_dir, ADJUSTED, NEGATIVE_BINOMIAL), spark)
-    table = table.select(F.round("theta", 4).alias("theta"), "n", "deviance", "pearson_ratio", "loglik")
-    return rounded(table, "deviance", "pearson_ratio", "loglik")
+    table = table.select(F.round("theta", 4).alias("theta"), "n", "deviance", "pearson_ratio", F.round("loglik", 4).alias("loglik"))
+    # Differences of log-gammas lose digits when theta is large.
+    return rounded(table, "deviance", "pearson_ratio")
 
 
 @query(

@@ -75,8 +75,8 @@ def solve(info: np.ndarray, right: np.ndarray, free: np.ndarray) -> np.ndarray:
 def _next_theta(theta: float, first: float, second: float) -> float:
     """Newton step on a bounded scale: log(theta), or 1/theta where that is small.
 
-    Data without overdispersion push 1/theta to zero or below it, which the
-    second scale reaches in a step or two; the result is then the limit.
+    Data without overdispersion push 1/theta to zero or below it; the result is
+    then the limit, from where a later step may come back.
     """
     g, h = theta * first, theta * theta * second + theta * first
     if theta > 20:
@@ -125,9 +125,11 @@ def maximise(
             step_b[i] = solve(s.info[k], s.score[k], free[i])
             b[i] = best_b[i] + step_b[i]
             moved = 0.0
+            # At the limit the slope decides: it may still lead back.
+            if theta[i] >= THETA_LIMIT * (1 - 1e-9) and fit_theta:
+                pinned[i] = pinned[i] or s.scalars["dtheta"][k] > 0
             if not pinned[i]:
                 theta[i] = _next_theta(theta[i], s.scalars["dtheta"][k], s.scalars["ddtheta"][k])
-                pinned[i] = theta[i] >= THETA_LIMIT * (1 - 1e-9)
                 moved = abs(np.log(theta[i] / best_t[i]))
             small = np.abs(step_b[i]).max(initial=0) < STEP_TOLERANCE and moved < STEP_TOLERANCE
             # A coefficient running off to infinity no longer changes the likelihood.

@@ -153,15 +153,22 @@ class Likelihood:
         )
 
     def _products(self, sums: DataFrame, scalars: list[str], p: int) -> DataFrame:
-        # Upper triangle of x x' sw, then x times each vector weight, then the scalar sums.
-        vectors = ", ".join(f"transform(x, v -> v * {name})" for name in self.vectors)
-        values = f"""concat(
-            flatten(transform(sequence(0, {p - 1}), i -> transform(sequence(i, {p - 1}), j -> x[i] * x[j] * sw))),
-            {vectors}, array({", ".join(scalars)}))"""
+        # Positions hold the upper triangle of x x' sw, then x times each vector
+        # weight, then the scalar sums. Only columns that are not zero in the
+        # pattern give rows, so indicator columns cost little.
+        upper = p * (p + 1) // 2
+        after = upper + p * len(self.vectors)
+        matrix = f"""flatten(transform(at, i -> transform(filter(at, j -> j >= i), j ->
+            struct(i * {p} - i * (i - 1) div 2 + j - i AS pos, x[CAST(i AS INT)] * x[CAST(j AS INT)] * sw AS value))))"""
+        vectors = [
+            f"transform(at, i -> struct({upper + p * k} + i AS pos, x[CAST(i AS INT)] * {name} AS value))"
+            for k, name in enumerate(self.vectors)
+        ]
+        single = ", ".join(f"struct({after + k}L AS pos, {name} AS value)" for k, name in enumerate(scalars))
         return (
             sums.withColumn("x", self.design.row)
-            .select("fit_id", F.expr(f"posexplode({values}) AS (pos, value)"))
-            .filter("value != 0")
+            .withColumn("at", F.expr(f"filter(sequence(0L, {p - 1}L), i -> x[CAST(i AS INT)] != 0)"))
+            .select("fit_id", F.expr(f"inline(concat({matrix}, {', '.join(vectors)}, array({single})))"))
             .groupBy("fit_id", "pos")
             .agg(F.sum("value").alias("value"))
         )

@@ -24,12 +24,12 @@ def tune(spark: SparkSession) -> SparkSession:
 def broadcast_checked(*tables: DataFrame, limit: int = BROADCAST_ROWS) -> list[DataFrame]:
     """Mark each table for broadcast if counting shows at most ``limit`` rows.
 
-    All tables are counted in one job that stops at ``limit + 1`` rows each.
-    Larger tables are returned unmarked, so Spark joins them by shuffle.
+    All tables are counted in one job. Larger tables are returned unmarked, so
+    Spark joins them by shuffle.
     """
     counts = None
     for i, table in enumerate(tables):
-        one = table.limit(limit + 1).agg(F.lit(i).alias("i"), F.count("*").alias("n"))
+        one = table.agg(F.lit(i).alias("i"), F.count("*").alias("n"))
         counts = one if counts is None else counts.unionAll(one)
     sizes = {r["i"]: r["n"] for r in counts.collect()}
     return [F.broadcast(t) if sizes[i] <= limit else t for i, t in enumerate(tables)]

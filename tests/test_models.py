@@ -212,6 +212,24 @@ def test_no_overdispersion_tends_to_poisson(spark, scratch):
     assert summary(nb, spark).first()["se_theta"] is None
 
 
+def test_weak_overdispersion_is_found_or_refused_by_its_slope(spark, scratch):
+    rng = np.random.default_rng(4)
+    rows = []
+    for g in range(12):
+        for d in rng.integers(0, 2, 120):
+            mu = 4.0 * math.exp(0.2 * d)
+            rows.append((f"g{g:02d}", int(d), 100, int(rng.poisson(rng.gamma(150, mu / 150)))))
+    df = spark.createDataFrame(rows, "grp string, d int, persons int, y int")
+    got = fit(df, RateModel("y", (Numeric("d"),)), scratch, by="grp")
+    assert set(got.status) == {"converged", NO_OVERDISPERSION}
+    slope = got.theta * got.stats.scalars["dtheta"]
+    for status, theta, s in zip(got.status, got.theta, slope):
+        if status == NO_OVERDISPERSION:
+            assert theta == pytest.approx(fitting.THETA_LIMIT) and s > 0
+        else:
+            assert theta < fitting.THETA_LIMIT / 2 and abs(s) < 1e-5
+
+
 def test_complete_cases_and_zero_persons_are_dropped(spark, df, scratch):
     extra = df.limit(3).withColumn("y", F.lit(None).cast("long")).unionByName(
         df.limit(2).withColumn("persons", F.lit(0).cast("long"))
