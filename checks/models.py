@@ -298,9 +298,35 @@ def profile_limits_crude(spark, sf_dir):
     return rounded(table.select("term", *numbers), *numbers)
 
 
-@query("profile_limits")
+# Bisection for the exposure's coefficient; between two trials the other
+# factors settle again, dispersion held at the full fit.
+_PROFILE = """
+peak AS (SELECT avg(t.eta - b.eta) AS beta FROM nb_fit t JOIN nb_fit b ON b.d = 0 AND t.d = 1 AND t.a = b.a AND t.g = b.g),
+goal AS (SELECT sum(f * (y * (ln(n) + eta) - (y + th) * ln(n * exp(eta) + th))) - 3.841458820694124 / 2 AS goal
+ FROM nb_rows JOIN nb_fit USING (a, g, d)),
+prof AS (SELECT 0 AS k, s, a, g, d, n, y, f, eta - beta * d AS e0, th, beta AS near, beta + s * 2.0 AS far,
+  beta + s * 1.0 AS cur FROM nb_rows JOIN nb_fit USING (a, g, d), peak, (VALUES (-1), (1)) AS v(s)
+ UNION ALL SELECT k + 1, s, a, g, d, n, y, f, CASE WHEN k % 13 < 12 THEN e0 + s1 / s2 ELSE e0 END, th,
+  CASE WHEN k % 13 = 12 AND s1 > goal THEN cur ELSE near END,
+  CASE WHEN k % 13 = 12 AND s1 <= goal THEN cur ELSE far END,
+  CASE WHEN k % 13 < 12 THEN cur WHEN s1 > goal THEN (cur + far) / 2 ELSE (near + cur) / 2 END
+ FROM (SELECT *, sum(v1) OVER (PARTITION BY s, key) AS s1, sum(v2) OVER (PARTITION BY s, key) AS s2 FROM
+  (SELECT *, CASE WHEN k % 13 < 12 THEN f * (y - mu) / (1 + mu / th)
+    ELSE f * (y * ln(mu) - (y + th) * ln(mu + th)) END AS v1, f * mu / (1 + mu / th) AS v2
+   FROM (SELECT *, n * exp(e0 + cur * d) AS mu, CASE WHEN k % 13 = 12 THEN '' WHEN k % 13 % 2 = 0
+     THEN CAST(a AS VARCHAR) ELSE g END AS key FROM prof WHERE k < 390))), goal)"""
+
+
+@query(
+    "profile_limits",
+    """
+SELECT 'deprived' AS term, round(exp(max(beta)), 5) AS estimate, round(exp(min(near)), 5) AS conf_low,
+ round(exp(max(near)), 5) AS conf_high FROM prof, peak WHERE k = 390""",
+    _PERIOD_TABLE, _CELLS, *_nb(""), _PROFILE,
+)
 def profile_limits(spark, sf_dir):
-    return study.rate_ratio(model_table(spark, sf_dir))
+    table = study.rate_ratio(model_table(spark, sf_dir))
+    return table.select("term", *[F.round(c, 5).alias(c) for c in ("estimate", "conf_low", "conf_high")])
 
 
 _NESTED = """

@@ -14,6 +14,9 @@ def tune(spark: SparkSession) -> SparkSession:
     for key, value in {
         "spark.sql.requireAllClusterKeysForCoPartition": "false",
         "spark.sql.adaptive.enabled": "true",
+        # Rows multiply by the number of periods after the shuffle by person,
+        # so tasks that look small there are not.
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
     }.items():
