@@ -4,7 +4,7 @@ The text runs unchanged in Spark and DuckDB. Every customer has a practice,
 profile and residence membership and every order is an event; the further
 members of each UNION add second registrations, moves and rows of another
 source, and drop nothing. Small dimensions are the distinct codes the
-memberships use.
+memberships use; one area is left out of the deprivation index on purpose.
 """
 
 from __future__ import annotations
@@ -57,7 +57,7 @@ SELECT DISTINCT c_custkey % 100 AS org, concat('P', CAST(c_custkey % 100 AS VARC
 SELECT o.org_code AS practice_code, concat('Practice ', o.org_code) AS practice_name, n.n_name AS pcn_name,
  CASE WHEN o.org = 38 THEN '' ELSE r.r_name END AS borough
 FROM organisation o JOIN nation n ON n.n_nationkey = o.org % 10 JOIN region r ON r.r_regionkey = n.n_regionkey
-WHERE o.org < 40""",
+WHERE o.org IN (SELECT org FROM fact_practice)""",
     "imd": """
 SELECT lsoa, CASE WHEN area_sk = 57 THEN NULL ELSE CAST(area_sk % 5 + 1 AS INT) END AS imd_quintile
 FROM output_area WHERE area_sk <> 58""",

@@ -298,6 +298,20 @@ def profile_limits_crude(spark, sf_dir):
     return rounded(table.select("term", *numbers), *numbers)
 
 
+_COLLAPSED = """
+cell AS (SELECT age_band AS a, gender AS g, CASE WHEN quintile < 2 THEN 1 ELSE 0 END AS d, CAST(sum(persons) AS DOUBLE) AS n,
+ CAST(coalesce(sum(attends), 0) AS BIGINT) AS y FROM study
+ GROUP BY borough, pcn_name, practice_code, practice_name, quintile, age_band, gender)"""
+
+
+@query("nb_admissions_collapsed", _contrasts("nb_fit"), _COLLAPSED, *_nb(""))
+def nb_admissions(spark, sf_dir):
+    cells = stored_cells(spark, sf_dir).withColumnRenamed("attends", "admits")
+    table = study.features(study.admission_table(cells))
+    coefficients = study.run_specification(study.SPECIFICATIONS["final_admits"], table)
+    return rounded(forest_table(coefficients).select("term", "estimate"), "estimate")
+
+
 # Bisection for the exposure's coefficient; between two trials the other
 # factors settle again, dispersion held at the full fit.
 _PROFILE = """

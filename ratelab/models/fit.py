@@ -37,6 +37,7 @@ DRIVER_ENTRIES = 4_000_000
 CONVERGED = "converged"
 STEP_LIMIT = "step_limit"
 NO_OVERDISPERSION = "no_overdispersion"
+UNBOUNDED = "unbounded_coefficient"
 NO_EVENTS = "no_events"
 NOT_IDENTIFIED = "spline_not_identified"
 
@@ -135,7 +136,9 @@ def maximise(
             # A coefficient running off to infinity no longer changes the likelihood.
             flat = step > 3 and moved < 1e-4 and gain < LIKELIHOOD_TOLERANCE * (abs(ll) + 1)
             if small or flat:
-                status[i] = NO_OVERDISPERSION if fit_theta and pinned[i] else CONVERGED
+                runs_off = np.abs(step_b[i]).max(initial=0) > 0.1
+                settled = NO_OVERDISPERSION if fit_theta and pinned[i] else CONVERGED
+                status[i] = UNBOUNDED if runs_off else settled
             else:
                 still.append(i)
         active = np.array(still, dtype=int)

@@ -107,3 +107,4 @@ def test_scan_filters_reach_parquet(spark, sf_dir):
     plan = cells._jdf.queryExecution().explainString(formatted)
     assert "EqualTo(source,7)" in plan and "EqualTo(episode_number,1)" in plan
     assert "StringStartsWith(method,1)" in plan and "LessThan(period_start,1996-08-01)" in plan
+    assert "LessThan(episode_start,1996-08-01)" in plan

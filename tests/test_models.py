@@ -18,7 +18,7 @@ from ratelab.models.design import (
     check_spline,
     natural_spline,
 )
-from ratelab.models.fit import NO_EVENTS, NO_OVERDISPERSION, NOT_IDENTIFIED, fit, fit_slices, independent
+from ratelab.models.fit import NO_EVENTS, NO_OVERDISPERSION, NOT_IDENTIFIED, UNBOUNDED, fit, fit_slices, independent
 from ratelab.models.inference import (
     chi_square_tail,
     compare_aic,
@@ -185,6 +185,14 @@ def test_failed_groups_are_reported(spark, df, scratch):
     assert rows["flat", "sexM"] > 0 and rows["g0", "d"] > 0
 
 
+def test_a_level_without_events_is_unbounded(spark, df, scratch):
+    got = fit(df.withColumn("y", F.expr("IF(age = 90, 0, y)")), RateModel("y", TERMS, POISSON), scratch)
+    assert got.status == [UNBOUNDED]
+    rest = fit(df.filter("age < 90"), RateModel("y", TERMS, POISSON), scratch, name="rest")
+    # The other coefficients are those of the data without the level.
+    assert got.b[0, [0, 1, 3, 4]] == pytest.approx(rest.b[0], abs=1e-5)
+
+
 def test_splitting_cells_leaves_poisson_alone(spark, df, scratch):
     one = fit(df, RateModel("y", TERMS, POISSON), scratch)
     halves = df.withColumns({"y": F.expr("y div 2"), "persons": F.expr("persons div 2")})
