@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ratelab.scratch import Scratch
@@ -55,3 +58,22 @@ def attach(rows: DataFrame, groups: DataFrame, key: list[str], size: str, total:
     return rows.join(hot, key).unionByName(
         rows.join(hot.select(*key), key, "left_anti").join(cold, key)
     )
+
+
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def words_in_chunks(data: bytes, carry: int, chunk: int = 1 << 19) -> Iterator[list[bytes]]:
+    """Words between ASCII white space, some at a time; each list starts with the last ``carry`` of the one before.
+
+    A very long text is never held as a list of words.
+    """
+    tail: list[bytes] = []
+    at = 0
+    while at < len(data):
+        gap = _SPACE.search(data, at + chunk)
+        end = gap.start() if gap else len(data)
+        found = tail + data[at:end].split()
+        at = end
+        yield found
+        tail = found[max(0, len(found) - carry) :]

@@ -4,32 +4,122 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from ratelab.llm import blocknames, simhash
+from ratelab.llm import blocknames, chat, html_text, maxplus, neighbours, packing, quality, records, secret_scan, simhash
 from ratelab.llm.common import table
+from ratelab.llm.encoding import vocabulary
 from ratelab.scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"), Scratch(spark))
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
+def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark).table("tokens")
+    return records.token_records(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
+
+
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), Scratch(spark), k=20, every=20)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocknames.exact_duplicates(table(spark, sf_dir, "documents"), Scratch(spark)).drop("row")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxplus.encode_documents(table(spark, sf_dir, "documents"), Scratch(spark), vocabulary("piece_bpe_32k.model"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), Scratch(spark), vocabulary("word_bpe_49k.json"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark))
     return found.select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_exact_dedup, op10_simhash_near_dedup)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_chat_formatting, op2_html_extraction, op3_token_records, op4_nearest_neighbours, op5_exact_dedup,
+        op6_secret_scan, op7_quality_classifier, op8_sentencepiece, op9_best_fit_packing, op10_simhash_near_dedup,
+    )
+}
+QUERIES["pipeline"] = corpus_pipeline.run
 
 _WS = r"[\x20\x09-\x0D]+"
 
+# Spans of one kind: gaps between matches give the places.
+_SPANS = """
+    SELECT r, doc_id, source, {kind} AS kind, i,
+           sum(length(g)) OVER w + coalesce(sum(length(m)) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s,
+           length(m) AS n, v
+    FROM (SELECT r, doc_id, source, generate_subscripts(ms, 1) AS i, unnest(gaps[1:len(ms)]) AS g, unnest(ms) AS m, unnest(vs) AS v
+          FROM (SELECT r, doc_id, source, regexp_split_to_array(t, {pattern}) AS gaps,
+                       regexp_extract_all(t, {pattern}, 0) AS ms, regexp_extract_all(t, {pattern}, {group}) AS vs FROM d))
+    WINDOW w AS (PARTITION BY r ORDER BY i)"""
+_ASSIGN = (
+    "'([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+    """["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)'"""
+)
+
 ORACLES: dict[str, str] = {
+    "op1_chat_formatting": """
+        WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos,
+                          count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WHERE conv_id IS NOT NULL),
+        p AS (SELECT conv_id, pos, n,
+                     string_agg(coalesce('r' || length(role) || ':' || role, 'n') || coalesce('t' || length(text) || ':' || text, 'n'), '')
+                         OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM t),
+        f AS (SELECT n, k, min(conv_id) AS conv_id, count(*) AS copies FROM p WHERE pos = n GROUP BY n, k),
+        stay AS (SELECT conv_id, copies FROM f WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.pos = f.n AND p.n > p.pos AND p.k = f.k))
+        SELECT conv_id, count(*) AS n_turns, any_value(copies) AS copies,
+               string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY pos) AS chat
+        FROM t JOIN stay USING (conv_id) GROUP BY conv_id""",
     "op5_exact_dedup": rf"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{_WS}', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM n""",
+    "op6_secret_scan": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, chr(1)) AS source, coalesce(text, '') AS t FROM documents),
+        every AS ({" UNION ALL ".join(_SPANS.format(kind=k, pattern=p, group=g) for k, (p, g) in enumerate([
+            (_ASSIGN, 2), ("'AKIA[A-Z0-9]+'", 0), ("'[0-9a-f]+'", 0), ("'[A-Za-z0-9+/_-]+'", 0)]))}),
+        e AS (SELECT r, doc_id, source, kind, s, s + n AS e, v, sha256(v) AS h,
+                     regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= 8 AS random
+              FROM every WHERE CASE kind WHEN 0 THEN length(v) >= 12 WHEN 1 THEN n >= 18 WHEN 2 THEN n >= 16 ELSE n >= 20 END),
+        c AS (SELECT * FROM e WHERE kind < 3 UNION ALL
+              SELECT * FROM e WHERE kind = 3 AND random AND NOT EXISTS (SELECT 1 FROM e AS b WHERE b.r = e.r AND b.kind < 3 AND b.s < e.e AND b.e > e.s)),
+        o AS (SELECT h, count(DISTINCT source) AS owners FROM c GROUP BY h),
+        a AS (SELECT c.*, o.owners, o.owners < 3 AND random AS live,
+                     CASE kind WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'bare' END || ':' || s || ':' || e AS label
+              FROM c JOIN o USING (h) WHERE kind < 3 OR (o.owners < 3 AND random)),
+        g AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+                     sha256(coalesce(string_agg(label, ',' ORDER BY s, kind) FILTER (kind < 3), '')) AS base_sha256,
+                     string_agg(label, ',' ORDER BY s, kind) AS spans, count(*) FILTER (kind = 3) AS n_bare,
+                     count(*) FILTER (live) AS n_live, count(*) FILTER (owners >= 3) AS n_example FROM a GROUP BY r)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+               coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_bare, 0) AS n_bare,
+               coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+        FROM d LEFT JOIN g USING (r)""",
 }
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -10,7 +10,6 @@ distances exceed the radius.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -19,7 +18,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ratelab.llm.common import attach, fresh, numbered, parts
+from ratelab.llm.common import attach, fresh, numbered, parts, words_in_chunks
 from ratelab.llm.components import components
 from ratelab.scratch import Scratch
 
@@ -29,31 +28,23 @@ RADIUS = 3
 SIDE = 2048  # fingerprints of a bucket compared with as many others at once
 BIN_ROWS = 40_000
 _CHUNK = 1 << 19  # bytes of a text cut into words at once
-_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _PAIRS = 1 << 15  # (fingerprint, block of 64) pairs compared at once
 
 
 def _shingle_hashes(data: bytes, words: int) -> Iterator[list[int]]:
-    """Hashes of all shingles, some at a time: a very long text is never held as a list of words."""
-    tail: list[bytes] = []
-    at = total = 0
-    while at < len(data):
-        gap = _SPACE.search(data, at + _CHUNK)
-        end = gap.start() if gap else len(data)
-        found = tail + data[at:end].split()  # at ASCII white space only
-        at = end
+    """Hashes of all shingles, some at a time."""
+    digest, total, found = xxhash.xxh64_intdigest, 0, []
+    for found in words_in_chunks(data, words - 1, _CHUNK):
         n = len(found) - words + 1
         if n > 0:
             # Shingles are slices of the space-joined text between word starts.
             joined = b" ".join(found)
             ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
             starts = [0, *(ends[: n - 1] + 1).tolist()]
-            yield [xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist())]
+            yield [digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist())]
             total += n
-            found = found[n:]
-        tail = found
-    if not total and tail:
-        yield [xxhash.xxh64_intdigest(b" ".join(tail), SEED)]
+    if not total and found:
+        yield [digest(b" ".join(found), SEED)]
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
