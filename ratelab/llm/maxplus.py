@@ -231,6 +231,8 @@ def state_vectors(matrices: DataFrame, last: int, size: int, scratch: Scratch, n
 def encode_texts(docs: DataFrame, scratch: Scratch, model: str, row: str, text: str, chunk: int = CHUNK) -> DataFrame:
     """Stored ``row, k, ids (binary, 32-bit little-endian), spelt_right`` for every chunk of every row of ``docs``."""
     reach = pieces(model).longest
+    if chunk < reach:
+        raise ValueError(f"a chunk must hold the longest piece, {reach} characters")
     texts = docs.select(F.col(row).alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     spelt = F.when(F.col("text") == "", "").otherwise(F.concat(F.lit(_SPACE), F.translate("text", " ", _SPACE)))
     long = F.length("text") >= chunk
@@ -246,12 +248,11 @@ def encode_texts(docs: DataFrame, scratch: Scratch, model: str, row: str, text:
 
     # Chunks come with the characters that a piece may reach into.
     cut = texts.filter(long).select("row", F.regexp_extract_all(spelt, F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0)).alias("c"))
-    # A chunk shorter than a piece can only be the last; two ahead are always enough.
-    ahead = lambda i: F.coalesce(F.get("c", i), F.lit(""))
+    ahead = F.coalesce(F.get("c", F.col("i") + 1), F.lit(""))
     each = cut.select("row", "c", F.posexplode("c").alias("i", "own"))
     chunks = each.select(
         "row", F.col("i").cast("long").alias("k"), F.length("own").alias("n"), (F.size("c") - 1 - F.col("i")).cast("long").alias("left"),
-        F.concat("own", F.substring(F.concat(ahead(F.col("i") + 1), ahead(F.col("i") + 2)), 1, reach - 1)).alias("s"),
+        F.concat("own", F.substring(ahead, 1, reach - 1)).alias("s"),
     )
     chunks = scratch.keep(chunks, "chunks")
     most = chunks.agg(F.max("k")).first()[0]
