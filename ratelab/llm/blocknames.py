@@ -23,7 +23,7 @@ def normalised(name: str) -> Column:
     return F.regexp_replace(text_or_empty(name), runs, " ")
 
 
-def name_contents(df: DataFrame, content: list[str], row: list[str], carried: list[str]) -> DataFrame:
+def name_contents(df: DataFrame, content: list[str], row: list[str], carried: list[str], scratch: Scratch, level: int) -> DataFrame:
     """``df``'s ``row`` and ``carried`` columns with ``name``, an integer per distinct ``content``.
 
     Contents are sorted inside narrow hash buckets; a name is the bucket and
@@ -31,8 +31,8 @@ def name_contents(df: DataFrame, content: list[str], row: list[str], carried: li
     over 1 / HOT_SHARE of all rows (fewer than HOT_SHARE such contents exist)
     is named from a broadcast list of them, and its rows are spread evenly.
     """
-    total = df.count()
-    counts = df.groupBy(F.xxhash64(*content).alias("hash")).count()
+    counts = scratch.keep(df.groupBy(F.xxhash64(*content).alias("hash")).count(), f"counts{level}")
+    total = counts.agg(F.sum("count")).first()[0] or 0
     limit = max(total // HOT_SHARE, 1)
     heavy = [r["hash"] for r in counts.filter(F.col("count") > limit).select("hash").collect()]
     bucket = F.pmod(F.xxhash64(*content), F.lit(_BUCKETS))
@@ -82,7 +82,7 @@ def name_texts(
         *[F.when(F.col("pos") == 0, F.col(c)).alias(c) for c in fixed if c != "blocks"],
     )
     carried = [c for c in pieces.columns if c not in ("row", "pos", "block")]
-    level = scratch.keep(name_contents(pieces, ["block"], ["row", "pos"], carried), "names0")
+    level = scratch.keep(name_contents(pieces, ["block"], ["row", "pos"], carried, scratch, 0), "names0")
     first = level.filter("pos = 0")
     done = first.filter("blocks = 1").select("row", "name")
     names = level.filter("blocks > 1").select("row", "pos", F.col("blocks").alias("width"), "name")
@@ -96,7 +96,7 @@ def name_texts(
             # No content is ever named 0: it stands for a missing right half.
             F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(0)).alias("right"),
         )
-        level = scratch.keep(name_contents(pairs, ["left", "right"], ["row", "pos"], ["width"]), f"names{step}")
+        level = scratch.keep(name_contents(pairs, ["left", "right"], ["row", "pos"], ["width"], scratch, step), f"names{step}")
         done = done.unionByName(level.filter("width = 1").select("row", "name"))
         names = level.filter("width > 1")
         widest = -(-widest // 2)
