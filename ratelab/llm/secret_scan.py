@@ -160,8 +160,8 @@ def redact_secrets(
     kept = F.transform(cuts, lambda c: F.substring(F.col(text), c["from"].cast("int") + 1, (c["start"] - c["from"]).cast("int")))
     rest = F.substring(F.col(text), F.col(out).cast("int") + 1, F.length(text))
     changed = F.when(F.col(cuts).isNull(), F.col(text)).otherwise(F.array_join(F.concat(kept, F.array(rest)), mask))
-    joined = stored.join(per_row, row, "left")
-    result = {text: changed}
-    if "n_chars" in stored.columns:
-        result["n_chars"] = F.when(F.col(cuts).isNull(), F.col("n_chars")).otherwise(F.length(changed).cast("long"))
-    return joined.withColumns(result).select(*docs.columns)
+    new = fresh(stored, "changed")
+    joined = stored.join(per_row, row, "left").withColumn(new, changed)
+    length = F.when(F.col(cuts).isNull(), F.col("n_chars")).otherwise(F.length(new).cast("long")) if "n_chars" in docs.columns else None
+    as_new = {text: F.col(new), "n_chars": length}
+    return joined.select(*[as_new[c].alias(c) if c in as_new else F.col(c) for c in docs.columns])
