@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.derived import derived_tables, patient_tables, stored_cells, study_cells
+from checks.derived import _named, derived_tables, event_calendar, patient_tables, stored_cells, study_cells
 from checks.registry import query, rounded
 from ratelab.operators import filters, quality
 from ratelab.operators.cells import (
@@ -65,8 +65,10 @@ GROUP BY ALL""",
 def membership_overlap(spark, sf_dir):
     t = patient_tables(spark, sf_dir)
     rows = overlap_periods(t.practice, t.calendar, extra_end="date_left")
-    return rows.groupBy("month_no", "org").agg(
-        F.count(F.lit(1)).alias("memberships"), F.count_distinct("patient").alias("persons")
+    # Each person once per period and practice, then plain counts.
+    people = rows.groupBy("month_no", "org", "patient").agg(F.count(F.lit(1)).alias("n"))
+    return people.groupBy("month_no", "org").agg(
+        F.sum("n").alias("memberships"), F.count(F.lit(1)).alias("persons")
     )
 
 
@@ -99,10 +101,7 @@ def activity(spark, sf_dir):
 
 @query(
     "activity_cells_distinct_events",
-    """
-SELECT p.* EXCLUDE (attends, distinct_attends), p.distinct_attends AS attends,
- CASE WHEN i.lsoa IS NULL THEN 99 ELSE i.imd_quintile END AS quintile
-FROM activity_raw p LEFT JOIN imd i ON p.lsoa = i.lsoa""",
+    _named("activity_raw", "distinct_attends AS attends"),
 )
 def activity_distinct(spark, sf_dir):
     return activity_cells(patient_tables(spark, sf_dir), distinct_events=True)
@@ -116,9 +115,8 @@ def linked(spark, sf_dir):
 @query(
     "assign_quintile",
     """
-SELECT p.lsoa, CASE WHEN i.lsoa IS NULL THEN 99 ELSE i.imd_quintile END AS quintile,
- count(*) AS cells, CAST(sum(p.persons) AS BIGINT) AS persons
-FROM population_raw p LEFT JOIN imd i ON p.lsoa = i.lsoa GROUP BY ALL""",
+SELECT lsoa, quintile, count(*) AS cells, CAST(sum(persons) AS BIGINT) AS persons
+FROM population_raw JOIN area_quintile USING (lsoa) GROUP BY ALL""",
 )
 def assign_quintile(spark, sf_dir):
     cells = stored_cells(spark, sf_dir).drop("quintile")
@@ -132,10 +130,10 @@ def assign_quintile(spark, sf_dir):
     """
 SELECT borough, pcn_name, practice_code, practice_name, quintile, age_band, gender,
  CAST(sum(persons) AS BIGINT) AS persons, CAST(sum(attends) AS BIGINT) AS attends
-FROM study WHERE month_no = 19 GROUP BY ALL""",
+FROM study WHERE month_no = (SELECT max(month_no) FROM calendar) GROUP BY ALL""",
 )
 def cells_latest_period(spark, sf_dir):
-    return study.latest_report(stored_cells(spark, sf_dir), 19)
+    return study.latest_report(stored_cells(spark, sf_dir), event_calendar(spark, sf_dir).count)
 
 
 _PERIOD_TABLE = """
@@ -186,15 +184,22 @@ def cells_by_borough(spark, sf_dir):
 
 
 def _wilson_sql(group: str, source: str, divisor: int = 1) -> str:
-    z = "1.959963984540054"
+    """Limits as the two rates that a score test just does not reject, by bisection."""
     over = f" / {divisor}.0" if divisor != 1 else ""
     kind = "DOUBLE" if divisor != 1 else "BIGINT"
+    beyond = "(attends - persons * mid) ** 2 > 3.8414588206941236 * persons * mid * (1 - mid)"
     return f"""
-SELECT {group}, persons, attends, round(attends / persons, 6) AS prop,
- round((2*attends + {z}*{z} - {z} * sqrt({z}*{z} + 4*attends*(1 - attends/persons))) / (2*(persons + {z}*{z})), 6) AS lcl,
- round((2*attends + {z}*{z} + {z} * sqrt({z}*{z} + 4*attends*(1 - attends/persons))) / (2*(persons + {z}*{z})), 6) AS ucl
-FROM (SELECT {group}, CAST(sum(persons){over} AS {kind}) AS persons,
- CAST(coalesce(sum(attends), 0){over} AS {kind}) AS attends FROM {source} GROUP BY {group})"""
+SELECT g AS {group}, max(persons) AS persons, max(attends) AS attends, round(max(attends / persons), 6) AS prop,
+ round(max(inner_end) FILTER (side = 0), 6) AS lcl, round(max(inner_end) FILTER (side = 1), 6) AS ucl
+FROM (
+ WITH RECURSIVE rate AS (SELECT {group} AS g, CAST(sum(persons){over} AS {kind}) AS persons,
+   CAST(coalesce(sum(attends), 0){over} AS {kind}) AS attends FROM {source} GROUP BY {group}),
+ search AS (SELECT 0 AS k, g, persons, attends, side, CAST(side AS DOUBLE) AS outer_end, attends / persons AS inner_end
+   FROM rate, (VALUES (0), (1)) AS v(side)
+  UNION ALL SELECT k + 1, g, persons, attends, side,
+   CASE WHEN {beyond} THEN mid ELSE outer_end END, CASE WHEN {beyond} THEN inner_end ELSE mid END
+  FROM (SELECT *, (outer_end + inner_end) / 2 AS mid FROM search WHERE k < 60))
+ SELECT * FROM search WHERE k = 60) GROUP BY g"""
 
 
 @query("rate_by_quintile_wilson", _wilson_sql("quintile", "study"))
@@ -298,27 +303,17 @@ def factor_levels(spark, sf_dir):
     return out
 
 
-WIDE_AGES = [0, 15, 30, 45, 60, 75, 90]
-_WIDE = [f"{a}_{g}_{d}" for a in WIDE_AGES for g in "FM" for d in (0, 1)]
-
-
 @query(
     "wide_strata",
-    "SELECT month, "
-    + ", ".join(
-        f"CAST(max(total) FILTER (age_band = {c.split('_')[0]} AND gender = '{c.split('_')[1]}' "
-        f"AND deprived = {c.split('_')[2]}) AS BIGINT) AS \"{c}\""
-        for c in _WIDE
-    )
-    + """ FROM (SELECT month, age_band, gender, CASE WHEN quintile < 2 THEN 1 ELSE 0 END AS deprived,
- CASE WHEN count(*) = count(attends) THEN sum(attends) END AS total
- FROM borough_table WHERE borough = 'AFRICA' GROUP BY ALL) GROUP BY month""",
+    """
+SELECT * FROM (PIVOT (SELECT month, concat_ws('_', age_band, gender, CASE WHEN quintile < 2 THEN 1 ELSE 0 END) AS label,
+  CASE WHEN count(*) = count(attends) THEN CAST(sum(attends) AS BIGINT) END AS total
+  FROM borough_table WHERE borough = 'AFRICA' GROUP BY ALL) ON label USING max(total) GROUP BY month)""",
     _BOROUGH_TABLE,
 )
 def wide_strata(spark, sf_dir):
     one = study.features(_borough(spark, sf_dir)).filter(F.col("borough") == "AFRICA")
-    levels = [WIDE_AGES, ["F", "M"], [0, 1]]
-    return quality.wide_strata(one, "month", ["age_band", "gender", "deprived"], levels, "attends")
+    return quality.wide_strata(one, "month", ["age_band", "gender", "deprived"], "attends")
 
 
 @query(

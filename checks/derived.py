@@ -16,10 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ratelab.operators.cells import PatientTables, rate_cells, study_strata
 from ratelab.scratch import Scratch
-from ratelab.sources.calendar import monthly
+from ratelab.sources.calendar import Calendar, spanning
 
-CALENDAR_START = date(1995, 1, 1)
-PERIODS = 19
 ASOF = date(1996, 7, 1)
 
 TABLES = {
@@ -100,6 +98,17 @@ def _bind(text: str, table: str) -> str:
     return re.sub(rf"\b(FROM|JOIN) {table}\b", rf"\1 {{{table}}}", text)
 
 
+_CALENDARS: dict[tuple[str, str], Calendar] = {}
+
+
+def event_calendar(spark: SparkSession, sf_dir: str) -> Calendar:
+    """Every month that has an event."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CALENDARS:
+        _CALENDARS[key] = spanning(derived_tables(spark, sf_dir)["encounter"], "episode_start")
+    return _CALENDARS[key]
+
+
 def patient_tables(spark: SparkSession, sf_dir: str, **options) -> PatientTables:
     d = derived_tables(spark, sf_dir)
     return PatientTables(
@@ -112,7 +121,7 @@ def patient_tables(spark: SparkSession, sf_dir: str, **options) -> PatientTables
         pcn=d["pcn"],
         imd=d["imd"],
         encounter=d["encounter"],
-        calendar=options.pop("calendar", None) or monthly(spark, CALENDAR_START, PERIODS),
+        calendar=options.pop("calendar", None) or event_calendar(spark, sf_dir),
         asof=ASOF,
         **options,
     )
@@ -126,7 +135,9 @@ def stored_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _CELLS:
         cells = rate_cells(patient_tables(spark, sf_dir))
-        _CELLS[key] = Scratch(spark).keep(cells, "cells")
+        # By period, so that reports on one read only its part; a period too
+        # large for a file is split.
+        _CELLS[key] = Scratch(spark).keep(cells.hint("rebalance", "month_no"), "cells", "month_no", "month")
     return _CELLS[key]
 
 
@@ -140,57 +151,69 @@ def ctes(*extra: str) -> str:
     return "WITH RECURSIVE " + ",\n".join([*parts, *extra]) + "\n"
 
 
-CALENDAR_SQL = """
-SELECT CAST(d AS DATE) AS month, CAST(row_number() OVER (ORDER BY d) AS INT) AS month_no,
- CAST(d AS DATE) AS start_date, CAST(d + INTERVAL 1 MONTH AS DATE) AS end_date
-FROM generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '1996-07-01', INTERVAL 1 MONTH) AS s(d)"""
-
-_MEMBERS = """
-JOIN fact_profile fpro ON fpra.patient = fpro.patient
-JOIN organisation org1 ON fpra.org = org1.org
-JOIN organisation org2 ON org1.parent_org = org2.org
-JOIN gender gend ON fpro.gender_sk = gend.gender_sk
-JOIN fact_residence fres ON fres.patient = fpro.patient
-JOIN output_area opa ON fres.area_sk = opa.area_sk
-JOIN pcn ON org1.org_code = pcn.practice_code
-WHERE fres.period_start < c.end_date AND fres.period_end >= c.start_date
- AND (fres.date_detected_end >= c.start_date OR fres.date_detected_end IS NULL)
- AND fpra.period_start < c.end_date AND fpra.period_end >= c.start_date
- AND (fpra.date_left >= c.start_date OR fpra.date_left IS NULL)
- AND fpro.period_start < c.end_date AND fpro.period_end >= c.start_date
- AND (fpro.date_of_death >= c.start_date OR fpro.date_of_death IS NULL)
- AND fpra.source = 7 AND fpro.source = 7 AND fres.source = 7
- AND opa.census_year = '2011' AND trim(pcn.borough) <> ''"""
-
-_STRATA = """c.month, c.month_no, opa.lsoa, pcn.borough, pcn.pcn_name, pcn.practice_code, pcn.practice_name,
- CAST(date_diff('year', fpro.dob, DATE '1996-07-01') // 15 * 15 AS INT) AS age_band, gend.gender"""
-
-
-def _with_quintile(cells: str, measure: str) -> str:
+# The SQL works on sets of (person, month): per table the months it covers a
+# person in, by counting months, then the overlap of the three sets.
+def _month(day: str) -> str:
+    return f"12 * (year({day}) - y0) + month({day}) - m0 + 1"
+
+
+def _covered(start: str, end: str, extra_end: str) -> str:
+    """Months that an interval covers, within the calendar."""
+    stop = f"least({end}, coalesce({extra_end}, {end}))"
+    return f"unnest(range(greatest({_month(start)}, 1), least({_month(stop)}, months) + 1))"
+
+
+_CELL = "month_no, lsoa, borough, pcn_name, practice_code, practice_name, age_band, gender"
+
+
+def _named(cells: str, measure: str) -> str:
+    """Cells with the period's date and the area's quintile."""
     return f"""
-SELECT p.month, p.month_no, p.lsoa, p.borough, p.pcn_name, p.practice_code, p.practice_name,
- CASE WHEN i.lsoa IS NULL THEN 99 ELSE i.imd_quintile END AS quintile, p.age_band, p.gender, p.{measure}
-FROM {cells} p LEFT JOIN imd i ON p.lsoa = i.lsoa"""
+SELECT c.month, c.month_no, lsoa, borough, pcn_name, practice_code, practice_name, q.quintile, age_band, gender, {measure}
+FROM {cells} JOIN calendar c USING (month_no) JOIN area_quintile q USING (lsoa)"""
 
 
 CELLS = {
-    "calendar": CALENDAR_SQL,
+    "span": """
+SELECT *, 12 * (year(hi) - y0) + month(hi) - m0 + 1 AS months FROM
+ (SELECT year(min(episode_start)) AS y0, month(min(episode_start)) AS m0, max(episode_start) AS hi FROM encounter)""",
+    "calendar": """
+SELECT CAST(d AS DATE) AS month, CAST(k + 1 AS INT) AS month_no, CAST(d AS DATE) AS start_date,
+ CAST(d + INTERVAL 1 MONTH AS DATE) AS end_date
+FROM (SELECT k, make_date(y0, m0, 1) + to_months(CAST(k AS INT)) AS d FROM (SELECT y0, m0, unnest(range(months)) AS k FROM span))""",
+    "area_quintile": """
+SELECT lsoa, CASE WHEN lsoa IN (SELECT lsoa FROM imd) THEN max(imd_quintile) ELSE 99 END AS quintile
+FROM output_area LEFT JOIN imd USING (lsoa) GROUP BY lsoa""",
+    "at_practice": f"""
+SELECT patient, month_no, borough, pcn_name, practice_code, practice_name, count(*) AS times FROM
+ (SELECT patient, org, {_covered('period_start', 'period_end', 'date_left')} AS month_no
+  FROM fact_practice, span WHERE source = 7 AND period_end IS NOT NULL)
+ JOIN organisation USING (org) JOIN pcn ON practice_code = org_code
+WHERE parent_org IN (SELECT org FROM organisation) AND length(trim(borough)) > 0 GROUP BY ALL""",
+    "profiled": f"""
+SELECT patient, month_no, gender, born // 15 * 15 AS age_band, count(*) AS times FROM
+ (SELECT patient, gender_sk, CAST(1996 - year(dob) AS INT) AS born, {_covered('period_start', 'period_end', 'date_of_death')} AS month_no
+  FROM fact_profile, span WHERE source = 7 AND period_end IS NOT NULL) JOIN gender USING (gender_sk) GROUP BY ALL""",
+    "resident": f"""
+SELECT patient, month_no, lsoa, count(*) AS times FROM
+ (SELECT patient, area_sk, {_covered('period_start', 'period_end', 'date_detected_end')} AS month_no
+  FROM fact_residence, span WHERE source = 7 AND period_end IS NOT NULL) JOIN output_area USING (area_sk) WHERE census_year = '2011' GROUP BY ALL""",
+    "attended": f"""
+SELECT patient, {_month('episode_start')} AS month_no, count(*) AS visits FROM encounter, span
+WHERE episode_number = 1 AND (starts_with(method, '1') OR starts_with(method, '2')) GROUP BY ALL""",
+    "person_month": f"""
+SELECT patient, {_CELL}, p.times * f.times * r.times AS times, visits
+FROM at_practice p JOIN profiled f USING (patient, month_no) JOIN resident r USING (patient, month_no)
+LEFT JOIN attended USING (patient, month_no)""",
     "population_raw": f"""
-SELECT {_STRATA}, count(DISTINCT fpra.patient) AS persons
-FROM calendar c JOIN fact_practice fpra ON 1=1 {_MEMBERS}
-GROUP BY ALL""",
-    "population": _with_quintile("population_raw", "persons"),
+SELECT {_CELL}, count(DISTINCT patient) AS persons FROM person_month GROUP BY ALL""",
+    "population": _named("population_raw", "persons"),
     "activity_raw": f"""
-SELECT {_STRATA}, count(*) AS attends, count(DISTINCT a.encounter) AS distinct_attends
-FROM calendar c JOIN encounter a ON a.episode_start >= c.start_date AND a.episode_start < c.end_date
-JOIN fact_practice fpra ON fpra.patient = a.patient {_MEMBERS}
- AND a.episode_number = 1 AND left(a.method, 1) IN ('1', '2')
-GROUP BY ALL""",
-    "activity": _with_quintile("activity_raw", "attends"),
+SELECT {_CELL}, CAST(sum(times * visits) AS BIGINT) AS attends, CAST(sum(visits) AS BIGINT) AS distinct_attends
+FROM person_month WHERE visits > 0 GROUP BY ALL""",
+    "activity": _named("activity_raw", "attends"),
     "linked": """
-SELECT a.*, b.attends FROM population a LEFT JOIN activity b
-ON a.month_no = b.month_no AND a.borough = b.borough AND a.quintile = b.quintile AND a.age_band = b.age_band
- AND a.gender = b.gender AND a.pcn_name = b.pcn_name AND a.practice_code = b.practice_code
- AND a.practice_name = b.practice_name AND a.lsoa = b.lsoa""",
+SELECT p.*, a.attends FROM population p LEFT JOIN (SELECT * EXCLUDE (month) FROM activity) a
+USING (month_no, lsoa, borough, pcn_name, practice_code, practice_name, quintile, age_band, gender)""",
     "study": "SELECT * FROM linked WHERE quintile <> 99 AND gender <> 'U' AND age_band < 105",
 }

@@ -522,7 +522,7 @@ def _mixed(spark, sf_dir, family, exposed="deprived", extra=()):
     model = RateModel("attends", (*study.AGE_SEX, Numeric(exposed), *extra), family)
     with Scratch(spark) as scratch:
         fitted = fit_random_intercept(model_table(spark, sf_dir), model, "borough", scratch)
-    table = tidy_mixed(fitted, spark).withColumn("status", F.lit(fitted.status))
+    table = tidy_mixed(fitted, spark)
     return table.withColumns({"spread": F.lit(fitted.spread), "loglik": F.lit(fitted.loglik)})
 
 

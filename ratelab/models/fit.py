@@ -289,7 +289,7 @@ def fit_slices(
         slices = max(1, -(-groups * len(variants) * len(design.names) ** 2 // DRIVER_ENTRIES))
     if slices > 1:
         of = F.pmod(F.xxhash64("model_id"), F.lit(slices)).cast("int")
-        rows = scratch.keep(rows.withColumn("slice", of), f"{name}_sliced", partition_by="slice")
+        rows = scratch.keep(rows.withColumn("slice", of), f"{name}_sliced", "slice")
     for number in range(slices):
         part = rows if slices == 1 else rows.filter(F.col("slice") == number).drop("slice")
         facts = _facts(part, model)

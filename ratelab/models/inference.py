@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ratelab.functions.columns import normal_quantile
 from ratelab.models.design import INTERCEPT, NEGATIVE_BINOMIAL
-from ratelab.models.fit import NO_OVERDISPERSION, FitResult, maximise, solve
+from ratelab.models.fit import DRIVER_ENTRIES, NO_OVERDISPERSION, STEP_LIMIT, UNBOUNDED, FitResult, maximise, solve
+from ratelab.models.mixed import MixedResult, mixed_aic, mixed_parameters
 
 COEFFICIENTS = (
     "model_id string, term string, estimate double, std_error double, statistic double, "
-    "p_value double, conf_low double, conf_high double"
+    "p_value double, conf_low double, conf_high double, status string"
 )
 SUMMARY = (
     "model_id string, family string, n long, df_residual long, theta double, se_theta double, "
@@ -30,6 +31,17 @@ def _number(value: float) -> float | None:
     return float(value) if np.isfinite(value) else None
 
 
+def settled(fit: FitResult) -> list[int]:
+    """Models whose coefficients are the maximum's."""
+    return [i for i in fit.usable if fit.status[i] not in (STEP_LIMIT, UNBOUNDED)]
+
+
+def _batches(items: list, columns: int) -> list[list]:
+    """Parts of ``items`` whose matrices the driver can hold together."""
+    size = max(1, DRIVER_ENTRIES // columns**2)
+    return [items[at : at + size] for at in range(0, len(items), size)]
+
+
 def tidy(
     fit: FitResult,
     spark: SparkSession,
@@ -42,7 +54,8 @@ def tidy(
 
     A batch of labelled variants gets an ``adjustment`` column.
     ``method`` is "wald" or "profile". A term that is a combination of earlier
-    ones has nulls; so have all terms of a model that could not be fitted.
+    ones has nulls; so have all terms of a model that could not be fitted, did
+    not settle or runs off, as ``status`` says on every row.
     """
     z = normal_quantile(level)
     names = fit.design.names
@@ -51,12 +64,12 @@ def tidy(
     limits = profile_limits(fit, wanted, level) if method == "profile" else {}
     out = []
     for i, model_id in enumerate(fit.models):
-        usable = i in fit.usable
+        usable = i in settled(fit)
         for j in wanted:
             if not fit.used[i, j]:
                 continue
             if not usable or not fit.free[i, j]:
-                out.append((model_id, names[j], *[None] * 6, fit.labels[i]))
+                out.append((model_id, names[j], *[None] * 6, fit.status[i], fit.labels[i]))
                 continue
             estimate = fit.b[i, j]
             error = math.sqrt(max(fit.covariance[i, j, j], 0.0))
@@ -72,6 +85,7 @@ def tidy(
                     _number(statistic),
                     _number(math.erfc(abs(statistic) / math.sqrt(2))),
                     *ends,
+                    fit.status[i],
                     fit.labels[i],
                 )
             )
@@ -85,15 +99,22 @@ def profile_limits(
     """Profile likelihood limits, dispersion held at its estimate.
 
     Each limit solves "likelihood = maximum - z^2/2, other scores = 0" by the
-    steps of Venzon and Moolgavkar (1988). All limits of all models share the
-    Spark passes, as separate fits of one batch.
+    steps of Venzon and Moolgavkar (1988). Limits of all models share the
+    Spark passes, as separate fits of a batch; the driver's budget bounds it.
     """
-    half = normal_quantile(level) ** 2 / 2
     tasks = [
-        (i, j, side) for i in fit.usable for j in columns if fit.free[i, j] for side in (-1.0, 1.0)
+        (i, j, side) for i in settled(fit) for j in columns if fit.free[i, j] for side in (-1.0, 1.0)
     ]
-    if not tasks:
-        return {}
+    ends: dict[tuple[int, int], list[float]] = {}
+    for batch in _batches(tasks, len(fit.design.names)):
+        for (i, j, _), end in zip(batch, _profile_ends(fit, batch, level, max_steps)):
+            ends.setdefault((i, j), []).append(end)
+    return {key: (pair[0], pair[1]) for key, pair in ends.items()}
+
+
+def _profile_ends(fit: FitResult, tasks: list[tuple[int, int, float]], level: float, max_steps: int) -> list[float]:
+    """The limit of each (model, column, side); nan where it does not settle."""
+    half = normal_quantile(level) ** 2 / 2
     who = [t[0] for t in tasks]
     models = [fit.models[i] for i in who]
     bounds, theta = fit.bounds[who], fit.theta[who]
@@ -121,13 +142,11 @@ def profile_limits(
                 b[k] = (b[k] + fit.b[i]) / 2
                 continue
             step = u + side * math.sqrt(square) * v
-            size = np.abs(step).max()
+            # As the mean change of the predictor, whatever the scale of columns.
+            size = math.sqrt(max(step @ s.info[a] @ step / s.info[a][0, 0], 0.0))
             b[k] += step if size <= 2 else step * (2 / size)
             done[k] = size < 1e-7
-    ends: dict[tuple[int, int], list[float]] = {}
-    for k, (i, j, _) in enumerate(tasks):
-        ends.setdefault((i, j), []).append(b[k][j] if done[k] else math.nan)
-    return {key: (pair[0], pair[1]) for key, pair in ends.items()}
+    return [b[k][j] if done[k] else math.nan for k, (_, j, _) in enumerate(tasks)]
 
 
 def rank(fit: FitResult) -> np.ndarray:
@@ -162,13 +181,21 @@ def summary(fit: FitResult, spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(out, SUMMARY)
 
 
-def compare_aic(fits: dict[str, FitResult], spark: SparkSession) -> DataFrame:
-    """AIC of several models of the same response, one row per model and group."""
+def compare_aic(fits: dict[str, FitResult | MixedResult], spark: SparkSession) -> DataFrame:
+    """AIC of several models of the same response, one row per model and group.
+
+    Models with a random intercept stand beside plain ones with their
+    approximate marginal likelihood; their spread counts as a parameter.
+    """
     responses = {f.design.model.response for f in fits.values()}
     if len(responses) > 1:
         raise ValueError(f"AIC compares models of one response, not of {sorted(responses)}")
     out = []
     for name, f in fits.items():
+        if isinstance(f, MixedResult):
+            if f.usable:
+                out.append((name, "all", mixed_parameters(f), float(f.loglik), mixed_aic(f)))
+            continue
         values, k = aic(f), rank(f) + (f.family == NEGATIVE_BINOMIAL)
         out += [(name, f.models[i], int(k[i]), float(f.stats.ll[i]), float(values[i])) for i in f.usable]
     return spark.createDataFrame(out, "model string, model_id string, df long, loglik double, aic double")
@@ -210,13 +237,16 @@ def sequential_deviance(fit: FitResult, spark: SparkSession) -> DataFrame:
             masks.append(mask)
     if not who:
         return spark.createDataFrame([], DEVIANCE)
-    models = [fit.models[i] for i in who]
     free = np.array(masks)
-    start = np.where(free, fit.b[who], 0.0)
-    start[:, 1:] = 0.0
-    bounds, theta = fit.bounds[who], fit.theta[who]
-    nested = maximise(fit.likelihood, models, start, bounds, free, theta=theta)
-    deviance = fit.likelihood(models, nested.b, bounds, theta, full=True).scalars["deviance"]
+    deviance = np.zeros(len(who))
+    for batch in _batches(list(range(len(who))), len(design.names)):
+        own = [who[k] for k in batch]
+        models = [fit.models[i] for i in own]
+        start = np.where(free[batch], fit.b[own], 0.0)
+        start[:, 1:] = 0.0
+        bounds, theta = fit.bounds[own], fit.theta[own]
+        nested = maximise(fit.likelihood, models, start, bounds, free[batch], theta=theta)
+        deviance[batch] = fit.likelihood(models, nested.b, bounds, theta, full=True).scalars["deviance"]
     out, k = [], 0
     for i in fit.usable:
         for t, label in enumerate(labels):

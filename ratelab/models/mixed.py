@@ -16,11 +16,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ratelab.functions.columns import normal_quantile
 from ratelab.models.design import NEGATIVE_BINOMIAL, Design, RateModel, compress, find_levels
-from ratelab.models.fit import DRIVER_ENTRIES, independent
+from ratelab.models.fit import DRIVER_ENTRIES, NO_EVENTS, STEP_LIMIT, independent
 from ratelab.models.likelihood import Curvature, Moments
 from ratelab.scratch import Scratch
 
 MAX_STEPS = 60
+HALVINGS = 8
+OVERSHOT = 0.02
 TOLERANCE = 1e-7
 SPREAD_LIMIT = 1e-4
 THETA_LIMIT = 1e5
@@ -49,6 +51,10 @@ class MixedResult:
     loglik: float
     status: str
 
+    @property
+    def usable(self) -> bool:
+        return self.status not in (NO_EVENTS, STEP_LIMIT)
+
 
 def _prepare(df: DataFrame, model: RateModel, group: str, scratch: Scratch):
     rows = scratch.keep(compress(df, model, by=group), "mixed_rows")
@@ -73,6 +79,10 @@ def _prepare(df: DataFrame, model: RateModel, group: str, scratch: Scratch):
     if ends:
         # One range for all groups: the coefficients are shared.
         row = rows.agg(*ends).first()
+        for i, term in enumerate(model.splines):
+            low, high = row[2 * i], row[2 * i + 1]
+            if low is None or not low < min(term.knots) or not max(term.knots) < high:
+                raise ValueError(f"the spline is not identified on its range in the data: {term}")
         bounds = np.tile(np.array([float(v) for v in row]), (len(facts), 1))
     return rows, design, facts, bounds
 
@@ -80,6 +90,8 @@ def _prepare(df: DataFrame, model: RateModel, group: str, scratch: Scratch):
 def fit_random_intercept(df: DataFrame, model: RateModel, group: str, scratch: Scratch) -> MixedResult:
     """Maximum (Laplace) likelihood with a normal intercept per value of ``group``."""
     rows, design, facts, bounds = _prepare(df, model, group, scratch)
+    if not facts:
+        raise ValueError("no complete cases with people to fit")
     if model.family == GAUSSIAN:
         return _fit_gaussian(rows, design, facts, bounds)
     nb = model.family == NEGATIVE_BINOMIAL
@@ -87,11 +99,18 @@ def fit_random_intercept(df: DataFrame, model: RateModel, group: str, scratch: S
     count, p = len(groups), len(design.names)
     likelihood = Curvature(rows, design, nb)
     b = np.zeros(p)
+    if not any(r["events"] for r in facts):
+        cells = float(sum(r["cells"] for r in facts))
+        return MixedResult(
+            design, model.family, groups, cells, np.full(p, np.nan), np.zeros((p, p)), np.zeros(p, dtype=bool),
+            np.full(count, np.nan), math.nan, None, None, None, math.nan, NO_EVENTS,
+        )
     b[0] = math.log(sum(r["events"] for r in facts) / sum(r["people"] for r in facts))
     u, spread, theta = np.zeros(count), 0.5, 10.0
     free = None
-    best = None
-    status = "step_limit"
+    # The last point that was not an overshoot; results are all taken there.
+    at, merit, halvings = None, -math.inf, 0
+    status = STEP_LIMIT
     for _ in range(MAX_STEPS):
         shifted = np.tile(b, (count, 1))
         shifted[:, 0] += u
@@ -102,8 +121,18 @@ def fit_random_intercept(df: DataFrame, model: RateModel, group: str, scratch: S
         curve = s.scalars["curve"] + inverse
         pull = s.score[:, 0] - u * inverse
         value = float(s.ll.sum() - (u * u).sum() * inverse / 2 - np.log(spread**2 * curve).sum() / 2)
-        # Gradients at the modes the intercepts are moving to.
         to_mode = pull / curve
+        # The value at the modes, to second order.
+        now = value + float((pull * to_mode).sum()) / 2
+        # It is approximate away from the maximum, so only a clear fall (or no
+        # number) means that the step went too far.
+        if at is not None and not now >= merit - OVERSHOT * (1 + abs(merit)) and halvings < HALVINGS:
+            halvings += 1
+            b, u = (b + at[0]) / 2, (u + at[1]) / 2
+            spread, theta = math.sqrt(spread * at[2]), math.sqrt(theta * at[3])
+            continue
+        at, merit, halvings = (b, u, spread, theta), now, 0
+        # Gradients at the modes the intercepts are moving to.
         mode = u + to_mode
         du = -s.vectors["curve"] / curve[:, None]
         score = s.score + s.vectors["curve"] * -to_mode[:, None]
@@ -130,8 +159,12 @@ def fit_random_intercept(df: DataFrame, model: RateModel, group: str, scratch: S
             if theta >= THETA_LIMIT and step_t > 0:
                 step_t = 0.0
         step_u = to_mode + du @ step_b + du_spread * step_s
-        best = (value, s)
-        size = max(np.abs(step_b).max(), np.abs(step_u).max(), abs(step_s), abs(step_t))
+        result = (value, s, info)
+        # Coefficients count by the mean change of the predictor: columns may
+        # be large or nearly combinations of each other.
+        total = s.info.sum(axis=0)
+        shift = math.sqrt(max(step_b @ total @ step_b / total[0, 0], 0.0))
+        size = max(shift, np.abs(step_u).max(), abs(step_s), abs(step_t))
         scale = min(1.0, 2 / size) if size > 0 else 1.0
         b, u = b + scale * step_b, u + scale * step_u
         spread = max(spread * math.exp(scale * step_s), SPREAD_LIMIT)
@@ -139,7 +172,8 @@ def fit_random_intercept(df: DataFrame, model: RateModel, group: str, scratch: S
         if size < TOLERANCE:
             status = "no_spread" if at_edge else "converged"
             break
-    value, s = best
+    value, s, info = result
+    b, u, spread, theta = at
     covariance = np.zeros((p, p))
     covariance[np.ix_(free, free)] = np.linalg.inv(info)
     cells = float(sum(r["cells"] for r in facts))
@@ -212,24 +246,27 @@ def mixed_aic(fit: MixedResult) -> float:
 def tidy_mixed(
     fit: MixedResult, spark: SparkSession, level: float = 0.95, exponentiate: bool = True
 ) -> DataFrame:
-    """Fixed effects with Wald limits."""
+    """Fixed effects with Wald limits; nulls, and why on every row, if the fit did not settle."""
     z = normal_quantile(level)
     scale = math.exp if exponentiate and fit.family != GAUSSIAN else float
     out = []
     for j, name in enumerate(fit.design.names):
-        if not fit.free[j]:
-            out.append((name, *[None] * 6))
+        if not fit.usable or not fit.free[j]:
+            out.append((name, *[None] * 6, fit.status))
             continue
         error = math.sqrt(fit.covariance[j, j])
         statistic = fit.b[j] / error
         p = math.erfc(abs(statistic) / math.sqrt(2))
         ends = [scale(fit.b[j] + side * z * error) for side in (-1, 1)]
-        out.append((name, scale(fit.b[j]), error, float(statistic), p, *ends))
+        out.append((name, scale(fit.b[j]), error, float(statistic), p, *ends, fit.status))
     columns = ["estimate", "std_error", "statistic", "p_value", "conf_low", "conf_high"]
-    return spark.createDataFrame(out, "term string, " + ", ".join(f"{c} double" for c in columns))
+    return spark.createDataFrame(out, "term string, " + ", ".join(f"{c} double" for c in columns) + ", status string")
 
 
 def summary_mixed(fit: MixedResult, spark: SparkSession) -> DataFrame:
+    if not fit.usable:
+        row = (fit.family, len(fit.groups), int(fit.cells), *[None] * 6, fit.status)
+        return spark.createDataFrame([row], MIXED_SUMMARY)
     row = (
         fit.family, len(fit.groups), int(fit.cells), fit.spread, fit.theta, fit.residual,
         fit.pearson, fit.loglik, mixed_aic(fit), fit.status,

@@ -13,12 +13,10 @@ from ratelab.functions.columns import age_band, nonblank, starts_with_any
 from ratelab.operators.lookup import assign_lookup, compact_codes
 from ratelab.operators.membership import (
     BROADCAST_PERIODS,
-    HOT_ROWS,
     clip_to_calendar,
-    hot_persons,
     people_in_periods,
 )
-from ratelab.session import broadcast_checked, like_checked
+from ratelab.session import broadcast_checked
 from ratelab.sources.calendar import Calendar
 
 
@@ -52,7 +50,6 @@ class PatientTables:
     calendar: Calendar
     asof: date
     rules: Rules = field(default_factory=Rules)
-    hot_rows: int = HOT_ROWS
 
     def with_rules(self, **changes) -> "PatientTables":
         return replace(self, rules=replace(self.rules, **changes))
@@ -91,11 +88,9 @@ class _Codes:
         area_names = assign_lookup(
             area_names, t.imd, "lsoa", "imd_quintile", "quintile", t.rules.unmatched_quintile
         )
-        self.place, self.area, self.sex = broadcast_checked(place, area, sex)
-        # A code table has no more codes than rows, so its check covers the names.
-        self.place_names = like_checked(self.place, place, place_names)
-        self.area_names = like_checked(self.area, area, area_names)
-        self.sex_names = like_checked(self.sex, sex, sex_names)
+        self.place, self.area, self.sex, self.place_names, self.area_names, self.sex_names = broadcast_checked(
+            place, area, sex, place_names, area_names, sex_names
+        )
 
     def decode(self, cells: DataFrame, calendar: Calendar, *measures: str) -> DataFrame:
         return (
@@ -133,9 +128,7 @@ def _people(t: PatientTables, codes: _Codes, with_events: bool, how: str = "left
             starts_with_any("method", rules.method_prefixes)
             & (F.col("episode_number") == rules.episode_number)
         ).select("patient", "episode_start")
-    inputs = [t.practice, t.profile, t.residence] + ([t.encounter] if with_events else [])
-    hot = hot_persons(inputs, t.hot_rows)
-    return people_in_periods(practice, profile, residence, calendar, events, how, hot)
+    return people_in_periods(practice, profile, residence, calendar, events, how)
 
 
 CODED = ["month_no", "place", "area", "age_band", "sex"]

@@ -2,27 +2,19 @@
 
 Each membership table is tested against the calendar on its own: two
 memberships of one person may touch the same period without touching each
-other. The tables are therefore shuffled once, by person and in their compact
-interval form, turned into (person, period) rows after the shuffle, and joined
-on (person, period) without moving again.
+other. The tables are therefore moved to their person in compact form, as
+counted ranges of window numbers, turned into (person, period) rows after
+that, and joined on (person, period) without moving again.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ratelab.sources.calendar import Calendar
 
-# Calendars above this size are matched by month buckets instead of broadcast.
+# Stored calendars above this size are matched by month buckets, not broadcast.
 BROADCAST_PERIODS = 10_000
-# A person with more raw rows than this is spread over several tasks.
-HOT_ROWS = 100_000
-# At most this many such persons are treated apart; any others stay correct
-# on the ordinary path.
-HOT_PERSONS = 1_000
-HOT_SPLITS = 32
 BUCKET_SALTS = 32
 
 
@@ -64,36 +56,45 @@ def overlap_periods(
     ).drop("effective_end")
 
 
-def touch_periods(df: DataFrame, calendar: Calendar, start: str) -> DataFrame:
-    """Match rows holding ``start`` and ``effective_end`` to the calendar."""
+def _month_index(day: Column, calendar: Calendar) -> Column:
+    """Number of the calendar month of a day, 1 for the calendar's first month."""
+    origin = calendar.first.year * 12 + calendar.first.month - 1
+    return F.year(day) * 12 + F.month(day) - origin
+
+
+def window_range(calendar: Calendar, start: Column, end: Column) -> tuple[Column, Column]:
+    """Numbers of the first and last window that a range of days touches.
+
+    For calendars of equal windows, month arithmetic says which they are; no
+    row is compared with a window. The range is empty if first > last.
+    """
+    first = F.greatest(_month_index(start, calendar) - (calendar.width - 1), F.lit(1))
+    last = F.least(_month_index(end, calendar), F.lit(calendar.count))
+    return first.cast("int"), last.cast("int")
+
+
+def touch_periods(df: DataFrame, calendar: Calendar, start: str, end: str = "effective_end") -> DataFrame:
+    """One row per row and window that the days from ``start`` to ``end`` touch, with ``month_no``."""
+    if calendar.width:
+        first, last = window_range(calendar, F.col(start), F.col(end))
+        return df.filter(first <= last).withColumn("month_no", F.explode(F.sequence(first, last)))
     windows = calendar.periods.select("month_no", "start_date", "end_date")
-    test = (F.col(start) < F.col("end_date")) & (F.col("effective_end") >= F.col("start_date"))
+    test = (F.col(start) < F.col("end_date")) & (F.col(end) >= F.col("start_date"))
     if calendar.count <= BROADCAST_PERIODS:
         joined = df.join(F.broadcast(windows), test)
     else:
         joined = _bucket_join(
-            df,
-            windows,
-            calendar,
-            F.least(F.col(start), F.col("effective_end")),
-            F.greatest(F.col(start), F.col("effective_end")),
-            test,
+            df, windows, calendar, F.least(F.col(start), F.col(end)), F.greatest(F.col(start), F.col(end)), test
         )
     return joined.drop("start_date", "end_date")
 
 
 def events_in_periods(df: DataFrame, calendar: Calendar, when: str) -> DataFrame:
     """One row per event and window [start, end) that holds its date."""
-    windows = calendar.periods.select("month_no", "start_date", "end_date")
     inside = df.filter(
         (F.col(when) >= F.lit(calendar.first)) & (F.col(when) < F.lit(calendar.last))
     )
-    test = (F.col(when) >= F.col("start_date")) & (F.col(when) < F.col("end_date"))
-    if calendar.count <= BROADCAST_PERIODS:
-        joined = inside.join(F.broadcast(windows), test)
-    else:
-        joined = _bucket_join(inside, windows, calendar, F.col(when), F.col(when), test)
-    return joined.drop("start_date", "end_date")
+    return touch_periods(inside, calendar, when, when)
 
 
 def _bucket_join(
@@ -130,43 +131,25 @@ def _bucket_join(
     )
 
 
-def hot_persons(tables: list[DataFrame], hot_rows: int = HOT_ROWS) -> list[int]:
-    """Persons with more than ``hot_rows`` rows over the tables, largest first.
+def _counted(df: DataFrame, calendar: Calendar, keys: list[str], start: str, end: str) -> DataFrame:
+    """(patient, month_no, keys, copies) rows, all of a person in one place.
 
-    This only chooses a faster plan for them, so the list may be cut safely.
+    Equal rows of a person are counted before any shuffle and, on calendars of
+    equal windows, dates become window numbers first: a person then has at
+    most one row per range of windows and keys, however many raw rows.
     """
-    people = reduce(DataFrame.unionAll, [t.select("patient") for t in tables])
-    heavy = (
-        people.filter("patient IS NOT NULL")
-        .groupBy("patient")
-        .count()
-        .filter(F.col("count") > hot_rows)
-        .orderBy(F.desc("count"))
-        .limit(HOT_PERSONS)
-    )
-    return [r["patient"] for r in heavy.collect()]
-
-
-def _counted(df: DataFrame, calendar: Calendar, keys: list[str], event: bool, spread: bool) -> DataFrame:
-    """(patient, month_no, keys, copies) rows, shuffled by person unless ``spread``."""
-    if not spread:
-        # Still compact here: the periods are attached after the shuffle.
-        df = df.repartition("patient")
-    when = "episode_start"
-    rows = (
-        events_in_periods(df, calendar, when)
-        if event
-        else touch_periods(df, calendar, "period_start")
-    )
-    return rows.groupBy("patient", "month_no", *keys).agg(F.count(F.lit(1)).alias("copies"))
-
-
-def _salted(df: DataFrame, by: str | None) -> DataFrame:
-    """Spread rows over the salts by a key, or copy them to every salt."""
-    if by is not None:
-        return df.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(HOT_SPLITS)))
-    salts = F.sequence(F.lit(0).cast("long"), F.lit(HOT_SPLITS - 1).cast("long"))
-    return df.withColumn("salt", F.explode(salts))
+    df = df.filter(F.col("patient").isNotNull())
+    ends = [start, end]
+    if calendar.width:
+        first, last = window_range(calendar, F.col(start), F.col(end))
+        df = df.select("patient", *keys, first.alias("first"), last.alias("last")).filter("first <= last")
+        ends = ["first", "last"]
+    compact = df.groupBy("patient", *dict.fromkeys(ends), *keys).agg(F.count(F.lit(1)).alias("n")).repartition("patient")
+    if calendar.width:
+        rows = compact.withColumn("month_no", F.explode(F.sequence("first", "last")))
+    else:
+        rows = touch_periods(compact, calendar, start, end)
+    return rows.groupBy("patient", "month_no", *keys).agg(F.sum("n").alias("copies"))
 
 
 def people_in_periods(
@@ -176,7 +159,6 @@ def people_in_periods(
     calendar: Calendar,
     events: DataFrame | None = None,
     how: str = "left",
-    hot: list[int] | None = None,
 ) -> DataFrame:
     """Join the three memberships, and events if given, on (patient, month_no).
 
@@ -184,33 +166,24 @@ def people_in_periods(
     keys: ``place`` for practice, ``age_band`` and ``sex`` for profile, ``area``
     for residence. Each (patient, month_no, place, area, age_band, sex) comes
     out once. ``copies`` is the number of membership row combinations behind
-    it and ``events`` the person's events in the period.
+    it and ``events`` the person's events in the period. A person with very
+    many places and areas in one period has a row for each combination: that
+    is what cells count.
     """
-    inputs = [
-        (practice, ["place"], False),
-        (profile, ["age_band", "sex"], False),
-        (residence, ["area"], False),
+    inputs = [(practice, ["place"]), (profile, ["age_band", "sex"]), (residence, ["area"])]
+    sides = [
+        _counted(df, calendar, keys, "period_start", "effective_end").withColumnRenamed("copies", f"n{i}")
+        for i, (df, keys) in enumerate(inputs)
     ]
+    on = ["patient", "month_no"]
+    out = sides[0].join(sides[1], on).join(sides[2], on)
+    copies = F.col("n0") * F.col("n1") * F.col("n2")
+    columns = [*on, "place", "area", "age_band", "sex", copies.alias("copies")]
     if events is not None:
-        inputs.append((events, [], True))
-
-    def join(spread: bool) -> DataFrame:
-        on = ["patient", "month_no"] + (["salt"] if spread else [])
-        sides = []
-        for df, keys, event in inputs:
-            if hot:
-                member = F.col("patient").isin(hot)
-                df = df.filter(member if spread else ~member)
-            side = _counted(df, calendar, keys, event, spread)
-            side = side.withColumnRenamed("copies", f"n{len(sides)}")
-            sides.append(_salted(side, "place" if not sides else None) if spread else side)
-        out = sides[0].join(sides[1], on).join(sides[2], on)
-        copies = F.col("n0") * F.col("n1") * F.col("n2")
-        columns = ["patient", "month_no", "place", "area", "age_band", "sex", copies.alias("copies")]
-        if events is not None:
-            out = out.join(sides[3], on, how)
-            columns.append(F.col("n3").alias("events"))
-        return out.select(*columns)
-
-    people = join(spread=False)
-    return people.unionByName(join(spread=True)) if hot else people
+        inside = events.filter(
+            (F.col("episode_start") >= F.lit(calendar.first)) & (F.col("episode_start") < F.lit(calendar.last))
+        )
+        seen = _counted(inside, calendar, [], "episode_start", "episode_start")
+        out = out.join(seen.withColumnRenamed("copies", "events"), on, how)
+        columns.append(F.col("events"))
+    return out.select(*columns)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -27,25 +29,23 @@ def rows_per(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
 
 
-def wide_strata(
-    df: DataFrame, index: str, parts: Sequence[str], levels: Sequence[Sequence], measure: str
-) -> DataFrame:
-    """Strict sums by ``index`` with one column per combination of ``parts``.
+def wide_strata(df: DataFrame, index: str, parts: Sequence[str], measure: str) -> DataFrame:
+    """Strict sums by ``index`` with one column per combination of ``parts`` that occurs.
 
-    ``levels`` lists the values of each part, so no pass over the data is
-    needed to find the columns. Column names join the values with underscores.
+    Column names join the values with underscores, a missing one as ``NA``, in
+    the order of the values. One aggregate finds the combinations; nothing in
+    the data is left out. They become columns, so their number is for the
+    caller to keep sensible.
     """
-    names = [""]
-    for values in levels:
-        names = [f"{n}_{v}" if n else str(v) for n in names for v in values]
-    label = F.concat_ws("_", *[F.col(p).cast("string") for p in parts])
     summed = df.groupBy(index, *parts).agg(sum_strict(measure).alias("total"))
-    return (
-        summed.withColumn("label", label)
-        .groupBy(index)
-        .pivot("label", names)
-        .agg(F.first("total", ignorenulls=True))
-    )
+    found = summed.select(*parts).distinct().orderBy(*parts).collect()
+    names = ["_".join("NA" if v is None else str(v) for v in r) for r in found]
+    if len(set(names)) < len(names):
+        raise ValueError(f"values of {parts} give the same column name twice")
+    here = lambda r: reduce(and_, [F.col(p).eqNullSafe(F.lit(v)) for p, v in zip(parts, r)])
+    # A combination is one row per index at most, so max only picks it.
+    columns = [F.max(F.when(here(r), F.col("total"))).alias(n) for r, n in zip(found, names)]
+    return summed.groupBy(index).agg(*columns) if columns else summed.select(index).distinct()
 
 
 def missing_numerator(

@@ -148,6 +148,7 @@ def _stack(parts: Iterator[FitResult], spark: SparkSession, **how) -> DataFrame:
     out, more = next(tables), next(tables, None)
     if more is None:
         return out
+    # The caller reads this table after the fits are gone: it stays in the run's folder.
     kept = Scratch(spark).table("coefficients")
     for part in chain((out, more), tables):
         part.write.mode("append").parquet(kept)
@@ -173,7 +174,7 @@ def rate_ratio(
 
 
 def adjustment_comparison(
-    table: DataFrame, by: str = "borough", exposed: str = "deprived", method: str = "wald"
+    table: DataFrame, by: str = "borough", exposed: str = "deprived", method: str = "profile", outcome: str = "attends"
 ) -> DataFrame:
     """Rate ratios per group under each adjustment set, stacked with its label.
 
@@ -184,8 +185,8 @@ def adjustment_comparison(
     spark = table.sparkSession
     terms = {label: (*adjust, Numeric(exposed)) for label, adjust in ADJUSTMENTS.items()}
     every = tuple(dict.fromkeys(t for set_ in terms.values() for t in set_))
-    models = {label: RateModel("attends", t) for label, t in terms.items()}
-    full = RateModel("attends", every)
+    models = {label: RateModel(outcome, t) for label, t in terms.items()}
+    full = RateModel(outcome, every)
     counts = table.agg(
         *[
             F.count_if(reduce(and_, [F.col(c).isNotNull() for c in m.covariates])).alias(f"n{i}")

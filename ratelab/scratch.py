@@ -30,10 +30,10 @@ class Scratch:
     def table(self, name: str) -> str:
         return f"{self.path}/{name}"
 
-    def keep(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         writer = df.write.mode("overwrite")
         if partition_by:
-            writer = writer.partitionBy(partition_by)
+            writer = writer.partitionBy(*partition_by)
         writer.parquet(self.table(name))
         # The schema is known: reading it back needs no footer inspection job.
         return self.spark.read.schema(df.schema).parquet(self.table(name))

@@ -2,42 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from functools import reduce
+from operator import add
 
-# A lookup with at most this many rows is sent to every executor. The columns
-# carried are a key, a 64-bit code and a count, so this is about 50 MB.
-BROADCAST_ROWS = 1_000_000
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType
+
+# A lookup of at most this many bytes is sent to every executor.
+BROADCAST_BYTES = 50 << 20
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Let joins on (patient, period) reuse an existing partitioning by patient."""
-    for key, value in {
-        "spark.sql.requireAllClusterKeysForCoPartition": "false",
-        "spark.sql.adaptive.enabled": "true",
-        # Rows multiply by the number of periods after the shuffle by person,
-        # so tasks that look small there are not.
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.session.timeZone": "UTC",
-    }.items():
-        spark.conf.set(key, value)
+    """Let joins on (patient, period) reuse an existing partitioning by patient.
+
+    The one option the plans rely on; all others are the caller's.
+    """
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     return spark
 
 
-def broadcast_checked(*tables: DataFrame, limit: int = BROADCAST_ROWS) -> list[DataFrame]:
-    """Mark each table for broadcast if counting shows at most ``limit`` rows.
+def _bytes(table: DataFrame) -> Column:
+    """Bytes of all rows: texts by their length, numbers and dates as eight."""
+    width = 8 * sum(not isinstance(f.dataType, StringType) for f in table.schema)
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) + 8 for f in table.schema if isinstance(f.dataType, StringType)]
+    return F.coalesce(F.sum(reduce(add, texts, F.lit(width))), F.lit(0))
 
-    All tables are counted in one job. Larger tables are returned unmarked, so
-    Spark joins them by shuffle.
-    """
-    counts = None
-    for i, table in enumerate(tables):
-        one = table.agg(F.lit(i).alias("i"), F.count("*").alias("n"))
-        counts = one if counts is None else counts.unionAll(one)
-    sizes = {r["i"]: r["n"] for r in counts.collect()}
-    return [F.broadcast(t) if sizes[i] <= limit else t for i, t in enumerate(tables)]
 
+def broadcast_checked(*tables: DataFrame, limit: int = BROADCAST_BYTES) -> list[DataFrame]:
+    """Mark each table for broadcast if it is measured to hold at most ``limit`` bytes.
 
-def like_checked(checked: DataFrame, original: DataFrame, other: DataFrame) -> DataFrame:
-    """Mark ``other``, which has no more rows, the way ``original`` was marked."""
-    return F.broadcast(other) if checked is not original else other
+    All tables are measured in one job. Larger tables are returned unmarked,
+    so Spark joins them by shuffle.
+    """
+    sizes = None
+    for i, table in enumerate(tables):
+        one = table.agg(_bytes(table).alias("n")).select(F.lit(i).alias("i"), "n")
+        sizes = one if sizes is None else sizes.unionAll(one)
+    found = {r["i"]: r["n"] for r in sizes.collect()}
+    return [F.broadcast(t) if found[i] <= limit else t for i, t in enumerate(tables)]

@@ -12,12 +12,17 @@ COLUMNS = ("month", "month_no", "start_date", "end_date")
 
 @dataclass(frozen=True)
 class Calendar:
-    """Periods plus the facts that plans need about them."""
+    """Periods plus the facts that plans need about them.
+
+    ``width`` is the number of months in each window where windows start in
+    consecutive months and are numbered from 1; None for any other calendar.
+    """
 
     periods: DataFrame
     count: int
     first: date
     last: date
+    width: int | None = None
 
 
 def _add_months(day: date, months: int) -> date:
@@ -38,7 +43,7 @@ def rolling(spark: SparkSession, start: date, count: int, width: int) -> Calenda
         first.alias("start_date"),
         F.add_months(first, width).alias("end_date"),
     )
-    return Calendar(periods, count, start, _add_months(start, count - 1 + width))
+    return Calendar(periods, count, start, _add_months(start, count - 1 + width), width)
 
 
 def monthly(spark: SparkSession, start: date, count: int) -> Calendar:

@@ -72,13 +72,24 @@ def test_period_filters(spark):
 def test_wide_strata_and_gaps(spark):
     rows = [(1, 15, "F", 2), (1, 15, "F", 3), (1, 30, "M", None), (2, 15, "F", 1), (2, 30, "M", 4)]
     df = spark.createDataFrame(rows, "month int, age int, sex string, n int")
-    got = wide_strata(df, "month", ["age", "sex"], [[15, 30], ["F", "M"]], "n").orderBy("month")
-    assert got.columns == ["month", "15_F", "15_M", "30_F", "30_M"]
-    assert [tuple(r) for r in got.collect()] == [(1, 5, None, None, None), (2, 1, None, None, 4)]
+    got = wide_strata(df, "month", ["age", "sex"], "n").orderBy("month")
+    assert got.columns == ["month", "15_F", "30_M"]
+    assert [tuple(r) for r in got.collect()] == [(1, 5, None), (2, 1, 4)]
     cells = spark.createDataFrame([(1, 10, 2), (2, 10, None)], "month int, persons int, attends int")
     assert [r["month"] for r in missing_numerator(cells, ["month"]).collect()] == [2]
 
 
+def test_wide_strata_leave_nothing_out(spark):
+    rows = [(1, 105, "F", 2), (1, None, "F", 3), (2, 15, None, 4), (None, 15, "F", 5)]
+    df = spark.createDataFrame(rows, "month int, age int, sex string, n int")
+    got = wide_strata(df, "month", ["age", "sex"], "n").orderBy("month")
+    assert got.columns == ["month", "NA_F", "15_NA", "15_F", "105_F"]
+    assert [tuple(r) for r in got.collect()] == [(None, None, None, 5, None), (1, 3, None, None, 2), (2, None, 4, None, None)]
+    assert wide_strata(df.limit(0), "month", ["age", "sex"], "n").columns == ["month"]
+    with pytest.raises(ValueError, match="same column name"):
+        wide_strata(spark.createDataFrame([(1, "a_b", "c", 1), (1, "a", "b_c", 1)], "month int, x string, y string, n int"), "month", ["x", "y"], "n")
+
+
 def test_levels_sort_as_numbers(spark):
     df = spark.createDataFrame([(105,), (15,), (90,), (None,)], "a int")
     assert [r[0] for r in factor_levels(df, "a").collect()] == [15, 90, 105]

@@ -422,3 +422,43 @@ def test_no_spread_is_reported(spark, pdf, scratch):
     df = spark.createDataFrame(rows, "grp string, d int, persons int, y int")
     got = fit_random_intercept(df, RateModel("y", (Numeric("d"),), POISSON), "grp", scratch)
     assert got.status == "no_spread" and got.spread == pytest.approx(1e-4)
+
+
+def test_random_intercepts_refuse_and_report(spark, scratch):
+    rows = [(g, m, 1, 100, y) for g, y in (("a", 0), ("b", 0)) for m in range(1, 13)]
+    none = spark.createDataFrame(rows, "g string, month_no int, x int, persons int, y int")
+    fitted = fit_random_intercept(none, RateModel("y", (Numeric("x"),), POISSON), "g", scratch)
+    assert fitted.status == "no_events"
+    assert {r["status"] for r in tidy_mixed(fitted, spark).collect()} == {"no_events"}
+    assert [r["estimate"] for r in tidy_mixed(fitted, spark).collect()] == [None, None]
+    assert summary_mixed(fitted, spark).first()["loglik"] is None
+    for table in (none.filter("month_no = 5"), none.filter("month_no < 7")):
+        with pytest.raises(ValueError, match="not identified"):
+            fit_random_intercept(table, RateModel("y", (NaturalSpline("month_no", (4.0, 8.0)),), POISSON), "g", scratch)
+    with pytest.raises(ValueError, match="no complete cases"):
+        fit_random_intercept(none.limit(0), RateModel("y", (Numeric("x"),), POISSON), "g", scratch)
+
+
+def test_aic_of_random_intercepts_beside_plain_models(spark, scratch):
+    rows = [(g, x, 100, y + x) for g, y in (("a", 5), ("b", 9), ("c", 30)) for x in (0, 1) for _ in range(4)]
+    df = spark.createDataFrame(rows, "g string, x int, persons int, y int")
+    model = RateModel("y", (Numeric("x"),), POISSON)
+    fits = {"plain": fit(df, model, scratch), "random": fit_random_intercept(df, model, "g", scratch)}
+    got = {r["model"]: r for r in compare_aic(fits, spark).collect()}
+    assert (got["plain"]["df"], got["random"]["df"]) == (2, 3)
+    assert got["random"]["aic"] < got["plain"]["aic"]
+    assert got["random"]["aic"] == pytest.approx(-2 * got["random"]["loglik"] + 6)
+
+
+def test_limits_in_small_batches_are_the_same(spark, scratch, monkeypatch):
+    from ratelab.models import inference
+
+    rows = [(g, x, 100, y + x * k) for g, y in (("a", 5), ("b", 9)) for x in (0, 1) for k in range(4)]
+    df = spark.createDataFrame(rows, "g string, x int, persons int, y int")
+    fitted = fit(df, RateModel("y", (Numeric("x"),), POISSON), scratch, "g")
+    table = lambda: sorted(tidy(fitted, spark, method="profile").collect())
+    steps = lambda: sorted(sequential_deviance(fitted, spark).collect(), key=repr)
+    whole, deviances = table(), steps()
+    monkeypatch.setattr(inference, "DRIVER_ENTRIES", 4)
+    assert table() == whole and steps() == deviances
+    assert {r["status"] for r in whole} == {"converged"}
