@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 _CHUNK = 1 << 21  # characters of a text encoded at once
-_MEMO = 700_000  # pieces a worker remembers, at most
+_TOGETHER = 1 << 18  # characters of texts encoded in one call
+_MEMO = 600_000  # pieces of a kind a worker remembers, about
+_TAIL = ".,:;!?*%$#&|"  # punctuation after letters
 _CUT = re.compile(r"(?<=\S) ")
 _loaded: dict[str, "Encoder"] = {}
 
@@ -19,14 +22,26 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Memo(dict):
+    """Ids of pieces; asking for an unknown one notes it and gives None."""
+
+    def __init__(self) -> None:
+        self.unknown: set[str] = set()
+
+    def __missing__(self, piece: str) -> None:
+        self.unknown.add(piece)
+
+
 class Encoder:
     """Ids of whole texts, as little-endian unsigned 32-bit integers.
 
-    Both kinds of vocabulary file (byte-level and word-level BPE) never join
-    characters across a space that follows a non-space, so a text cut there
-    gives the same ids piece by piece. Pieces recur, so each is encoded by the
-    library once and remembered. A piece that ends in white space, or is
-    empty, is never remembered; its text is given to the library whole.
+    Both kinds of vocabulary file (byte-level and word-level BPE) first cut a
+    text at known places and never join characters across them: before a space
+    that follows a non-space, around a line feed between non-spaces, and
+    between letters and the punctuation after them. A text cut there gives the
+    same ids piece by piece. Pieces recur, so each is encoded by the library
+    once and remembered. A piece that ends in white space, or is empty, is
+    never remembered; its text is given to the library whole.
     """
 
     def __init__(self, path: str, memo: int = _MEMO):
@@ -34,46 +49,110 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._known: dict[str, bytes] = {}
+        self._spaced = _Memo()  # pieces after a space
+        self._first = _Memo()  # pieces at the start of a text
+        self._tails: dict[str, bytes] = {"\n": self._plain(["\n"])[0]}
         self._memo = memo
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.array(x.ids, "<u4").tobytes() for x in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _pieces(self, text: str, after_space: bool) -> bytes:
-        """Ids of a text, or of one with the space before it that it was cut at."""
-        pieces = text.split(" ")
-        whole = " " + text if after_space else text
-        first = [] if after_space else [pieces.pop(0)]
-        if first and (not first[0] or first[0][-1].isspace()):
-            return self._plain([whole])[0]
-        try:
-            found = list(map(self._known.__getitem__, pieces))
-        except KeyError:
-            if len(self._known) > self._memo:
-                self._known.clear()
-            new = [x for x in dict.fromkeys(pieces) if x not in self._known]
-            if any(not x or x[-1].isspace() for x in new):
-                return self._plain([whole])[0]
-            self._known.update(zip(new, self._plain([" " + x for x in new])))
-            found = list(map(self._known.__getitem__, pieces))
-        return b"".join([*self._plain(first), *found])
+        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", x.ids).tobytes() for x in found]
+
+    def _words(self, known: _Memo, lead: str) -> None:
+        """Remember unknown pieces; letters with punctuation after them as the two parts they are cut into."""
+        new, joined, tails = set(), [], set()
+        for x in known.unknown:
+            if not x or x[-1].isspace():
+                continue
+            word = x.rstrip(_TAIL)
+            if len(word) == len(x) or not word.isalpha() or not (word.isascii() or word.lower().isalpha()):
+                new.add(x)
+                continue
+            tail = x[len(word) :]
+            joined.append((x, word, tail))
+            if word not in known:
+                new.add(word)
+            if tail not in self._tails:
+                tails.add(tail)
+        known.unknown.clear()
+        known.update(zip(new, self._plain([lead + x for x in new])))
+        self._tails.update(zip(tails, self._plain(list(tails))))
+        known.update([(x, known[word] + self._tails[tail]) for x, word, tail in joined])
+
+    def _learn(self) -> list[str]:
+        """Remember what is unknown. Gives the pieces over two lines, which are for this time only."""
+        spaced, first = self._spaced, self._first
+        lines = []
+        for x in spaced.unknown:
+            head, feed, rest = x.partition("\n")
+            if feed and head and not head[-1].isspace() and rest and not rest[0].isspace() and not rest[-1].isspace():
+                lines.append((x, head, rest))
+        spaced.unknown.difference_update([x for x, _, _ in lines])
+        for _, head, rest in lines:
+            spaced[head], first[rest]  # noted, if unknown
+        self._words(spaced, " ")
+        self._words(first, "")
+        feed = self._tails["\n"]
+        spaced.update([(x, spaced[head] + feed + first[rest]) for x, head, rest in lines])
+        return [x for x, _, _ in lines]
+
+    def _some(self, parts: list[tuple[str, bool]]) -> list[bytes]:
+        """Ids of some texts; a flag says that the space a text was cut at stands before it."""
+        for known in (self._spaced, self._first):
+            if len(known) > self._memo:
+                known.clear()
+        if len(self._tails) > self._memo:
+            self._tails = {"\n": self._tails["\n"]}
+        cut = [text.split(" ") for text, _ in parts]
+        first = [None if after else pieces.pop(0) for (_, after), pieces in zip(parts, cut)]
+        spaced, start = self._spaced.__getitem__, self._first.__getitem__
+        found = [list(map(spaced, pieces)) for pieces in cut]
+        for x in first:
+            if x is not None:
+                start(x)
+        passing = self._learn()
+        out = []
+        for (text, after), x, pieces, own in zip(parts, first, cut, found):
+            if None in own:
+                own = list(map(spaced, pieces))
+            head = b"" if x is None else start(x)
+            if head is None or None in own:
+                out.append(self._plain([" " + text if after else text])[0])
+            else:
+                out.append(b"".join([head, *own]))
+        for x in passing:
+            del self._spaced[x]
+        self._spaced.unknown.clear()
+        self._first.unknown.clear()
+        return out
 
     def encode(self, text: str | None) -> bytes:
-        text = text or ""
-        if len(text) <= _CHUNK:
-            return self._pieces(text, False) if text else b""
-        return b"".join(self._pieces(part, i > 0) for i, part in enumerate(self._chunks(text)))
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """Ids of each text; null is empty."""
+        waiting: list[tuple[str, bool]] = []
+        size = 0
+        for text in texts:
+            text = text or ""
+            if len(text) > _CHUNK:
+                yield from self._some(waiting)
+                waiting, size = [], 0
+                yield b"".join(self._some([(part, i > 0)])[0] for i, part in enumerate(self._chunks(text)))
+                continue
+            waiting.append((text, False))
+            size += len(text)
+            if size > _TOGETHER:
+                yield from self._some(waiting)
+                waiting, size = [], 0
+        yield from self._some(waiting)
 
     def _chunks(self, text: str) -> Iterator[str]:
         at = 0
-        while at < len(text):
-            cut = _CUT.search(text, at + _CHUNK)
-            end = cut.start() if cut else len(text)
-            yield text[at:end]
-            at = end + 1  # the next one comes after that space
+        while cut := _CUT.search(text, at + _CHUNK):
+            yield text[at : cut.start()]
+            at = cut.start() + 1  # the next one comes after that space
+        yield text[at:]
 
 
 def encoder(path: str) -> Encoder:

@@ -194,8 +194,8 @@ def token_pieces(docs: DataFrame, row: str, doc_id: str, text: str, vocabulary:
     def encoded(texts: pd.Series) -> pd.DataFrame:
         own, step, end = encoder(vocabulary), 4 * capacity, END.to_bytes(4, "little")
         lengths, sums = [], []
-        for t in texts:
-            ids = own.encode(t) + end
+        for ids in own.encode_all(texts):
+            ids += end
             lengths.append(len(ids) // 4)
             sums.append([zlib.crc32(ids[i : i + step]) for i in range(0, len(ids), step)])
         return pd.DataFrame({"n": lengths, "crcs": sums})
@@ -261,7 +261,7 @@ def sequences(docs: DataFrame, layout: DataFrame, vocabulary: str, doc_id: str =
     @F.pandas_udf("array<array<int>>")
     def cut(texts: pd.Series) -> pd.Series:
         own = encoder(vocabulary)
-        every = [np.frombuffer(own.encode(t) + END.to_bytes(4, "little"), "<u4").astype(np.int32) for t in texts]
+        every = [np.frombuffer(x + END.to_bytes(4, "little"), "<u4").astype(np.int32) for x in own.encode_all(texts)]
         return pd.Series([[x[i : i + capacity] for i in range(0, len(x), capacity)] for x in every])
 
     ids = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(cut(F.col(text).cast("string"))).alias("piece", "ids"))

@@ -21,7 +21,7 @@ from ratelab.llm.common import fresh, parts
 from ratelab.llm.encoding import encoder
 
 END = 0  # id after each document
-FILE_TEXT = 24 << 20  # bytes of text to a file; a longer document has a file of its own size
+FILE_TEXT = 16 << 20  # bytes of text to a file; a longer document has a file of its own size
 _HEAD = struct.Struct("<QI")
 _INFO = struct.Struct("<BBq")
 _SUM = struct.Struct("<I")
@@ -75,7 +75,7 @@ def write_records(docs: DataFrame, path: str, vocabulary: str, doc_id: str = "do
     def framed(ids: pd.Series, missing: pd.Series, texts: pd.Series) -> pd.Series:
         own, last = encoder(vocabulary), end.to_bytes(4, "little")
         return pd.Series([
-            frame(None if none else int(i), np.frombuffer(own.encode(t) + last, "<u4")) for i, none, t in zip(ids, missing, texts)
+            frame(None if none else int(i), np.frombuffer(x + last, "<u4")) for i, none, x in zip(ids, missing, own.encode_all(texts))
         ])
 
     made = framed(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), F.col("text"))
