@@ -20,9 +20,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ratelab.llm.common import fresh
 from ratelab.scratch import Scratch
 
 CHUNK = 1 << 15  # characters; longer texts are cut
@@ -228,14 +227,22 @@ def state_vectors(matrices: DataFrame, last: int, size: int, scratch: Scratch, n
     return vectors.select("row", "k", F.col("before").alias("v"))
 
 
+def _is_long(text: Column, chunk: int) -> Column:
+    return F.length(text) >= chunk
+
+
+def _cut(text: Column, chunk: int) -> Column:
+    """The spelt text in chunks, as an array."""
+    spelt = F.when(text == "", "").otherwise(F.concat(F.lit(_SPACE), F.translate(text, " ", _SPACE)))
+    return F.regexp_extract_all(spelt, F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0))
+
+
 def encode_texts(docs: DataFrame, scratch: Scratch, model: str, row: str, text: str, chunk: int = CHUNK) -> DataFrame:
-    """Stored ``row, k, ids (binary, 32-bit little-endian), spelt_right`` for every chunk of every row of ``docs``."""
-    reach = pieces(model).longest
-    if chunk < reach:
-        raise ValueError(f"a chunk must hold the longest piece, {reach} characters")
+    """``row, k, ids (binary, 32-bit little-endian), spelt_right`` for every chunk of every row of ``docs``.
+
+    ``row`` must be the same whenever ``docs`` is read.
+    """
     texts = docs.select(F.col(row).alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    spelt = F.when(F.col("text") == "", "").otherwise(F.concat(F.lit(_SPACE), F.translate("text", " ", _SPACE)))
-    long = F.length("text") >= chunk
 
     @F.pandas_udf("struct<ids: binary, spelt_right: boolean>")
     def whole(texts: pd.Series) -> pd.DataFrame:
@@ -244,10 +251,17 @@ def encode_texts(docs: DataFrame, scratch: Scratch, model: str, row: str, text:
         right = [plain(own.decode(np.frombuffer(i, "<u4").tolist())) == t for i, t in zip(ids, texts)]
         return pd.DataFrame({"ids": ids, "spelt_right": right})
 
-    short = texts.filter(~long).select("row", F.lit(0).cast("long").alias("k"), whole("text").alias("x")).select("row", "k", "x.*")
+    is_long = _is_long(F.col("text"), chunk)
+    short = texts.filter(~is_long).select("row", F.lit(0).cast("long").alias("k"), whole("text").alias("x")).select("row", "k", "x.*")
+    return short.unionByName(encode_chunks(texts.filter(is_long).select("row", _cut(F.col("text"), chunk).alias("c")), scratch, model, chunk))
 
+
+def encode_chunks(cut: DataFrame, scratch: Scratch, model: str, chunk: int) -> DataFrame:
+    """The same for long texts that are already cut: ``row, c`` (array of chunks)."""
+    reach = pieces(model).longest
+    if chunk < reach:
+        raise ValueError(f"a chunk must hold the longest piece, {reach} characters")
     # Chunks come with the characters that a piece may reach into.
-    cut = texts.filter(long).select("row", F.regexp_extract_all(spelt, F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0)).alias("c"))
     ahead = F.coalesce(F.get("c", F.col("i") + 1), F.lit(""))
     each = cut.select("row", "c", F.posexplode("c").alias("i", "own"))
     chunks = each.select(
@@ -257,7 +271,7 @@ def encode_texts(docs: DataFrame, scratch: Scratch, model: str, row: str, text:
     chunks = scratch.keep(chunks, "chunks")
     most = chunks.agg(F.max("k")).first()[0]
     if most is None:
-        return scratch.keep(short, "encoded")
+        return chunks.select("row", "k", F.lit(None).cast("binary").alias("ids"), F.lit(True).alias("spelt_right"))
 
     def transfers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = pieces(model)
@@ -290,8 +304,7 @@ def encode_texts(docs: DataFrame, scratch: Scratch, model: str, row: str, text:
             yield pd.DataFrame({"row": b["row"], "k": b["k"], "ids": ids, "spelt_right": right})
 
     known = chunks.join(ends, ["row", "left"]).join(starts, ["row", "left"], "left").withColumn("start", F.coalesce("start", F.lit(0)))
-    long_ones = known.select("row", "k", "s", "n", "start", "end").mapInPandas(traces, "row long, k long, ids binary, spelt_right boolean")
-    return scratch.keep(short.unionByName(long_ones), "encoded")
+    return known.select("row", "k", "s", "n", "start", "end").mapInPandas(traces, "row long, k long, ids binary, spelt_right boolean")
 
 
 def encode_documents(docs: DataFrame, scratch: Scratch, model: str, doc_id: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
@@ -303,12 +316,32 @@ def encode_documents(docs: DataFrame, scratch: Scratch, model: str, doc_id: str
     Repeated rows are encoded each; an empty table gives an empty result. Only
     ids and texts are read.
     """
-    row = fresh(docs, "row")
-    rows = scratch.keep(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn(row, F.monotonically_increasing_id()), "rows")
-    found = encode_texts(rows, scratch, model, row, "text", chunk)
+    own_row = F.monotonically_increasing_id().alias("row")
+    text_of = F.coalesce(F.col(text).cast("string"), F.lit(""))
+
+    @F.pandas_udf("struct<n_tokens: long, ids_crc32: long, round_trip: boolean>")
+    def whole(texts: pd.Series) -> pd.DataFrame:
+        own, out = pieces(model), []
+        for t in texts:
+            if t is None:
+                out.append((0, 0, True))
+                continue
+            ids = own.whole(marked(t))[1]
+            out.append((len(ids) // 4, zlib.crc32(ids), plain(own.decode(np.frombuffer(ids, "<u4").tolist())) == t))
+        return pd.DataFrame(out, columns=["n_tokens", "ids_crc32", "round_trip"])
+
+    # One pass: short texts leave their digest, long ones their chunks.
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text_of.alias("text")).select(own_row, "doc_id", "text")
+    is_long = _is_long(F.col("text"), chunk)
+    rows = rows.select(
+        "row", "doc_id", whole(F.when(~is_long, F.col("text"))).alias("d"), F.when(is_long, _cut(F.col("text"), chunk)).alias("c")
+    )
+    rows = scratch.keep(rows, "rows")
+    short = rows.filter("c IS NULL").select("doc_id", "d.n_tokens", "d.ids_crc32", F.lit(1).cast("long").alias("n_chunks"), "d.round_trip")
+    found = encode_chunks(rows.filter("c IS NOT NULL").select("row", "c"), scratch, model, chunk)
     # Chunks of one document come together here: bounded by the document.
     joined = found.groupBy("row").agg(
-        F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("c"), F.min("spelt_right").alias("round_trip"), F.count(F.lit(1)).alias("n_chunks")
+        F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("parts"), F.min("spelt_right").alias("round_trip"), F.count(F.lit(1)).alias("n_chunks")
     )
 
     @F.pandas_udf("struct<n_tokens: long, ids_crc32: long>")
@@ -322,9 +355,8 @@ def encode_documents(docs: DataFrame, scratch: Scratch, model: str, doc_id: str
             crcs.append(crc)
         return pd.DataFrame({"n_tokens": n, "ids_crc32": crcs})
 
-    return rows.select(F.col(row).alias("row"), "doc_id").join(joined, "row").select(
-        "doc_id", digest("c").alias("d"), "n_chunks", "round_trip"
-    ).select("doc_id", "d.n_tokens", "d.ids_crc32", "n_chunks", "round_trip")
+    long = rows.filter("c IS NOT NULL").select("row", "doc_id").join(joined, "row").select("doc_id", digest("parts").alias("d"), "n_chunks", "round_trip")
+    return short.unionByName(long.select("doc_id", "d.n_tokens", "d.ids_crc32", "n_chunks", "round_trip"))
 
 
 def decode_ids(encoded: DataFrame, model: str, ids: str = "ids") -> DataFrame:
