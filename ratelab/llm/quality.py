@@ -24,7 +24,7 @@ EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 1e-4, 1e-4
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 4, 2
-_MEMO = 400_000  # words a worker remembers, at most
+_MEMO = 150_000  # words a worker remembers, at most, and only during a task
 _MASK = np.uint64((1 << BITS) - 1)
 _SAME = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -171,9 +171,12 @@ def score(text: str, weights: np.ndarray | None) -> Column:
     intercept = float(weights[-1])
 
     @F.pandas_udf("double")
-    def of(texts: pd.Series) -> pd.Series:
-        dots = np.array([dot(t, own) for t in texts], float)
-        return pd.Series(1.0 / (1.0 + np.exp(-np.clip(_SCALE * dots + intercept, -700, 700))))
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            dots = np.array([dot(t, own) for t in texts], float)
+            yield pd.Series(1.0 / (1.0 + np.exp(-np.clip(_SCALE * dots + intercept, -700, 700))))
+        # Workers live on; what they remember would add to later stages.
+        _known.clear()
 
     return of(F.col(text).cast("string"))
 

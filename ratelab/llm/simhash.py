@@ -27,7 +27,7 @@ WORDS = 3
 RADIUS = 3
 SIDE = 2048  # fingerprints of a bucket compared with as many others at once
 BIN_ROWS = 40_000
-_CHUNK = 1 << 19  # bytes of a text cut into words at once
+_CHUNK = 1 << 17  # bytes of a text cut into words at once
 _PAIRS = 1 << 15  # (fingerprint, block of 64) pairs compared at once
 
 
