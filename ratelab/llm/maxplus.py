@@ -53,7 +53,7 @@ class Pieces:
         self.longest = max(map(len, self.id))
         # No piece goes on after a space that follows other characters: every text can be cut there.
         self.cuts = not any(_SPACE in p.lstrip(_SPACE) for p in self.id)
-        self._known: dict[str, tuple[float, bytes]] = {}
+        self._known: dict[str, tuple[float, bytes, bool]] = {}
 
     def ids(self, piece: str) -> list[int]:
         if piece in self.id:
@@ -87,21 +87,24 @@ class Pieces:
             end = back[end]
         return end, np.array([i for p in reversed(found) for i in self.ids(p)], "<u4").tobytes()
 
-    def unit(self, s: str) -> tuple[float, bytes]:
-        """Best sum and ids of a text without an inner cut, remembered."""
+    def unit(self, s: str) -> tuple[float, bytes, bool]:
+        """Best sum and ids of a text without an inner cut, and whether they decode to it; remembered."""
         if s not in self._known:
             if len(self._known) > _MEMO:
                 self._known.clear()
             best, back = self.forward(s, len(s), [0.0])
-            self._known[s] = best[-1], self.trace(s, back, len(s))[1]
+            ids = self.trace(s, back, len(s))[1]
+            self._known[s] = best[-1], ids, self.decode(np.frombuffer(ids, "<u4").tolist()) == s
         return self._known[s]
 
     def units(self, s: str) -> list[str]:
         return _UNIT.findall(s) if self.cuts else [s]
 
-    def whole(self, s: str) -> tuple[float, bytes]:
-        found = list(map(self.unit, self.units(s)))
-        return sum(x[0] for x in found), b"".join([x[1] for x in found])
+    def whole(self, s: str) -> tuple[bytes, bool]:
+        """Ids of a text, and whether they decode to it: they do if those of all units do."""
+        known = self._known.get
+        found = [known(u) or self.unit(u) for u in self.units(s)]
+        return b"".join([x[1] for x in found]), all([x[2] for x in found])
 
     def parts(self, s: str, n: int) -> tuple[int, list[str], int] | None:
         """First cut, units up to the last cut, last cut among positions 0 < p <= n; None without cuts."""
@@ -247,9 +250,10 @@ def encode_texts(docs: DataFrame, scratch: Scratch, model: str, row: str, text:
     @F.pandas_udf("struct<ids: binary, spelt_right: boolean>")
     def whole(texts: pd.Series) -> pd.DataFrame:
         own = pieces(model)
-        ids = [own.whole(marked(t))[1] for t in texts]
-        right = [plain(own.decode(np.frombuffer(i, "<u4").tolist())) == t for i, t in zip(ids, texts)]
-        return pd.DataFrame({"ids": ids, "spelt_right": right})
+        found = [own.whole(marked(t)) for t in texts]
+        # The marker in a text comes back as a space.
+        right = [ok and _SPACE not in t for (_, ok), t in zip(found, texts)]
+        return pd.DataFrame({"ids": [x[0] for x in found], "spelt_right": right})
 
     is_long = _is_long(F.col("text"), chunk)
     short = texts.filter(~is_long).select("row", F.lit(0).cast("long").alias("k"), whole("text").alias("x")).select("row", "k", "x.*")
@@ -326,15 +330,16 @@ def encode_documents(docs: DataFrame, scratch: Scratch, model: str, doc_id: str
             if t is None:
                 out.append((0, 0, True))
                 continue
-            ids = own.whole(marked(t))[1]
-            out.append((len(ids) // 4, zlib.crc32(ids), plain(own.decode(np.frombuffer(ids, "<u4").tolist())) == t))
+            ids, ok = own.whole(marked(t))
+            out.append((len(ids) // 4, zlib.crc32(ids), ok and _SPACE not in t))
         return pd.DataFrame(out, columns=["n_tokens", "ids_crc32", "round_trip"])
 
     # One pass: short texts leave their digest, long ones their chunks.
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_of.alias("text")).select(own_row, "doc_id", "text")
     is_long = _is_long(F.col("text"), chunk)
     rows = rows.select(
-        "row", "doc_id", whole(F.when(~is_long, F.col("text"))).alias("d"), F.when(is_long, _cut(F.col("text"), chunk)).alias("c")
+        "row", "doc_id", whole(F.when(~is_long, F.col("text"))).alias("d"), F.when(is_long, _cut(F.col("text"), chunk)).alias("c"),
+        F.contains("text", F.lit(_SPACE)).alias("marker"),
     )
     rows = scratch.keep(rows, "rows")
     short = rows.filter("c IS NULL").select("doc_id", "d.n_tokens", "d.ids_crc32", F.lit(1).cast("long").alias("n_chunks"), "d.round_trip")
@@ -355,7 +360,8 @@ def encode_documents(docs: DataFrame, scratch: Scratch, model: str, doc_id: str
             crcs.append(crc)
         return pd.DataFrame({"n_tokens": n, "ids_crc32": crcs})
 
-    long = rows.filter("c IS NOT NULL").select("row", "doc_id").join(joined, "row").select("doc_id", digest("parts").alias("d"), "n_chunks", "round_trip")
+    long = rows.filter("c IS NOT NULL").select("row", "doc_id", "marker").join(joined, "row")
+    long = long.select("doc_id", digest("parts").alias("d"), "n_chunks", (F.col("round_trip") & ~F.col("marker")).alias("round_trip"))
     return short.unionByName(long.select("doc_id", "d.n_tokens", "d.ids_crc32", "n_chunks", "round_trip"))
 
 

@@ -68,7 +68,7 @@ def test_library_finds_no_better_sum():
 
 
 def test_documents(spark, scratch):
-    rows = [(1, "the word " * 9000, "c", "x"), (2, None, "c", "x"), (None, "", "c", "x"), (3, "z" * 70_000, "c", "x"), (3, "a ▁ b", "c", "x"), (3, "the", "c", "x"), (3, "the", "c", "x")]
+    rows = [(1, "the word " * 9000, "c", "x"), (2, None, "c", "x"), (None, "", "c", "x"), (3, "z" * 70_000, "c", "x"), (3, "a ▁ b", "c", "x"), (4, "▁ x" * 20_000, "c", "x"), (3, "the", "c", "x"), (3, "the", "c", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string, row string")
     got = encode_documents(docs, scratch, MODEL).collect()
     want = []
