@@ -24,102 +24,150 @@ _NOT_TEXT = set(
 _HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 _REGIONS = ("main", "article")
 _ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
-# Words of a class or id that name page furniture.
+# Words of a class or id that name page furniture, or only say what stands beside the content.
 _FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banners?|breadcrumbs?|comments?|consent|cookies?|discussion|"
+    r"(?<![^\s_-])(ads?|adverts?|advertisements?|advertising|banners?|breadcrumbs?|comments?|consent|cookies?|discussion|"
     r"disqus|footer|footnav|header|masthead|menus?|modal|nav|navbar|navigation|newsletter|notices?|notifications?|popup|"
     r"promos?|promoted|recommended|related|repl(?:y|ies)|respond|shar(?:e|ing)|side-?bars?|signup|skip|social|sponsor(?:ed)?s?|"
-    r"subscribe|subscription|toolbar|widgets?)(?:$|[\s_-])",
+    r"subscribe|subscription|toolbar|widgets?)(?![^\s_-])",
     re.I,
 )
+_COMMENT = re.compile(r"(?<!\S)(?:div-)?(?:comment|reply)(?:[_-](?:body|content|item|\d+))?(?!\S)", re.I)
+# Inline elements without text of the page: blocks inside them end nothing outside.
+_HOLDERS = _NOT_TEXT - _BLOCK - {"label", "map"}
 _CLOSED_BY = {"p": _BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
 
 
 class Lines(HTMLParser):
-    """Blocks of a page in order: text, number of tags, region, and whether they are page furniture."""
+    """Blocks of a page in order: pieces of text, number of tags, region.
+
+    A piece knows the innermost element around it whose class or id names
+    furniture (its place in ``suspects``, or -1). Whether such an element is
+    furniture is open until the page is read.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool]] = []
-        self._text: list[str] = []
+        self.lines: list[tuple[list[tuple[str, int]], int, int]] = []
+        # Per suspect: the one around it, characters, tags, whether a region is inside, whether a whole name is furniture.
+        self.suspects: list[list[int]] = []
+        self._text: list[tuple[str, int]] = []
+        self._region = 0  # of the stored text
         self._tags = 0
-        # Open elements: (tag, inside furniture, region, inside a region's header)
-        self._open: list[tuple[str, bool, int, bool]] = [("", False, 0, False)]
-        self._regions = 0
+        self._all_tags = self.all_chars = 0
+        # Open elements: (tag, without text of the page, region, suspect, suspect outside the region's header or None)
+        self._open: list[tuple[str, bool, int, int, int | None]] = [("", False, 0, -1, None)]
+        self.regions = 0
 
     def _flush(self) -> None:
         if self._text:
-            text = " ".join("".join(self._text).split())
-            if text:
-                _, hidden, region, _ = self._open[-1]
-                self.lines.append((text, self._tags, region, hidden))
+            if any(text and not text.isspace() for text, _ in self._text):
+                self.lines.append((self._text, self._tags, self._region))
                 self._tags = 0
             self._text = []
 
+    def _pop(self, at: int) -> None:
+        for i in range(at, len(self._open)):
+            own = self._open[i][3]
+            # A heading leaves the suspect of its header; only the element that opened a suspect ends it.
+            if own > self._open[i - 1][3]:
+                _, chars, tags, *_ = self.suspects[own]
+                self.suspects[own][1:3] = self.all_chars - chars, self._all_tags - tags
+        del self._open[at:]
+
+    def _tag(self) -> None:
+        self._tags += 1
+        self._all_tags += 1
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in _VOID:
             if tag in ("br", "hr", "wbr", "img", "input"):
-                self._text.append("" if tag == "wbr" else " ")
-            if tag == "hr":
+                self._text.append(("" if tag == "wbr" else " ", -1))
+            if tag == "hr" and not self._open[-1][1]:
                 self._flush()
-            self._tags += 1
+            self._tag()
             return
         if tag in _BLOCK:
-            self._flush()
+            # What is stored was visible; a block that is not cannot end it.
+            if not self._open[-1][1]:
+                self._flush()
             self._close_implied(tag)
-        self._tags += 1
-        _, hidden, region, head = self._open[-1]
-        if not hidden:
+            if not self._open[-1][1]:
+                self._flush()
+        _, hidden, region, suspect, head = self._open[-1]
+        if head is not None and tag in _HEADINGS:
+            # An article's own headings stay.
+            self._flush()
+            hidden, suspect = False, head
+        elif not hidden:
             hidden = tag in _NOT_TEXT
             if hidden and tag == "header" and region:
-                head = True
+                head = suspect
+            names = ""
             if not hidden and attrs and tag not in ("html", "body"):
                 for name, value in attrs:
-                    if name == "hidden" or name == "aria-hidden" and value == "true":
-                        hidden = True
-                    elif value and (
-                        name in ("class", "id") and tag not in _REGIONS and _FURNITURE.search(value)
-                        or name in ("class", "id") and tag == "article" and re.search(r"(?:^|[\s_-])(?:comment|reply)", value, re.I)
-                        or name == "role" and value.lower() in _ROLES
-                    ):
+                    if name == "hidden" or name == "aria-hidden" and value == "true" or value and name == "role" and value.lower() in _ROLES:
                         hidden = True
-            if not hidden and not region and tag in _REGIONS:
-                self._regions += 1
-                region = self._regions
-        elif head and tag in _HEADINGS:
-            hidden = False  # an article's own headings stay
-        self._open.append((tag, hidden, region, head))
+                    elif value and name in ("class", "id"):
+                        names += " " + value
+            if not hidden and tag in _REGIONS:
+                hidden = tag == "article" and _COMMENT.search(names) is not None
+                if not hidden:
+                    around = suspect
+                    while around >= 0 and not self.suspects[around][3]:
+                        self.suspects[around][3] = 1
+                        around = self.suspects[around][0]
+                    if not region:
+                        self.regions += 1
+                        region = self.regions
+            elif not hidden and names:
+                words = _FURNITURE.findall(names)
+                if words:
+                    only_head = region and all(w.lower() in ("header", "masthead") for w in words)
+                    head = suspect if only_head else None
+                    # "ad" and "cookie-notice" name the element, "has-sidebar" and "comments-open" may name what is beside it.
+                    plain = any(all(map(_FURNITURE.fullmatch, filter(None, re.split("[_-]", n)))) for n in names.split())
+                    self.suspects.append([suspect, self.all_chars, self._all_tags, 0, int(plain)])
+                    suspect = len(self.suspects) - 1
+        self._tag()
+        self._open.append((tag, hidden, region, suspect, head))
 
     def _close_implied(self, tag: str) -> None:
         for i in range(len(self._open) - 1, 0, -1):
             name = self._open[i][0]
             if name in _CLOSED_BY and tag in _CLOSED_BY[name]:
-                del self._open[i:]
+                self._pop(i)
                 return
-            if name in _BLOCK:
+            if name in _BLOCK or name in _HOLDERS:
                 return
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _VOID:
             return
-        if tag in _BLOCK:
-            self._flush()
-        self._tags += 1
+        self._tag()
         for i in range(len(self._open) - 1, 0, -1):
             if self._open[i][0] == tag:
-                del self._open[i:]
+                if tag in _BLOCK and not (self._open[i][1] and self._open[i - 1][1]):
+                    self._flush()
+                self._pop(i)
                 return
             # An inline end tag does not close the block around it.
-            if tag not in _BLOCK and self._open[i][0] in _BLOCK:
+            if tag not in _BLOCK and tag not in _HOLDERS and self._open[i][0] in _BLOCK:
                 return
+        if tag in _BLOCK and not self._open[-1][1]:
+            self._flush()
 
     def handle_data(self, data: str) -> None:
-        if not self._open[-1][1]:
-            self._text.append(data)
+        _, hidden, region, suspect, _ = self._open[-1]
+        if not hidden:
+            self._text.append((data, suspect))
+            self._region = region
+            self.all_chars += len(data.strip())
 
     def close(self) -> None:
         super().close()
         self._flush()
+        self._pop(1)
 
 
 def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -137,22 +185,26 @@ def main_text(html: str | None) -> str:
     parser = Lines()
     parser.feed(html)
     parser.close()
-    lines = [x for x in parser.lines if not x[3]]
+    lines = _lines(parser, set())
     if not lines:
         return ""
-    ratios = np.array([len(text) / max(1, tags) for text, tags, _, _ in lines])
-    even = smooth(ratios)
+    if parser.suspects:
+        furniture = set(range(len(parser.suspects)))
+        lines = _lines(parser, furniture) if furniture else lines
+        if not lines:
+            return ""
+    ratios, even = _ratios(lines)
     # Two clusters of lines: above and below the spread of ratios. The best line is always above.
-    content = even >= min(ratios.std(), even.max())
+    content = even >= _least(ratios, even)
     sizes: dict[int, int] = {}
-    for (text, _, region, _), good in zip(lines, content):
+    for (text, _, region), good in zip(lines, content):
         if good:
             sizes[region] = sizes.get(region, 0) + len(text)
     inside = {r: n for r, n in sizes.items() if r}
-    if inside:
-        # The page marks its article: all of the one that holds the content.
-        best = max(inside, key=lambda r: (inside[r], -r))
-        kept = [text for text, _, region, _ in lines if region == best]
+    best = max(inside, key=lambda r: (inside[r], -r)) if inside else 0
+    if best:
+        # The page marks its article, and most of the content is there: all of it.
+        kept = [text for text, _, region in lines if region == best]
     else:
         # Otherwise from the first to the last line of the content.
         at = np.flatnonzero(content)
@@ -160,6 +212,29 @@ def main_text(html: str | None) -> str:
     return "\n\n".join(kept)
 
 
+def _lines(parser: Lines, furniture: set[int]) -> list[tuple[str, int, int]]:
+    """Text, tags and region of each line without the pieces in ``furniture``; tags of empty lines count for the next."""
+    out = []
+    before = 0
+    for pieces, tags, region in parser.lines:
+        text = " ".join("".join([t for t, s in pieces if s not in furniture]).split())
+        if text:
+            out.append((text, before + tags, region))
+            before = 0
+        else:
+            before += tags
+    return out
+
+
+def _ratios(lines: list[tuple[str, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    ratios = np.array([len(text) / max(1, tags) for text, tags, _ in lines])
+    return ratios, smooth(ratios)
+
+
+def _least(ratios: np.ndarray, even: np.ndarray) -> float:
+    return min(ratios.std(), even.max())
+
+
 def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` of every row of ``pages``.
 

@@ -65,3 +65,19 @@ def test_given_pages_against_their_own_markup(spark, sf_dir):
         inner = re.search("<article>(.*)</article>", p.html, re.S)[1].replace("<br>", " ")
         blocks = (" ".join(html.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split("</?(?:p|h1)>", inner))
         assert main_text(p.html) == "\n\n".join(b for b in blocks if b)
+
+
+@pytest.mark.parametrize("inline", [
+    "<svg><title>Icon</title></svg>", "<noscript><p>Turn on scripts</p></noscript>", "<noscript><p>Turn on scripts</noscript>",
+    "<button><div>Share</div></button>", "<select><option>a<option>b</select>", "<object><p>Old</p></object>",
+])
+@pytest.mark.parametrize("block", ["p", "div"])
+def test_text_around_hidden_inline_elements_stays(inline, block):
+    html = page(f"<article><{block}>First sentence. {inline} Second.</{block}><p>{LONG}</p></article>")
+    assert main_text(html) == "First sentence. Second.\n\n" + LONG.strip()
+
+
+@pytest.mark.parametrize("inline", ["<span class='ad'><div>Ad</div></span>", "<a class='share'><div>Share</div></a>"])
+def test_text_before_furniture_in_inline_elements_stays(inline):
+    text = main_text(page(f"<article><div>{LONG}{inline}</div><p>{LONG}</p></article>"))
+    assert text == "\n\n".join([LONG.strip()] * 2)
