@@ -94,6 +94,8 @@ class Lines(HTMLParser):
             self._close_implied(tag)
             if not self._open[-1][1]:
                 self._flush()
+        if tag == "body":
+            self._tags = 0  # tags of the head say nothing about the first line
         _, hidden, region, suspect, head = self._open[-1]
         if head is not None and tag in _HEADINGS:
             # An article's own headings stay.
@@ -189,7 +191,15 @@ def main_text(html: str | None) -> str:
     if not lines:
         return ""
     if parser.suspects:
-        furniture = set(range(len(parser.suspects)))
+        # A class or id hides what has few characters per tag on this page, and never an article. A whole
+        # name also hides what has more, where an article is marked elsewhere or most text is elsewhere.
+        ratios, even = _ratios(lines)
+        low = _least(ratios, even)
+        furniture: set[int] = set()
+        for i, (around, chars, tags, region, plain) in enumerate(parser.suspects):
+            beside = plain and (parser.regions or 2 * chars <= parser.all_chars)
+            if around in furniture or not region and (chars / max(1, tags) < low or beside):
+                furniture.add(i)
         lines = _lines(parser, furniture) if furniture else lines
         if not lines:
             return ""
@@ -202,7 +212,7 @@ def main_text(html: str | None) -> str:
             sizes[region] = sizes.get(region, 0) + len(text)
     inside = {r: n for r, n in sizes.items() if r}
     best = max(inside, key=lambda r: (inside[r], -r)) if inside else 0
-    if best:
+    if best and 2 * inside[best] > sum(sizes.values()):
         # The page marks its article, and most of the content is there: all of it.
         kept = [text for text, _, region in lines if region == best]
     else:

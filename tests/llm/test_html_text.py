@@ -81,3 +81,27 @@ def test_text_around_hidden_inline_elements_stays(inline, block):
 def test_text_before_furniture_in_inline_elements_stays(inline):
     text = main_text(page(f"<article><div>{LONG}{inline}</div><p>{LONG}</p></article>"))
     assert text == "\n\n".join([LONG.strip()] * 2)
+
+
+@pytest.mark.parametrize("body", [
+    "<div class='content has-sidebar'><article><p>{0}</p></article></div>", "<div id='no-sidebar'><p>{0}</p><p>{0}</p></div>",
+    "<div class='post comments-open'><p>{0}</p><p>{0}</p></div>", "<article class='post comments-open'><p>{0}</p></article>",
+    "<div class='widget'><p>{0}</p><p>{0}</p></div>",
+])
+def test_class_beside_the_content_does_not_hide_it(body):
+    html = page("<nav><a href='/'>Menu</a></nav>" + body.format(LONG) + "<div class='ad'>Buy now</div>")
+    assert main_text(html) == "\n\n".join([LONG.strip()] * body.count("{0}"))
+
+
+def test_heading_in_the_header_class_of_an_article_stays():
+    html = page(f"<article><div class='entry-header'><h1>Title</h1><span>by me</span></div><p>{LONG}</p></article>")
+    assert main_text(html) == "Title\n\n" + LONG.strip()
+
+
+def test_teaser_card_does_not_replace_the_unmarked_text():
+    html = page(f"<div class='post'><p>{LONG * 3}</p><p>{LONG * 3}</p></div><article><h2>Next</h2><p>A teaser.</p></article>")
+    assert main_text(html).count(LONG.strip()) == 6
+
+
+def test_long_advertisement_beside_a_short_article_is_no_text():
+    assert main_text(page(f"<div class='ad'>{LONG}</div><article><h1>Title</h1><p>Short.</p></article>")) == "Title\n\nShort."
