@@ -1,7 +1,8 @@
 """Quality classifier: hashed word n-grams, logistic regression, follow the regularised leader.
 
-Words and their shapes (case, digits, punctuation, repetition of the word
-before) give n-grams; each is hashed to one of 2**BITS weights. The weights are
+Lower-cased words give 1-, 2- and 3-grams; their shapes (case, digits,
+punctuation, repetition of the word before) give as many further features. Each
+is hashed to one of 2**BITS weights. The weights are
 learnt with FTRL-proximal updates on a bounded sample of labelled rows, and a
 score is a sparse dot product over the whole text.
 """
@@ -35,7 +36,7 @@ def _word(word: bytes) -> int:
     """Hash of the lower-cased word (high half) and of its shape (low half)."""
     text = word.decode("utf-8", "replace")
     shape, last = [], ""
-    for c in text[:64]:
+    for c in text:
         kind = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         if kind != last:
             shape.append(kind)
@@ -64,9 +65,9 @@ def _slot(hashes: np.ndarray, salt: int) -> np.ndarray:
 def features(text: str | None) -> Iterator[np.ndarray]:
     """Slots of all n-grams of the text, repeats included, some at a time.
 
-    Per word: the word, and the 1-, 2- and 3-grams of shapes that end at it.
+    Per word: the 1-, 2- and 3-grams of words, and those of shapes, that end at it.
     """
-    first = True
+    carried = 0
     for words in words_in_chunks((text or "").encode("utf-8", "surrogatepass"), 3):
         codes = _codes(words)
         if not len(codes):
@@ -75,11 +76,16 @@ def features(text: str | None) -> Iterator[np.ndarray]:
         same = np.r_[False, word[1:] == word[:-1]]
         shape = np.where(same, shape ^ _SAME, shape) * _MIX
         # Words carried over stand for context only.
-        new = 0 if first else min(3, len(words))
-        first = False
-        two = np.r_[shape[:1], shape[1:] ^ (shape[:-1] * np.uint64(3))]
-        three = np.r_[two[:2], two[2:] ^ (shape[:-2] * np.uint64(5))]
-        yield np.concatenate([_slot(x[new:], i + 1) for i, x in enumerate((word, shape, two, three))]).astype(np.int64)
+        new, carried = carried, min(3, len(words))
+        grams = (*_grams(word * _MIX), *_grams(shape))
+        yield np.concatenate([_slot(x[new:], i + 1) for i, x in enumerate(grams)]).astype(np.int64)
+
+
+def _grams(one: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the 1-, 2- and 3-grams that end at each place; order counts."""
+    two = np.r_[one[:1], one[1:] ^ (one[:-1] * np.uint64(3))]
+    three = np.r_[two[:2], two[2:] ^ (one[:-2] * np.uint64(5))]
+    return one, two, three
 
 
 def dot(text: str | None, weights: np.ndarray) -> float:

@@ -159,3 +159,31 @@ def test_ftrl_separates():
     examples = [(np.array([i % 2, 2 + rng.integers(0, 50)]), np.array([0.5, 0.5])) for i in range(400)]
     w = quality.ftrl(examples, np.array([i % 2 for i in range(400)], float))
     assert w[1] > 0 > w[0]
+
+
+def test_word_order_counts():
+    import random
+
+    rng = random.Random(5)
+    phrases = ["the cat sat on a mat", "we went home by the river", "a boy ate his red plum", "it was late in the day"]
+    good = [" ".join(rng.choice(phrases) for _ in range(8)) for _ in range(300)]
+    bad = [" ".join(rng.sample(t.split(), len(t.split()))) for t in good]
+    weights = quality.ftrl([quality._sparse(t) for t in good[:250] + bad[:250]], np.repeat([1.0, 0.0], 250))
+    score = lambda t: quality._SCALE * quality.dot(t, weights[:-1]) + weights[-1]
+    assert np.mean([score(t) > 0 for t in good[250:]]) > 0.9 and np.mean([score(t) > 0 for t in bad[250:]]) < 0.1
+    # Shape and words alike, order not: all n-grams of more than one word differ.
+    one, other = (np.concatenate(list(quality.features(t))) for t in ("aa bb cc", "cc bb aa"))
+    assert len(np.intersect1d(one, other)) < len(np.unique(one)) and not np.array_equal(one[3:9], other[3:9])
+
+
+def test_shape_reads_the_whole_word():
+    assert quality._word(b"a" * 64) & 0x7FFFFFFF != quality._word(b"a" * 64 + b"!!9") & 0x7FFFFFFF
+
+
+def test_words_after_a_chunk_of_one_word_count(monkeypatch):
+    import ratelab.llm.common as common
+
+    text = "w" * 60 + " b c d e f"
+    whole = np.concatenate(list(quality.features(text)))
+    monkeypatch.setattr(quality, "words_in_chunks", lambda data, carry: common.words_in_chunks(data, carry, 5))
+    assert sorted(np.concatenate(list(quality.features(text))).tolist()) == sorted(whole.tolist())
