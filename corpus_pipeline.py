@@ -30,8 +30,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the secrets in their texts masked."""
-    return secret_scan.redact_secrets(docs, Scratch(spark))
+    """All documents, with the secrets in their texts masked that are not copied examples of many owners."""
+    return secret_scan.redact_secrets(docs, Scratch(spark), shared=False)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,9 +23,19 @@ KINDS = [("assign", ASSIGN, 2), ("access", ACCESS, 0), ("hex", HEX, 0), ("bare",
 ASSIGN_VALUE = 12
 MANY_OWNERS = 3  # from so many owners on a value counts as a copied example
 DISTINCT_CHARS = 8  # a random-looking value has so many different characters
+# Redaction asks more of bare runs, which may be paths or hyphenated terms: parts that are plain
+# words or numbers aside, so many characters, and case or digits that change at every fifth of them.
+PLAIN_PART = r"(?<![A-Za-z0-9])(?:[a-z]+|[A-Z][a-z]*|[A-Z]+|[0-9]+)(?![A-Za-z0-9])|[+/_-]"
+CHANGE = r"[a-z](?=[A-Z])|[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])"
+KEY_CHARS, KEY_RUN = 16, 5
 
 
-def _found(kind: int, text: str) -> Column:
+def key_like(value: Column) -> Column:
+    left = F.length(F.regexp_replace(value, PLAIN_PART, ""))
+    return (left >= KEY_CHARS) & (F.size(F.regexp_extract_all(value, F.lit(CHANGE), F.lit(0))) * KEY_RUN >= left)
+
+
+def _found(kind: int, text: str, strict: bool = False) -> Column:
     """Lengths of the gaps before matches, and of each match with its value's hash; null without a match.
 
     Splitting gives the text between matches, so positions follow from lengths
@@ -42,7 +52,8 @@ def _found(kind: int, text: str) -> Column:
             F.length(x["v"]).alias("value_length"),
             F.sha2(x["v"], 256).alias("hash"),
             (x["v"].rlike("[0-9]") & x["v"].rlike("[A-Za-z]")
-             & (F.size(F.array_distinct(F.split(x["v"], ""))) >= DISTINCT_CHARS)).alias("random"),
+             & (F.size(F.array_distinct(F.split(x["v"], ""))) >= DISTINCT_CHARS)
+             & (key_like(x["v"]) if strict and kind == 3 else F.lit(True))).alias("random"),
         ),
     )
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
@@ -82,13 +93,18 @@ def ownership(found: DataFrame) -> DataFrame:
     )
 
 
-def scan_spans(docs: DataFrame, row: str, text: str, owner: str, repository: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Stored (rows, spans): spans are ``row, kind, start, end, live, owners``, base ones and added ones."""
+def scan_spans(
+    docs: DataFrame, row: str, text: str, owner: str, repository: str, scratch: Scratch, strict: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Stored (rows, spans): spans are ``row, kind, start, end, live, owners``, base ones and added ones.
+
+    With ``strict``, bare runs must be ``key_like`` too.
+    """
     texts = docs.select(
         F.col(row).alias("row"), F.col(owner).cast("string").alias("owner"), F.col(repository).alias("repository"),
         text_or_empty(text).alias("text"),
     )
-    found = F.array(*[_found(k, "text") for k in range(len(KINDS))])
+    found = F.array(*[_found(k, "text", strict) for k in range(len(KINDS))])
     scanned = texts.select("row", "owner", "repository", F.filter(found, lambda x: x.isNotNull()).alias("found"))
     scanned = scratch.keep(scanned, "scanned")
     each = scratch.keep(candidates(scanned), "candidates")
@@ -135,16 +151,20 @@ def scan_secrets(
 
 def redact_secrets(
     docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", owner: str = "source",
-    mask: str = "<secret>",
+    mask: str = "<secret>", shared: bool = True,
 ) -> DataFrame:
     """All rows and columns of ``docs``; in texts with secrets each span (overlapping ones as one) becomes ``mask``.
 
+    Bare runs are spans only where they are ``key_like``. Without ``shared``,
+    values that MANY_OWNERS hold are copied examples and stay, unless a span of
+    fewer owners overlaps them; a value of few owners goes, random or not.
     ``n_chars``, if there, follows the new text. Other texts stay as they are.
     """
     stored, row = numbered(docs, scratch, "secret_input")
     both = fresh(stored, "repository")
     keyed = stored.withColumn(both, F.struct(F.col(doc_id).alias("repo"), F.col(doc_id).alias("id")))
-    _, spans = scan_spans(keyed, row, text, owner, both, scratch)
+    _, spans = scan_spans(keyed, row, text, owner, both, scratch, strict=True)
+    spans = spans if shared else spans.filter(F.col("owners") < MANY_OWNERS)
     order = Window.partitionBy("row").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = spans.withColumn("new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1)))
