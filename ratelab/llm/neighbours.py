@@ -117,7 +117,7 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def _filed(vectors: DataFrame, plan_of: dict[int, Plan], query: bool) -> DataFrame:
-    """``dims, tab, code, vid, bytes``: one row per table (and probe, for queries) and vector."""
+    """``dims, tab, code, vid, first, bytes``: one row per table (and probe, for queries) and vector."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -130,10 +130,35 @@ def _filed(vectors: DataFrame, plan_of: dict[int, Plan], query: bool) -> DataFra
                     codes = plan.codes(at, t, plan.probes if query else 1)
                     yield pd.DataFrame({
                         "dims": dims, "tab": t, "code": codes.ravel(),
-                        "vid": np.repeat(own["vid"].to_numpy(), codes.shape[1]), "bytes": np.repeat(data, codes.shape[1]),
+                        "vid": np.repeat(own["vid"].to_numpy(), codes.shape[1]),
+                        "first": np.repeat(own["first"].to_numpy(), codes.shape[1]), "bytes": np.repeat(data, codes.shape[1]),
                     })
 
-    return vectors.select("vid", "vector").mapInPandas(run, "dims int, tab int, code long, vid long, bytes binary")
+    return vectors.select("vid", "first", "vector").mapInPandas(run, "dims int, tab int, code long, vid long, first long, bytes binary")
+
+
+PAIRS = 1 << 16  # pairs scored again at a time
+
+
+def nearest_of_block(q: np.ndarray, v: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``i, j, score``: the ``k`` rows of ``v`` nearest to each row of ``q``, ties to the smaller ``first``."""
+    if len(v) > k:
+        s = q @ v.T
+        least = np.partition(s, len(v) - k, axis=1)[:, len(v) - k]
+        # The product's last bits differ between blocks; all that may reach the k-th exact score are scored again.
+        slack = 4 * q.shape[1] * np.finfo(float).eps * np.linalg.norm(q, axis=1) * np.linalg.norm(v, axis=1).max()
+        least = least - slack
+        i, j = np.nonzero(s >= np.where(np.isfinite(least), least, -np.inf)[:, None])
+    else:
+        i, j = np.repeat(np.arange(len(q)), len(v)), np.tile(np.arange(len(v)), len(q))
+    # Row by row: equal pairs get equal numbers in every block.
+    score = np.concatenate([(q[i[a : a + PAIRS]] * v[j[a : a + PAIRS]]).sum(axis=1) for a in range(0, len(i), PAIRS)])
+    if len(i) > k * len(q):
+        order = np.lexsort((first[j], -score, i))
+        begin = np.searchsorted(i, np.arange(len(q)))
+        order = order[np.arange(len(i)) - begin[i] < k]
+        i, j, score = i[order], j[order], score[order]
+    return i, j, score
 
 
 def nearest(
@@ -153,13 +178,15 @@ def nearest(
     # Grouping takes -0.0 and 0.0 for one value, and so does an inner product.
     rows = scratch.keep(rows.filter(F.col("id").isNotNull() & usable("vector")), "vectors")
     found = distinct_vectors(rows, k + 1).withColumn("vid", F.monotonically_increasing_id())
+    # Ties between vectors go to the one with the smallest id, wherever vectors are cut off.
+    found = found.withColumn("first", F.element_at("ids", 1))
     found = scratch.keep(found, "distinct")
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
     stats = found.groupBy(F.size("vector").alias("dims")).agg(F.count(F.lit(1)), F.min(norm), F.max(norm)).collect()
     plan_of = {dims: Plan(n, dims, high if high > 1.001 * low else None) for dims, n, low, high in stats}
     queries = rows.filter(F.col("id") % every == 0).select("vector").distinct().join(found, "vector")
     index = scratch.keep(_filed(found, plan_of, False), "index")
-    probes = scratch.keep(_filed(queries.select("vid", "vector"), plan_of, True), "probes")
+    probes = scratch.keep(_filed(queries.select("vid", "first", "vector"), plan_of, True), "probes")
 
     # A bucket is scored in blocks of SIDE vectors and SIDE queries: each meets each.
     key = ["dims", "tab", "code"]
@@ -175,7 +202,7 @@ def nearest(
     every_one = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     there = attach(index, sizes, key, "n", n_index).withColumn("block", part("blocks")).withColumn("turn", every_one("turns"))
     here = attach(probes, sizes, key, "asked", n_asked).withColumn("turn", part("turns")).withColumn("block", every_one("blocks"))
-    columns = [*key, "block", "turn", "vid", "bytes"]
+    columns = [*key, "block", "turn", "vid", "first", "bytes"]
     both = there.select(*columns, F.lit(False).alias("asks")).unionByName(here.select(*columns, F.lit(True).alias("asks")))
     both = both.withColumn("bin", F.pmod(F.xxhash64(*key, "block", "turn"), F.lit(parts(n_copies, BIN_ROWS))))
 
@@ -185,22 +212,17 @@ def nearest(
             asks = own["asks"].to_numpy()
             if asks.all() or not asks.any():
                 continue
-            v, vids = _matrix(own["bytes"][~asks]), own["vid"].to_numpy()[~asks]
+            v, vids, first = _matrix(own["bytes"][~asks]), own["vid"].to_numpy()[~asks], own["first"].to_numpy()[~asks]
             q, qids = _matrix(own["bytes"][asks]), own["vid"].to_numpy()[asks]
             for at in range(0, len(q), 1024):
-                part = q[at : at + 1024]
-                s = part @ v.T
-                best = np.argpartition(-s, k, axis=1)[:, : k + 1] if len(v) > k + 1 else np.tile(np.arange(len(v)), (len(part), 1))
-                i = np.repeat(np.arange(len(part)), best.shape[1])
-                j = best.ravel()
-                # Scored again row by row: equal pairs get equal numbers in every block.
-                out.append(pd.DataFrame({"qvid": qids[at + i], "vid": vids[j], "score": (part[i] * v[j]).sum(axis=1)}))
-        return pd.concat(out) if out else pd.DataFrame({"qvid": [], "vid": [], "score": []})
-
-    hits = both.groupBy("bin").applyInPandas(score, "qvid long, vid long, score double")
+                i, j, found = nearest_of_block(q[at : at + 1024], v, first, k + 1)
+                out.append(pd.DataFrame({"qvid": qids[at + i], "vid": vids[j], "first": first[j], "score": found}))
+        return pd.concat(out) if out else pd.DataFrame({"qvid": [], "vid": [], "first": [], "score": []})
+
+    hits = both.groupBy("bin").applyInPandas(score, "qvid long, vid long, first long, score double")
     # A query meets at most tables x probes x blocks x (k + 1) vectors here.
     best = hits.groupBy("qvid").agg(
-        F.slice(F.sort_array(F.collect_set(F.struct((-F.col("score")).alias("far"), "vid"))), 1, k + 1).alias("best")
+        F.slice(F.sort_array(F.collect_set(F.struct((-F.col("score")).alias("far"), "first", "vid"))), 1, k + 1).alias("best")
     )
     pairs = best.select("qvid", F.posexplode("best").alias("at", "b")).select("qvid", "b.far", "b.vid")
     pairs = pairs.join(found.select("vid", "ids"), "vid").select("qvid", "far", F.explode("ids").alias("other"))

@@ -96,3 +96,23 @@ def test_rotations_keep_lengths():
     for t in range(3):
         assert np.linalg.norm(rotate(x, t, 0, 8), axis=1) == pytest.approx(np.linalg.norm(x, axis=1))
     assert hadamard(hadamard(np.eye(8))) == pytest.approx(np.eye(8))
+
+
+def test_ties_go_to_the_smallest_ids(spark, scratch, monkeypatch):
+    monkeypatch.setattr(neighbours, "SIDE", 40)
+    rng = np.random.default_rng(4)
+    ids = rng.permutation(600)
+    rows = [(int(i), rng.choice([-1.0, 1.0], 8).tolist()) for i in ids]
+    lists = {}
+    for r in sorted(nearest(frame(spark, rows), scratch, k=7, every=9).collect(), key=lambda r: (r.query_id, r.rank)):
+        lists.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert lists == {i: own for i, (own,) in brute(rows, 7, 9).items()}
+
+
+def test_ties_in_a_block():
+    q, v = np.ones((3, 4)), np.ones((900, 4))
+    v[::2] *= -1
+    first = np.random.default_rng(6).permutation(900)
+    i, j, score = neighbours.nearest_of_block(q, v, first, 5)
+    assert (score == 4).all() and i.tolist() == sorted([0, 1, 2] * 5)
+    assert sorted(first[j[:5]].tolist()) == sorted(first[1::2].tolist())[:5]
