@@ -306,14 +306,19 @@ def factor_levels(spark, sf_dir):
 @query(
     "wide_strata",
     """
-SELECT * FROM (PIVOT (SELECT month, concat_ws('_', age_band, gender, CASE WHEN quintile < 2 THEN 1 ELSE 0 END) AS label,
-  CASE WHEN count(*) = count(attends) THEN CAST(sum(attends) AS BIGINT) END AS total
-  FROM borough_table WHERE borough = 'AFRICA' GROUP BY ALL) ON label USING max(total) GROUP BY month)""",
+SELECT month, label, total FROM (SELECT DISTINCT month FROM one) CROSS JOIN (SELECT DISTINCT label FROM one) LEFT JOIN
+ (SELECT month, label, CASE WHEN count(*) = count(attends) THEN CAST(sum(attends) AS BIGINT) END AS total FROM one GROUP BY ALL)
+ USING (month, label)""",
     _BOROUGH_TABLE,
+    """
+one AS (SELECT month, concat_ws('_', age_band, gender, CASE WHEN quintile < 2 THEN 1 ELSE 0 END) AS label, attends
+ FROM borough_table WHERE borough = 'AFRICA')""",
 )
 def wide_strata(spark, sf_dir):
     one = study.features(_borough(spark, sf_dir)).filter(F.col("borough") == "AFRICA")
-    return quality.wide_strata(one, "month", ["age_band", "gender", "deprived"], "attends")
+    wide = quality.wide_strata(one, "month", ["age_band", "gender", "deprived"], "attends")
+    # One row per column again: SQL has to name the columns of a wide result.
+    return wide.unpivot(["month"], [c for c in wide.columns if c != "month"], "label", "total")
 
 
 @query(

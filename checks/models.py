@@ -518,29 +518,156 @@ def spline_basis(spark, sf_dir):
 # --- random intercepts ----------------------------------------------------------
 
 
+# Per cell: score, curvature, its slope and the expected curvature, along the predictor.
+_ALONG = {
+    POISSON: ("y - mu", "mu", "mu", "mu"),
+    NEGATIVE_BINOMIAL: (
+        "(y - mu) * th / (th + mu)", "mu * th * (th + y) / ((th + mu) * (th + mu))",
+        "th * (th + y) * mu * (th - mu) / ((th + mu) * (th + mu) * (th + mu))", "mu / (1 + mu / th)",
+    ),
+    # th is the residual variance.
+    GAUSSIAN: ("(y - ln(n) - eta - u) / th", "1 / th", "0.0", "1 / th"),
+}
+_CELL_LL = {
+    POISSON: "y * ln(mu) - mu - lgamma(y + 1)",
+    NEGATIVE_BINOMIAL: "lgamma(y + th) - lgamma(th) - lgamma(y + 1) + th * ln(th / (mu + th)) + y * ln(mu / (mu + th))",
+    GAUSSIAN: "-0.5 * (ln(2 * pi() * th) + power(y - ln(n) - eta - u, 2) / th)",
+}
+
+
+def _mixed_sql(family: str, parts: tuple[str, ...], curves: bool = False, cycles: int = 60) -> list[str]:
+    """Laplace likelihood with an intercept u per borough, climbed one kind of number at a time.
+
+    A cycle takes one Newton step for every u, re-centres them and moves their
+    variance s2 to where its slope would vanish, then scales the levels of one
+    factor after another (a spline column alone), then moves th. Each rests
+    only where its own slope of the whole likelihood, its curvature term
+    included, is zero.
+    """
+    bends = ["z1", "z2", "z3"] if curves else []
+    nb, gauss = family == NEGATIVE_BINOMIAL, family == GAUSSIAN
+    last = 2 + len(parts) + len(bends)
+    every, steps = last + 1, cycles * (last + 1)
+    keys = ", ".join(["bo", *parts, *bends])
+    of_key = " ".join(f"WHEN {2 + i} THEN CAST({part} AS VARCHAR)" for i, part in enumerate(parts))
+    of_z = " ".join(f"WHEN {2 + len(parts) + i} THEN {z}" for i, z in enumerate(bends)) or "WHEN -1 THEN 1"
+    score, curve, third, weight = _ALONG[family]
+    start = "sum(f * (y - ln(n))) OVER () / sum(f) OVER ()" if gauss else "ln(sum(f * y) OVER () / sum(f * n) OVER ())"
+    # Poisson cells of one pattern and borough add up.
+    source = (
+        f"SELECT {keys}, sum(n) AS n, sum(y) AS y, 1.0 AS f FROM cell GROUP BY ALL" if family == POISSON
+        else f"SELECT {keys}, n, y, CAST(count(*) AS DOUBLE) AS f FROM cell GROUP BY ALL"
+    )
+    if nb:
+        slope = """f * (coalesce(list_sum(list_transform(range(y), lambda j: 1.0 / (th + j))), 0) - ln(1 + mu / th) + (mu - y) / (mu + th))"""
+        bend = """f * (mu / (th * (mu + th)) - (mu - y) / ((mu + th) * (mu + th))
+          - coalesce(list_sum(list_transform(range(y), lambda j: 1.0 / ((th + j) * (th + j)))), 0))"""
+        curve_t = "f * mu * (2 * th * mu + y * mu - y * th) / ((th + mu) * (th + mu) * (th + mu))"
+        score_t = "f * (y - mu) * mu / ((th + mu) * (th + mu))"
+        when = lambda v: f"CASE WHEN t = {last} THEN {v} ELSE 0 END"
+        theta_rows = f", {when(slope)} AS d1, {when(bend)} AS d2, {when(curve_t)} AS ct, {when(score_t)} AS st"
+        theta_groups = ", sum(ct) OVER (PARTITION BY bo) AS gct, sum(st) OVER (PARTITION BY bo) AS gst"
+        theta_all = """, sum(d1) OVER () - 0.5 * sum((gct + gt * gst / (gc + 1 / s2)) / (gc + 1 / s2) / cnt) OVER () AS l1, sum(d2) OVER () AS l2"""
+        theta = """least(1e5, th * exp(greatest(-1.0, least(1.0, CASE WHEN th * th * l2 + th * l1 < 0 THEN -th * l1 / (th * th * l2 + th * l1) ELSE sign(l1) END))))"""
+    elif gauss:
+        theta_rows, theta_groups = "", ""
+        theta_all = """, sum(f * power(y - ln(n) - eta - u, 2)) OVER () AS l1, sum(f) OVER () - sum(s2 * gc / (1 + s2 * gc) / cnt) OVER () AS l2"""
+        theta = "l1 / l2"
+    else:
+        theta_rows = theta_groups = theta_all = ""
+        theta = "th"
+    return [
+        f"""
+mix_rows AS ({source})""",
+        f"""
+mix AS (SELECT 0 AS k, {keys}, n, y, f, {start} AS eta, 0.0::DOUBLE AS u, 0.25::DOUBLE AS s2, 10.0::DOUBLE AS th,
+  count(*) OVER (PARTITION BY bo) AS cnt FROM mix_rows
+ UNION ALL SELECT k + 1, {keys}, n, y, f,
+  CASE WHEN t = 1 THEN eta + shift WHEN t > 1 AND t < {last} THEN eta + z * b1 / b2 ELSE eta END,
+  CASE t WHEN 0 THEN u + (gs - u / s2) / (gc + 1 / s2) WHEN 1 THEN u - shift ELSE u END,
+  CASE t WHEN 1 THEN greatest(s2 * q1 / q2, 1e-8) ELSE s2 END, CASE t WHEN {last} THEN {theta} ELSE th END, cnt
+ FROM (SELECT *, sum(u * u / s2 / cnt) OVER () AS q1,
+   sum((s2 * gc + gt * u / (gc + 1 / s2)) / (1 + s2 * gc) / cnt) OVER () AS q2,
+   sum((u - s2 * 0.5 * gt / (gc + 1 / s2) / (1 + s2 * gc)) / cnt) OVER () / sum(1.0 / cnt) OVER () AS shift,
+   sum(f * z * (s - 0.5 * t3 / (gc + 1 / s2) + 0.5 * gt * c / ((gc + 1 / s2) * (gc + 1 / s2)))) OVER (PARTITION BY key) AS b1,
+   sum(f * z * z * w) OVER (PARTITION BY key) AS b2{theta_all}
+  FROM (SELECT *, sum(f * s) OVER (PARTITION BY bo) AS gs, sum(f * c) OVER (PARTITION BY bo) AS gc,
+    sum(f * t3) OVER (PARTITION BY bo) AS gt{theta_groups}
+   FROM (SELECT *, {score} AS s, {curve} AS c, {third} AS t3, {weight} AS w{theta_rows}
+    FROM (SELECT *, n * exp(eta + u) AS mu, k % {every} AS t, CASE k % {every} {of_key} ELSE '' END AS key,
+      CASE k % {every} {of_z} ELSE 1.0 END AS z FROM mix WHERE k < {steps})))))""",
+        f"""
+mix_fit AS (SELECT {keys}, max(eta) AS eta, max(u) AS u, max(s2) AS s2, max(th) AS th FROM mix WHERE k = {steps} GROUP BY ALL)""",
+        f"""
+mix_ll AS (SELECT sum(ll - u * u / (2 * s2) - 0.5 * ln(1 + s2 * c)) AS ll, max(sqrt(s2)) AS spread, max(th) AS th FROM
+ (SELECT bo, sum({_CELL_LL[family]}) AS ll, sum({curve}) AS c, max(u) AS u, max(s2) AS s2, max(th) AS th
+  FROM (SELECT *, n * exp(eta + u) AS mu FROM cell JOIN mix_fit USING ({keys})) GROUP BY bo))""",
+    ]
+
+
+def _mixed_rows(parts: tuple[str, ...], names: dict[str, str], curves: bool, transform: str, extra: str) -> str:
+    """Contrasts of each factor's levels with the first, beside spread and likelihood."""
+    out = []
+    for part, name in names.items():
+        same = " AND ".join(f"t.{k} = b.{k}" for k in ["bo", *[q for q in parts if q != part], *(["z1"] if curves else [])])
+        out.append(
+            f"SELECT {name} AS term, {transform}(avg(t.eta - b.eta)) AS estimate FROM mix_fit t JOIN mix_fit b"
+            f" ON b.{part} = (SELECT min({part}) FROM mix_fit) AND t.{part} <> b.{part} AND {same} GROUP BY t.{part}"
+        )
+    return f"""
+SELECT term, round(estimate, 5) AS estimate, round(spread, 4) AS spread, round(ll, 3) AS loglik{extra} FROM ({" UNION ALL ".join(out)}), mix_ll"""
+
+
+_AGE_SEX_TERMS = {"a": "concat('age_band', CAST(t.a AS VARCHAR))", "g": "concat('gender', t.g)"}
+
+
 def _mixed(spark, sf_dir, family, exposed="deprived", extra=()):
     model = RateModel("attends", (*study.AGE_SEX, Numeric(exposed), *extra), family)
     with Scratch(spark) as scratch:
         fitted = fit_random_intercept(model_table(spark, sf_dir), model, "borough", scratch)
     table = tidy_mixed(fitted, spark)
-    return table.withColumns({"spread": F.lit(fitted.spread), "loglik": F.lit(fitted.loglik)})
+    # Spline coefficients depend on the basis, which is another one in the SQL.
+    table = table.filter(~F.col("term").startswith("month_no") & (F.col("term") != "(Intercept)"))
+    table = table.select("term", (F.round("estimate", 5) + F.lit(0.0)).alias("estimate"))
+    found = {"spread": F.round(F.lit(fitted.spread), 4), "loglik": F.round(F.lit(fitted.loglik), 3)}
+    if family == NEGATIVE_BINOMIAL:
+        found["theta"] = F.round(F.lit(fitted.theta), 3)
+    if family == GAUSSIAN:
+        found["residual"] = F.round(F.lit(fitted.residual), 4)
+    return table.withColumns(found)
 
 
-@query("mixed_intercept_poisson")
+@query(
+    "mixed_intercept_poisson",
+    _mixed_rows(("a", "g", "d"), {**_AGE_SEX_TERMS, "d": "'deprived'"}, False, "exp", ""),
+    _PERIOD_TABLE, _CELLS, *_mixed_sql(POISSON, ("a", "g", "d")),
+)
 def mixed_poisson(spark, sf_dir):
     return _mixed(spark, sf_dir, POISSON)
 
 
-@query("mixed_intercept_poisson_season")
+@query(
+    "mixed_intercept_poisson_season",
+    _mixed_rows(("a", "g", "e"), {**_AGE_SEX_TERMS, "e": "'deprived2'"}, True, "exp", ""),
+    _PERIOD_TABLE, _SEASON_CELLS, *_mixed_sql(POISSON, ("a", "g", "e"), True),
+)
 def mixed_poisson_season(spark, sf_dir):
     return _mixed(spark, sf_dir, POISSON, "deprived2", study.SEASON)
 
 
-@query("mixed_intercept_nb")
+@query(
+    "mixed_intercept_nb",
+    _mixed_rows(("a", "g", "d"), {**_AGE_SEX_TERMS, "d": "'deprived'"}, False, "exp", ", round(th, 3) AS theta"),
+    _PERIOD_TABLE, _CELLS, *_mixed_sql(NEGATIVE_BINOMIAL, ("a", "g", "d")),
+)
 def mixed_nb(spark, sf_dir):
     return _mixed(spark, sf_dir, NEGATIVE_BINOMIAL)
 
 
-@query("mixed_intercept_gaussian")
+@query(
+    "mixed_intercept_gaussian",
+    _mixed_rows(("a", "g", "d"), {**_AGE_SEX_TERMS, "d": "'deprived'"}, False, "", ", round(sqrt(th), 4) AS residual"),
+    _PERIOD_TABLE, _CELLS, *_mixed_sql(GAUSSIAN, ("a", "g", "d")),
+)
 def mixed_gaussian(spark, sf_dir):
     return _mixed(spark, sf_dir, GAUSSIAN)

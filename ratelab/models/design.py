@@ -18,8 +18,8 @@ from ratelab.operators.filters import complete_cases
 POISSON = "poisson"
 NEGATIVE_BINOMIAL = "negative_binomial"
 INTERCEPT = "(Intercept)"
-# More levels than this make a dense information matrix pointless.
-MAX_LEVELS = 1_000
+# Columns of one dense information matrix; a larger factor is absorbed instead.
+MAX_COLUMNS = 2_000
 
 
 @dataclass(frozen=True)
@@ -205,15 +205,15 @@ def find_levels(rows: DataFrame, model: RateModel) -> dict[str, list]:
         [
             rows.select(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
             .distinct()
-            .limit(MAX_LEVELS + 1)
+            .limit(MAX_COLUMNS + 1)
             for c in columns
         ],
     )
     for r in stacked.collect():
         found[r["column"]].append(r["value"])
     for c in columns:
-        if len(found[c]) > MAX_LEVELS:
-            raise ValueError(f"{c} has more than {MAX_LEVELS} levels")
+        if len(found[c]) > MAX_COLUMNS:
+            raise ValueError(f"{c} has more than {MAX_COLUMNS} levels: let fit_absorbed take it as its factor")
         kind = rows.schema[c].dataType
         if isinstance(kind, NumericType):
             number = int if "." not in "".join(found[c]) and "E" not in "".join(found[c]) else float

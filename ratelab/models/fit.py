@@ -73,7 +73,7 @@ def solve(info: np.ndarray, right: np.ndarray, free: np.ndarray) -> np.ndarray:
     return out
 
 
-def _next_theta(theta: float, first: float, second: float) -> float:
+def next_theta(theta: float, first: float, second: float) -> float:
     """Newton step on a bounded scale: log(theta), or 1/theta where that is small.
 
     Data without overdispersion push 1/theta to zero or below it; the result is
@@ -130,7 +130,7 @@ def maximise(
             if theta[i] >= THETA_LIMIT * (1 - 1e-9) and fit_theta:
                 pinned[i] = pinned[i] or s.scalars["dtheta"][k] > 0
             if not pinned[i]:
-                theta[i] = _next_theta(theta[i], s.scalars["dtheta"][k], s.scalars["ddtheta"][k])
+                theta[i] = next_theta(theta[i], s.scalars["dtheta"][k], s.scalars["ddtheta"][k])
                 moved = abs(np.log(theta[i] / best_t[i]))
             small = np.abs(step_b[i]).max(initial=0) < STEP_TOLERANCE and moved < STEP_TOLERANCE
             # A coefficient running off to infinity no longer changes the likelihood.

@@ -21,7 +21,7 @@ from ratelab.models.design import Design
 STATE = ["fit_id", "model_id", "b", "theta", "lg_theta", "dg_theta", "tg_theta"]
 
 
-def _series(theta: float) -> tuple[float, float, float]:
+def series(theta: float) -> tuple[float, float, float]:
     """log-gamma, digamma and trigamma of a positive number."""
     z, product, one, two = theta + 8, 1.0, 0.0, 0.0
     for k in range(8):
@@ -88,22 +88,22 @@ class Likelihood:
         """One Spark job. ``full`` adds deviance, Pearson sum and the constant of the likelihood."""
         fits, p = b.shape
         shape = [float(t) for t in theta] if self.nb else [1.0] * fits
-        series = [_series(t) for t in shape]
+        values = [series(t) for t in shape]
         state = pa.Table.from_arrays(
             [
                 pa.array(range(fits), pa.int64()),
                 pa.array(models, pa.string()),
                 pa.array(b.tolist(), pa.list_(pa.float64())),
                 pa.array(shape, pa.float64()),
-                *[pa.array([s[k] for s in series], pa.float64()) for k in range(3)],
+                *[pa.array([s[k] for s in values], pa.float64()) for k in range(3)],
                 *[pa.array(column, pa.float64()) for column in bounds.T],
             ],
             names=STATE + self.design.bounds,
         )
         # At most as many rows as fits in the slice, a size checked by the caller.
         table = F.broadcast(self.rows.sparkSession.createDataFrame(state))
-        scalars = [c for c in (self._full_sums if full else self._sums) if c not in ("sw", "sr")]
-        products = self._products(self._pattern_sums(table, full), scalars, p)
+        scalars = [c for c in (self.full_sums if full else self._sums) if c not in ("sw", "sr")]
+        products = self._products(self.pattern_sums(table, full), scalars, p)
         return self._unpack(products.toArrow(), scalars, fits, p)
 
     @cached_property
@@ -129,7 +129,7 @@ class Likelihood:
         return sums
 
     @cached_property
-    def _full_sums(self) -> dict[str, Column]:
+    def full_sums(self) -> dict[str, Column]:
         """The same with the likelihood's constant, Pearson sum and deviance."""
         variance = "mu * (1 + mu / theta)" if self.nb else "mu"
         gap = "(y + theta) * ln((y + theta) / (mu + theta))" if self.nb else "y - mu"
@@ -140,13 +140,13 @@ class Likelihood:
             "deviance": F.expr(f"2 * (CASE WHEN y > 0 THEN y * (ln(y) - ln(mu)) ELSE 0D END - ({gap}))"),
         }
 
-    def _pattern_sums(self, table: DataFrame, full: bool) -> DataFrame:
+    def pattern_sums(self, table: DataFrame, full: bool) -> DataFrame:
         df = (
             self.rows.join(table, "model_id")
             .withColumn("eta", self.design.predictor + F.log("n"))
             .withColumn("mu", F.exp(F.least("eta", F.lit(700.0))))
         )
-        sums = self._full_sums if full else self._sums
+        sums = self.full_sums if full else self._sums
         return df.groupBy("fit_id", *self.design.model.covariates).agg(
             *[F.sum(F.col("f") * value).alias(name) for name, value in sums.items()],
             *[F.any_value(name).alias(name) for name in self.design.bounds],
@@ -210,3 +210,7 @@ class Moments(Likelihood):
     @cached_property
     def _sums(self) -> dict[str, Column]:
         return {"sw": F.lit(1.0), "sr": F.expr("y - ln(n)"), "ll": F.expr("(y - ln(n)) * (y - ln(n))")}
+
+    @property
+    def full_sums(self) -> dict[str, Column]:
+        return self._sums
