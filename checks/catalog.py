@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.derived import _named, derived_tables, event_calendar, patient_tables, stored_cells, study_cells
+from checks.derived import (
+    _named, derived_tables, event_calendar, patient_tables, stored_cells, study_cells, window_cells, windows_sql,
+)
 from checks.registry import query, rounded
 from ratelab.operators import filters, quality
 from ratelab.operators.cells import (
@@ -112,6 +114,16 @@ def linked(spark, sf_dir):
     return rate_cells(patient_tables(spark, sf_dir))
 
 
+@query("rolling_year_cells", "SELECT * FROM wide_named", *windows_sql(12))
+def rolling_year_cells(spark, sf_dir):
+    return window_cells(spark, sf_dir, 12)
+
+
+@query("monthly_outcome_cells", "SELECT * FROM wide_named", *windows_sql(1))
+def monthly_outcome_cells(spark, sf_dir):
+    return window_cells(spark, sf_dir, 1)
+
+
 @query(
     "assign_quintile",
     """

@@ -12,9 +12,10 @@ from __future__ import annotations
 import re
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
-from ratelab.operators.cells import PatientTables, rate_cells, study_strata
+from ratelab.operators.cells import PatientTables, Rules, event_rule, rate_cells, study_strata
+from ratelab.operators.changes import cells_by_changes
 from ratelab.scratch import Scratch
 from ratelab.sources.calendar import Calendar, spanning
 
@@ -199,7 +200,7 @@ SELECT patient, month_no, lsoa, count(*) AS times FROM
  (SELECT patient, area_sk, {_covered('period_start', 'period_end', 'date_detected_end')} AS month_no
   FROM fact_residence, span WHERE source = 7 AND period_end IS NOT NULL) JOIN output_area USING (area_sk) WHERE census_year = '2011' GROUP BY ALL""",
     "attended": f"""
-SELECT patient, {_month('episode_start')} AS month_no, count(*) AS visits FROM encounter, span
+SELECT patient, {_month('episode_start')} AS month_no, count(*) AS visits, count(*) FILTER (starts_with(method, '1')) AS stays FROM encounter, span
 WHERE episode_number = 1 AND (starts_with(method, '1') OR starts_with(method, '2')) GROUP BY ALL""",
     "person_month": f"""
 SELECT patient, {_CELL}, p.times * f.times * r.times AS times, visits
@@ -217,3 +218,61 @@ SELECT p.*, a.attends FROM population p LEFT JOIN (SELECT * EXCLUDE (month) FROM
 USING (month_no, lsoa, borough, pcn_name, practice_code, practice_name, quintile, age_band, gender)""",
     "study": "SELECT * FROM linked WHERE quintile <> 99 AND gender <> 'U' AND age_band < 105",
 }
+
+
+def windows_sql(width: int) -> list[str]:
+    """Cells of windows of ``width`` months that start in every month, with two outcomes: ``wide_study``.
+
+    Every membership row of a month counts for each window that holds the month.
+    """
+    windows = f"unnest(range(greatest(a - {width - 1}, 1), least(b, months) + 1)) AS month_no"
+
+    def touched(columns: str, start: str, end: str, extra: str, source: str) -> str:
+        stop = f"least({end}, coalesce({extra}, {end}))"
+        return f"""(SELECT patient, {columns}, {windows} FROM (SELECT *, greatest({_month(start)}, 1) AS a, {_month(stop)} AS b
+ FROM {source}, span WHERE source = 7 AND period_end IS NOT NULL))"""
+
+    return [
+        f"""
+wide_practice AS (SELECT patient, month_no, borough, pcn_name, practice_code, practice_name, count(*) AS times
+ FROM {touched('org', 'period_start', 'period_end', 'date_left', 'fact_practice')}
+ JOIN organisation USING (org) JOIN pcn ON practice_code = org_code
+ WHERE parent_org IN (SELECT org FROM organisation) AND length(trim(borough)) > 0 GROUP BY ALL)""",
+        f"""
+wide_profile AS (SELECT patient, month_no, gender, CAST(1996 - year(dob) AS INT) // 15 * 15 AS age_band, count(*) AS times
+ FROM {touched('gender_sk, dob', 'period_start', 'period_end', 'date_of_death', 'fact_profile')} JOIN gender USING (gender_sk) GROUP BY ALL)""",
+        f"""
+wide_resident AS (SELECT patient, month_no, lsoa, count(*) AS times
+ FROM {touched('area_sk', 'period_start', 'period_end', 'date_detected_end', 'fact_residence')}
+ JOIN output_area USING (area_sk) WHERE census_year = '2011' GROUP BY ALL)""",
+        f"""
+wide_events AS (SELECT patient, month_no, sum(visits) AS visits, sum(stays) AS stays FROM
+ (SELECT patient, visits, stays, unnest(range(greatest(month_no - {width - 1}, 1), month_no + 1)) AS month_no FROM attended) GROUP BY ALL)""",
+        f"""
+wide_cells AS (SELECT {_CELL}, count(DISTINCT patient) AS persons, CAST(sum(p.times * f.times * r.times * visits) AS BIGINT) AS attends,
+ CAST(sum(p.times * f.times * r.times * stays) AS BIGINT) AS admits
+ FROM wide_practice p JOIN wide_profile f USING (patient, month_no) JOIN wide_resident r USING (patient, month_no)
+ LEFT JOIN wide_events USING (patient, month_no) GROUP BY ALL)""",
+        f"""
+wide_named AS ({_named("wide_cells", "persons, CASE WHEN q.quintile IS NOT NULL THEN attends END AS attends, CASE WHEN q.quintile IS NOT NULL THEN nullif(admits, 0) END AS admits")})""",
+        """
+wide_study AS (SELECT * FROM wide_named WHERE quintile <> 99 AND gender <> 'U' AND age_band < 105)""",
+    ]
+
+
+_WINDOWS: dict[tuple[str, str, int], DataFrame] = {}
+
+
+def outcomes() -> dict[str, Column]:
+    """Two overlapping sets of events of one table."""
+    return {"attends": event_rule(Rules()), "admits": event_rule(Rules(method_prefixes=("1",)))}
+
+
+def window_cells(spark: SparkSession, sf_dir: str, width: int) -> DataFrame:
+    """Cells of windows of ``width`` months with two outcomes, built once and read back as a table."""
+    key = (spark.sparkContext.applicationId, sf_dir, width)
+    if key not in _WINDOWS:
+        calendar = spanning(derived_tables(spark, sf_dir)["encounter"], "episode_start", width)
+        cells = cells_by_changes(patient_tables(spark, sf_dir, calendar=calendar), outcomes())
+        _WINDOWS[key] = Scratch(spark).keep(cells.hint("rebalance", "month_no"), f"cells{width}", "month_no", "month")
+    return _WINDOWS[key]

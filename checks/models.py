@@ -7,10 +7,12 @@ one-factor score steps for the negative binomial, bisection for limits.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from checks.catalog import _PERIOD_TABLE
-from checks.derived import derived_tables, stored_cells
+from checks.derived import derived_tables, stored_cells, window_cells, windows_sql
 from checks.registry import query, rounded
 from ratelab.models.design import (
     NEGATIVE_BINOMIAL,
@@ -21,7 +23,8 @@ from ratelab.models.design import (
     natural_spline,
 )
 from ratelab.models.fit import fit
-from ratelab.models.inference import compare_aic, forest_table, sequential_deviance, summary, tidy
+from ratelab.models.inference import compare_aic, forest_table, keep_term, sequential_deviance, summary, tidy
+from ratelab.models.levels import fit_absorbed, tidy_absorbed
 from ratelab.models.mixed import GAUSSIAN, fit_random_intercept, tidy_mixed
 from ratelab.operators.membership import events_in_periods
 from ratelab.plans import study
@@ -51,7 +54,7 @@ sp3 AS (SELECT month_no, w, z1, s2 - z1 * sum(w * s2 * z1) OVER () / sum(w * z1
  s3 - z1 * sum(w * s3 * z1) OVER () / sum(w * z1 * z1) OVER () AS s3 FROM sp2),
 sp4 AS (SELECT month_no, z1, z2, s3 - z2 * sum(w * s3 * z2) OVER () / sum(w * z2 * z2) OVER () AS z3 FROM sp3),
 cell AS (SELECT age_band AS a, gender AS g, CASE WHEN quintile < 2 THEN 1 ELSE 0 END AS d,
- CASE WHEN quintile < 3 THEN 1 ELSE 0 END AS e, borough AS bo, month_no, z1, z2, z3,
+ CASE WHEN quintile < 3 THEN 1 ELSE 0 END AS e, borough AS bo, practice_code AS pr, month_no, z1, z2, z3,
  CAST(persons AS DOUBLE) AS n, CAST(attends AS BIGINT) AS y FROM period_table JOIN sp4 USING (month_no) WHERE persons > 0)"""
 _PATTERNS = """
 pat AS (SELECT a, g, d, CAST(sum(y) AS DOUBLE) AS y, sum(n) AS n FROM cell GROUP BY a, g, d)"""
@@ -515,6 +518,87 @@ def spline_basis(spark, sf_dir):
     return rounded(out, "s1", "s2", "s3")
 
 
+# --- rolling years, two outcomes ------------------------------------------------
+
+
+def _wide_cell(outcome: str, collapsed: bool) -> str:
+    period = "" if collapsed else "month_no, "
+    return f"""
+cell AS (SELECT age_band AS a, gender AS g, CASE WHEN quintile < 2 THEN 1 ELSE 0 END AS d, borough AS bo, {period}1 AS one,
+ CAST(sum(persons) AS DOUBLE) AS n, CAST(coalesce(sum({outcome}), 0) AS BIGINT) AS y FROM wide_study
+ GROUP BY {period}borough, pcn_name, practice_code, practice_name, quintile, age_band, gender)"""
+
+
+def _specified(spark, sf_dir, name):
+    tables = study.model_tables(window_cells(spark, sf_dir, 1), window_cells(spark, sf_dir, 12))
+    return study.run_specification(study.SPECIFICATIONS[name], tables)
+
+
+def _estimates(spark, sf_dir, name):
+    table = forest_table(_specified(spark, sf_dir, name))
+    return table.select("term", (F.round("estimate", 5) + F.lit(0.0)).alias("estimate"))
+
+
+_ROUND5 = "SELECT term, round(estimate, 5) AS estimate FROM ({})"
+
+
+@query("collapsed_poisson", _ROUND5.format(_contrasts("fitted")), *windows_sql(1), _wide_cell("attends", True), _PATTERNS, _IPF, _POISSON)
+def collapsed_poisson(spark, sf_dir):
+    return _estimates(spark, sf_dir, "collapsed_poisson")
+
+
+@query("collapsed_nb_admits", _ROUND5.format(_contrasts("nb_fit")), *windows_sql(1), _wide_cell("admits", True), *_nb(""))
+def collapsed_nb_admits(spark, sf_dir):
+    return _estimates(spark, sf_dir, "collapsed_nb_admits")
+
+
+@query("year_poisson", _ROUND5.format(_contrasts("fitted")), *windows_sql(12), _wide_cell("attends", False), _PATTERNS, _IPF, _POISSON)
+def year_poisson(spark, sf_dir):
+    return _estimates(spark, sf_dir, "year_poisson")
+
+
+@query("year_nb", _ROUND5.format(_contrasts("nb_fit")), *windows_sql(12), _wide_cell("attends", False), *_nb(""))
+def year_nb(spark, sf_dir):
+    return _estimates(spark, sf_dir, "year_nb")
+
+
+@query(
+    "year_nb_borough",
+    """
+SELECT t.bo AS model_id, 'deprived' AS term, round(exp(avg(t.eta - b.eta)), 4) AS estimate
+FROM nb_fit t JOIN nb_fit b ON t.bo = b.bo AND b.d = 0 AND t.d = 1 AND t.a = b.a AND t.g = b.g GROUP BY t.bo
+UNION ALL SELECT bo, 'deprived', NULL FROM nb_fit GROUP BY bo HAVING min(d) = max(d)""",
+    *windows_sql(12), _wide_cell("attends", False), *_nb("bo"),
+)
+def year_nb_borough(spark, sf_dir):
+    table = keep_term(_specified(spark, sf_dir, "year_nb_borough"), "deprived")
+    return table.select("model_id", "term", (F.round("estimate", 4) + F.lit(0.0)).alias("estimate"))
+
+
+# --- absorbed factor --------------------------------------------------------------
+
+
+@query(
+    "nb_absorbed_practice",
+    """
+SELECT concat('age_band', CAST(t.a AS VARCHAR)) AS term, round(exp(avg(t.eta - b.eta)), 4) AS estimate, round(max(t.th), 3) AS theta
+FROM nb_fit t JOIN nb_fit b ON b.a = (SELECT min(a) FROM nb_fit) AND t.a <> b.a AND t.pr = b.pr AND t.z1 = b.z1 GROUP BY t.a
+UNION ALL SELECT concat('practice', t.pr), round(exp(avg(t.eta - b.eta)), 4), round(max(t.th), 3)
+FROM nb_fit t JOIN nb_fit b ON b.pr = (SELECT min(pr) FROM nb_fit) AND t.pr <> b.pr AND t.a = b.a AND t.z1 = b.z1 GROUP BY t.pr""",
+    _PERIOD_TABLE, _SEASON_CELLS, *_nb("", cycles=60, parts=("a", "pr"), curves=True),
+)
+def nb_absorbed_practice(spark, sf_dir):
+    # Sex and deprivation are constant within a practice of these tables.
+    model = RateModel("attends", (Categorical("age_band"), *study.SEASON), NEGATIVE_BINOMIAL)
+    with Scratch(spark) as scratch:
+        fitted = fit_absorbed(model_table(spark, sf_dir), model, "practice_code", scratch)
+        first = fitted.effects.agg(F.min_by("effect", "level")).first()[0]
+        levels = [(f"practice{r['level']}", math.exp(r["effect"] - first)) for r in fitted.effects.orderBy("level").collect()[1:]]
+    ages = tidy_absorbed(fitted, spark).filter(F.col("term").startswith("age_band")).select("term", "estimate")
+    table = ages.unionAll(spark.createDataFrame(levels, "term string, estimate double"))
+    return table.select("term", (F.round("estimate", 4) + F.lit(0.0)).alias("estimate"), F.round(F.lit(fitted.theta), 3).alias("theta"))
+
+
 # --- random intercepts ----------------------------------------------------------
 
 

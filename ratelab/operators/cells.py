@@ -7,7 +7,7 @@ from datetime import date
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ratelab.functions.columns import age_band, nonblank, starts_with_any
 from ratelab.operators.lookup import assign_lookup, compact_codes
@@ -74,7 +74,7 @@ def practice_places(organisation: DataFrame, pcn: DataFrame) -> DataFrame:
     )
 
 
-class _Codes:
+class Codes:
     """Dimensions as compact codes: only numbers travel through the big shuffles."""
 
     def __init__(self, t: PatientTables):
@@ -107,7 +107,13 @@ def month_names(calendar: Calendar) -> DataFrame:
     return F.broadcast(names) if calendar.count <= BROADCAST_PERIODS else names
 
 
-def _people(t: PatientTables, codes: _Codes, with_events: bool, how: str = "left") -> DataFrame:
+def event_rule(rules: Rules) -> Column:
+    """Which rows of the encounter table are events of the study."""
+    return starts_with_any("method", rules.method_prefixes) & (F.col("episode_number") == rules.episode_number)
+
+
+def members(t: PatientTables, codes: Codes) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Practice, profile and residence memberships that touch the calendar, in codes."""
     rules, calendar = t.rules, t.calendar
 
     def member(df: DataFrame, extra_end: str) -> DataFrame:
@@ -122,13 +128,14 @@ def _people(t: PatientTables, codes: _Codes, with_events: bool, how: str = "left
         .join(codes.sex, "gender_sk")
         .select(*compact, age_band("dob", t.asof, rules.age_width).alias("age_band"), "sex")
     )
+    return practice, profile, residence
+
+
+def _people(t: PatientTables, codes: Codes, with_events: bool, how: str = "left") -> DataFrame:
     events = None
     if with_events:
-        events = t.encounter.filter(
-            starts_with_any("method", rules.method_prefixes)
-            & (F.col("episode_number") == rules.episode_number)
-        ).select("patient", "episode_start")
-    return people_in_periods(practice, profile, residence, calendar, events, how)
+        events = t.encounter.filter(event_rule(t.rules)).select("patient", "episode_start")
+    return people_in_periods(*members(t, codes), t.calendar, events, how)
 
 
 CODED = ["month_no", "place", "area", "age_band", "sex"]
@@ -140,7 +147,7 @@ def population_cells(t: PatientTables) -> DataFrame:
     A person occurs once per cell and period in the joined memberships, so the
     distinct count is a plain count.
     """
-    codes = _Codes(t)
+    codes = Codes(t)
     people = _people(t, codes, with_events=False)
     cells = people.groupBy(*CODED).agg(F.count(F.lit(1)).alias("persons"))
     return codes.decode(cells, t.calendar, "persons")
@@ -152,7 +159,7 @@ def activity_cells(t: PatientTables, measure: str = "attends", distinct_events:
     An event counts once for every combination of membership rows its person
     has in the period; ``distinct_events`` counts it once per cell instead.
     """
-    codes = _Codes(t)
+    codes = Codes(t)
     people = _people(t, codes, with_events=True, how="inner")
     count = F.col("events") if distinct_events else F.col("copies") * F.col("events")
     cells = people.groupBy(*CODED).agg(F.sum(count).alias(measure))
@@ -165,7 +172,7 @@ def rate_cells(t: PatientTables, measure: str = "attends", distinct_events: bool
     Equals ``link_cells(population_cells(t), activity_cells(t))``: every event
     cell lies inside a population cell. Cells without events have null events.
     """
-    codes = _Codes(t)
+    codes = Codes(t)
     people = _people(t, codes, with_events=True, how="left")
     count = F.col("events") if distinct_events else F.col("copies") * F.col("events")
     cells = people.groupBy(*CODED).agg(

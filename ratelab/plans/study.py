@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from functools import reduce
 from itertools import chain
@@ -66,9 +66,28 @@ def features(table: DataFrame) -> DataFrame:
     return table.withColumns({"deprived": exposure("quintile", 2), "deprived2": exposure("quintile", 3)})
 
 
+def model_tables(monthly: DataFrame, yearly: DataFrame, measures: tuple[str, ...] = ("attends", "admits")) -> dict[str, DataFrame]:
+    """The tables that specifications name as their ``data``, with all outcomes side by side.
+
+    ``monthly`` and ``yearly`` are cells of single months and of rolling
+    years; "collapsed" is the monthly table with its periods summed. Strata
+    without events of an outcome are zero.
+    """
+
+    def table(cells: DataFrame, keys: list[str]) -> DataFrame:
+        events = [F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in measures]
+        return features(study_strata(cells).groupBy(*keys).agg(F.sum("persons").alias("persons"), *events))
+
+    return {
+        "monthly": table(monthly, [*PERIOD, *PLACE, *STRATA]),
+        "yearly": table(yearly, [*PERIOD, *PLACE, *STRATA]),
+        "collapsed": table(monthly, [*PLACE, *STRATA]),
+    }
+
+
 @dataclass(frozen=True)
 class Specification:
-    """A model of the study: what is fitted, per which group, with which random intercept."""
+    """A model of the study: on which table what is fitted, per which group, with which random intercept."""
 
     model: RateModel
     by: str | None = None
@@ -133,8 +152,9 @@ SPECIFICATIONS: dict[str, Specification] = {
 }
 
 
-def run_specification(spec: Specification, table: DataFrame, method: str = "wald") -> DataFrame:
-    """Coefficient table of one specification, over a table with the feature columns."""
+def run_specification(spec: Specification, data: DataFrame | Mapping[str, DataFrame], method: str = "wald") -> DataFrame:
+    """Coefficient table of one specification, over its own of ``model_tables``, or over a table with the feature columns."""
+    table = data if isinstance(data, DataFrame) else data[spec.data]
     spark = table.sparkSession
     with Scratch(spark) as scratch:
         if spec.random:
