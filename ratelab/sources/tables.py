@@ -1,4 +1,4 @@
-"""Typed readers and writers. Every schema is declared; nothing is inferred."""
+"""Readers and writers. Sheets and tables with a declared schema are checked or cast to it; parquet otherwise keeps its own."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ import os
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
+
+from ratelab.scratch import Scratch
 
 SCHEMAS = {
     "practice": "patient long, org long, source int, period_start date, period_end date, date_left date",
@@ -67,6 +69,46 @@ def read_sheet(spark: SparkSession, path: str, schema: str, missing: str = "NULL
     )
 
 
+def read_sheet_split(
+    spark: SparkSession, path: str, schema: str, scratch: Scratch, missing: str = "NULL"
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of a sheet that fit ``schema``, and the others with the reasons why they do not.
+
+    The second table has ``file``, ``line`` (the text of the row) and
+    ``reasons``, one per value that is no number or date of its column, or one
+    for a wrong number of values. Lines are read once and stored, so that the
+    two tables are parts of the same rows. Empty values and the text
+    ``missing`` are null and fit any column.
+    """
+    fields = schema_of(schema).fields
+    bad = "not_of_the_sheet"
+    texts = StructType([StructField(f.name, StringType()) for f in fields] + [StructField(bad, StringType())])
+    raw = (
+        spark.read.schema(texts)
+        .option("header", True)
+        .option("enforceSchema", True)
+        .option("nullValue", missing)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", bad)
+        .csv(path)
+        .withColumn("file", F.col("_metadata.file_path"))
+    )
+    wrong = [
+        F.when(
+            F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull(),
+            F.format_string(f"{f.name}: '%s' is no {f.dataType.simpleString()}", F.col(f.name)),
+        )
+        for f in fields
+    ]
+    count = F.when(F.col(bad).isNotNull(), F.array(F.lit(f"not {len(fields)} values")))
+    checked = raw.withColumn("reasons", F.coalesce(count, F.array_compact(F.array(*wrong))))
+    checked = scratch.keep(checked, "sheet")
+    fits = F.size("reasons") == 0
+    line = F.coalesce(bad, F.array_join(F.array(*[F.col(f.name) for f in fields]), ",", missing))
+    good = checked.filter(fits).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
+    return good, checked.filter(~fits).select("file", line.alias("line"), "reasons")
+
+
 def query_options(
     url_variable: str,
     query: str,
@@ -117,6 +159,25 @@ def write_table(df: DataFrame, target: str, partition_by: str | None = None) ->
         writer.saveAsTable(target)
 
 
+def replace_periods(df: DataFrame, target: str, partition_by: str) -> None:
+    """Replace only the periods that ``df`` holds, in a table that ``write_table`` has written by period.
+
+    All other periods stay as they are. An empty ``df`` replaces nothing.
+    """
+    df = df.hint("rebalance", F.col(partition_by))
+    if "/" in target:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(target)
+        return
+    # A catalog table takes columns by position, and the mode from the session.
+    conf, mode = df.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"
+    before = conf.get(mode)
+    conf.set(mode, "dynamic")
+    try:
+        df.select(*df.sparkSession.table(target).columns).write.insertInto(target, overwrite=True)
+    finally:
+        conf.set(mode, before)
+
+
 def write_sheet(df: DataFrame, path: str) -> None:
     """Chart-ready result as CSV with a header."""
     df.write.mode("overwrite").option("header", True).option("nullValue", "NULL").csv(path)

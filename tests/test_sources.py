@@ -38,6 +38,58 @@ def test_writes_replace_and_partition(spark, tmp_path):
     assert "1,NULL" in "".join(p.read_text() for p in (tmp_path / "sheet").glob("part-*"))
 
 
+def test_bad_rows_of_a_sheet_are_set_aside(spark, tmp_path):
+    path = tmp_path / "sheet.csv"
+    path.write_text(
+        "month,month_no,borough,quintile,age_band,gender,persons,attends\n"
+        "2023-07-01,7,North,1,15,F,100,NULL\n2023-07-01,seven,North,2,15,M,x,3\n"
+        "2023-13-01,7,\"a,b\",,15,M,5,3\n1,2\n2023-07-01,7,North,2,15,M,50,3,extra\n,NULL,,,,,,\n"
+    )
+    with Scratch(spark) as scratch:
+        good, rejected = tables.read_sheet_split(spark, str(path), tables.ATTENDANCE_SHEET, scratch)
+        assert good.schema == tables.schema_of(tables.ATTENDANCE_SHEET)
+        assert sorted(([r["persons"], r["attends"]] for r in good.collect()), key=repr) == [[100.0, None], [None, None]]
+        found = {tuple(r["reasons"]): r for r in rejected.collect()}
+        assert set(found) == {
+            ("month_no: 'seven' is no double", "persons: 'x' is no double"), ("month: '2023-13-01' is no date",), ("not 8 values",),
+        }
+        assert rejected.count() == 4 and all(r["file"].endswith("sheet.csv") for r in found.values())
+        assert sorted(r["line"] for r in rejected.collect())[0] == "1,2"
+        path.write_text("month,month_no,borough,quintile,age_band,gender,persons,attends\n")
+    with Scratch(spark) as scratch:
+        assert [t.count() for t in tables.read_sheet_split(spark, str(path), tables.ATTENDANCE_SHEET, scratch)] == [0, 0]
+
+
+def test_only_given_periods_are_replaced(spark, tmp_path):
+    rows = lambda n: spark.createDataFrame([(m, n) for m in (1, 2, 3)], "month_no int, persons int")
+    path = f"{tmp_path}/cells"
+    tables.write_table(rows(5), path, "month_no")
+    tables.replace_periods(rows(9).filter("month_no = 2"), path, "month_no")
+    tables.replace_periods(rows(7).limit(0), path, "month_no")
+    assert sorted((r["month_no"], r["persons"]) for r in spark.read.parquet(path).collect()) == [(1, 5), (2, 9), (3, 5)]
+    spark.sql(f"CREATE TABLE period_cells (persons INT, month_no INT) USING parquet PARTITIONED BY (month_no) LOCATION '{tmp_path}/t'")
+    try:
+        rows(5).select("persons", "month_no").write.insertInto("period_cells")
+        tables.replace_periods(rows(9).filter("month_no = 2"), "period_cells", "month_no")
+        assert sorted(tuple(r) for r in spark.table("period_cells").collect()) == [(5, 1), (5, 3), (9, 2)]
+    finally:
+        tables.drop_table(spark, "period_cells")
+
+
+def test_tables_are_dropped_and_databases_chosen(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE study_db LOCATION '{tmp_path}/db'")
+    try:
+        tables.use_database(spark, "study_db")
+        assert spark.catalog.currentDatabase() == "study_db"
+        spark.sql("CREATE TABLE gone (x INT) USING parquet")
+        tables.drop_table(spark, "gone")
+        tables.drop_table(spark, "gone")
+        assert not spark.catalog.tableExists("gone")
+    finally:
+        tables.use_database(spark, "default")
+        spark.sql("DROP DATABASE study_db CASCADE")
+
+
 def test_query_options(monkeypatch):
     monkeypatch.delenv("WAREHOUSE_URL", raising=False)
     with pytest.raises(KeyError):
