@@ -38,10 +38,16 @@ class Scratch:
         # The schema is known: reading it back needs no footer inspection job.
         return self.spark.read.schema(df.schema).parquet(self.table(name))
 
+    def drop(self, name: str) -> None:
+        """Delete a table that nothing will read again."""
+        self._delete(self.table(name))
+
     def clear(self) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._delete(self.path)
+
+    def _delete(self, path: str) -> None:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
 
     def __enter__(self) -> "Scratch":
         return self
