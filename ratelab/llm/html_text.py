@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 SIGMA = 2.0  # of the Gaussian, in lines
+APART = 3.0  # times that the mean ratio of content is over that of other lines, at least
 
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = set(
@@ -33,6 +34,12 @@ _FURNITURE = re.compile(
     re.I,
 )
 _COMMENT = re.compile(r"(?<!\S)(?:div-)?(?:comment|reply)(?:[_-](?:body|content|item|\d+))?(?!\S)", re.I)
+# Whole names that can only be what readers wrote.
+_READERS = re.compile(
+    r"(?:(?:user|reader|visitor|post|article|blog|page|entry|fb|disqus)[_-])?(?:comments?|repl(?:y|ies))"
+    r"(?:[_-](?:list|section|area|wrap|wrapper|threads?|container|block|box|feed))?",
+    re.I,
+)
 # Inline elements without text of the page: blocks inside them end nothing outside.
 _HOLDERS = _NOT_TEXT - _BLOCK - {"label", "map"}
 _CLOSED_BY = {"p": _BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
@@ -48,21 +55,43 @@ class Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[list[tuple[str, int]], int, int]] = []
-        # Per suspect: the one around it, characters, tags, whether a region is inside, whether a whole name is furniture.
+        # Pieces, tags, region and whether the line is a heading.
+        self.lines: list[tuple[list[tuple[str, int]], int, int, bool]] = []
+        # Per suspect: the one around it, characters, tags, whether a region is inside, and whether a
+        # whole name is furniture (1) or what readers wrote (2).
         self.suspects: list[list[int]] = []
         self._text: list[tuple[str, int]] = []
-        self._region = 0  # of the stored text
+        self._region, self._heading = 0, False  # of the stored text
         self._tags = 0
         self._all_tags = self.all_chars = 0
         # Open elements: (tag, without text of the page, region, suspect, suspect outside the region's header or None)
         self._open: list[tuple[str, bool, int, int, int | None]] = [("", False, 0, -1, None)]
         self.regions = 0
+        # Places of open blocks and holders, and how often each inline tag is open inside the innermost one.
+        self._walls = [0]
+        self._inline: list[dict[str, int]] = [{}]
+        self._count: dict[str, int] = {}
+
+    def parse_html_declaration(self, i: int) -> int:
+        # A declaration that is none is a comment; the parser would raise on some.
+        if self.rawdata.startswith("<![", i) and not self.rawdata.startswith("<![CDATA[", i):
+            return self.parse_bogus_comment(i)
+        return super().parse_html_declaration(i)
+
+    def _push(self, element: tuple[str, bool, int, int, int | None]) -> None:
+        tag = element[0]
+        if tag in _BLOCK or tag in _HOLDERS:
+            self._walls.append(len(self._open))
+            self._inline.append({})
+        else:
+            self._inline[-1][tag] = self._inline[-1].get(tag, 0) + 1
+        self._count[tag] = self._count.get(tag, 0) + 1
+        self._open.append(element)
 
     def _flush(self) -> None:
         if self._text:
             if any(text and not text.isspace() for text, _ in self._text):
-                self.lines.append((self._text, self._tags, self._region))
+                self.lines.append((self._text, self._tags, self._region, self._heading))
                 self._tags = 0
             self._text = []
 
@@ -73,7 +102,14 @@ class Lines(HTMLParser):
             if own > self._open[i - 1][3]:
                 _, chars, tags, *_ = self.suspects[own]
                 self.suspects[own][1:3] = self.all_chars - chars, self._all_tags - tags
-        del self._open[at:]
+        while len(self._open) > at:
+            tag = self._open.pop()[0]
+            self._count[tag] -= 1
+            if self._walls[-1] == len(self._open):
+                self._walls.pop()
+                self._inline.pop()
+            else:
+                self._inline[-1][tag] -= 1
 
     def _tag(self) -> None:
         self._tags += 1
@@ -129,41 +165,42 @@ class Lines(HTMLParser):
                     head = suspect if only_head else None
                     # "ad" and "cookie-notice" name the element, "has-sidebar" and "comments-open" may name what is beside it.
                     plain = any(all(map(_FURNITURE.fullmatch, filter(None, re.split("[_-]", n)))) for n in names.split())
-                    self.suspects.append([suspect, self.all_chars, self._all_tags, 0, int(plain)])
+                    readers = any(map(_READERS.fullmatch, names.split()))
+                    self.suspects.append([suspect, self.all_chars, self._all_tags, 0, 2 if readers else int(plain)])
                     suspect = len(self.suspects) - 1
         self._tag()
-        self._open.append((tag, hidden, region, suspect, head))
+        self._push((tag, hidden, region, suspect, head))
 
     def _close_implied(self, tag: str) -> None:
-        for i in range(len(self._open) - 1, 0, -1):
-            name = self._open[i][0]
-            if name in _CLOSED_BY and tag in _CLOSED_BY[name]:
-                self._pop(i)
-                return
-            if name in _BLOCK or name in _HOLDERS:
-                return
+        # Only the innermost block can end so.
+        i = self._walls[-1]
+        name = self._open[i][0]
+        if i and tag in _CLOSED_BY.get(name, ()):
+            self._pop(i)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _VOID:
             return
         self._tag()
-        for i in range(len(self._open) - 1, 0, -1):
-            if self._open[i][0] == tag:
-                if tag in _BLOCK and not (self._open[i][1] and self._open[i - 1][1]):
-                    self._flush()
-                self._pop(i)
-                return
-            # An inline end tag does not close the block around it.
-            if tag not in _BLOCK and tag not in _HOLDERS and self._open[i][0] in _BLOCK:
-                return
-        if tag in _BLOCK and not self._open[-1][1]:
+        wall = tag in _BLOCK or tag in _HOLDERS
+        # An inline end tag does not close the block around it.
+        if not (self._count if wall else self._inline[-1]).get(tag):
+            if tag in _BLOCK and not self._open[-1][1]:
+                self._flush()
+            return
+        # What is passed over here is closed: no element is passed twice.
+        i = len(self._open) - 1
+        while self._open[i][0] != tag:
+            i -= 1
+        if tag in _BLOCK and not (self._open[i][1] and self._open[i - 1][1]):
             self._flush()
+        self._pop(i)
 
     def handle_data(self, data: str) -> None:
         _, hidden, region, suspect, _ = self._open[-1]
         if not hidden:
             self._text.append((data, suspect))
-            self._region = region
+            self._region, self._heading = region, self._open[self._walls[-1]][0] in _HEADINGS
             self.all_chars += len(data.strip())
 
     def close(self) -> None:
@@ -197,47 +234,70 @@ def main_text(html: str | None) -> str:
         low = _least(ratios, even)
         furniture: set[int] = set()
         for i, (around, chars, tags, region, plain) in enumerate(parser.suspects):
-            beside = plain and (parser.regions or 2 * chars <= parser.all_chars)
+            beside = plain and (parser.regions or 2 * chars <= parser.all_chars or plain == 2 and chars < parser.all_chars)
             if around in furniture or not region and (chars / max(1, tags) < low or beside):
                 furniture.add(i)
         lines = _lines(parser, furniture) if furniture else lines
         if not lines:
             return ""
     ratios, even = _ratios(lines)
-    # Two clusters of lines: above and below the spread of ratios. The best line is always above.
-    content = even >= _least(ratios, even)
+    # Two clusters of lines by smoothed ratio. Smoothing may lift a line's neighbours over the line
+    # itself, so its own ratio counts too, and the longest line is always content.
+    least = _split(even)
+    content = (even >= least) | (ratios >= max(least, _split(ratios)))
+    content[int(np.argmax([len(x[0]) for x in lines]))] = True
     sizes: dict[int, int] = {}
-    for (text, _, region), good in zip(lines, content):
+    for (text, _, region, _), good in zip(lines, content):
         if good:
             sizes[region] = sizes.get(region, 0) + len(text)
     inside = {r: n for r, n in sizes.items() if r}
-    best = max(inside, key=lambda r: (inside[r], -r)) if inside else 0
-    if best and 2 * inside[best] > sum(sizes.values()):
-        # The page marks its article, and most of the content is there: all of it.
-        kept = [text for text, _, region in lines if region == best]
+    if inside and 2 * sum(inside.values()) > sum(sizes.values()):
+        # The page marks its articles, and most of the content is there: all of
+        # each, but for cards that are far smaller than the largest.
+        whole = {r for r, n in inside.items() if 4 * n >= max(inside.values())}
+        kept = [x[0] for x in lines if x[2] in whole]
     else:
-        # Otherwise from the first to the last line of the content.
-        at = np.flatnonzero(content)
-        kept = [x[0] for x in lines[at[0] : at[-1] + 1]]
+        kept = [x[0] for x in lines[slice(*_span(lines, content))]]
     return "\n\n".join(kept)
 
 
-def _lines(parser: Lines, furniture: set[int]) -> list[tuple[str, int, int]]:
-    """Text, tags and region of each line without the pieces in ``furniture``; tags of empty lines count for the next."""
+def _split(values: np.ndarray) -> float:
+    """Between the means of two clusters; the least value if the clusters are not far apart."""
+    order = np.sort(values)
+    if len(order) < 2:
+        return float(order[0])
+    count = np.arange(1, len(order))
+    below = np.cumsum(order)[:-1]
+    low, high = below / count, (order.sum() - below) / (len(order) - count)
+    best = int(np.argmax(count * (len(order) - count) * (high - low) ** 2))
+    return float((low[best] + high[best]) / 2) if high[best] > APART * low[best] else float(order[0])
+
+
+def _span(lines: list[tuple[str, int, int, bool]], content: np.ndarray) -> tuple[int, int]:
+    """From the first to the last line of the content, and the headings just before it."""
+    at = np.flatnonzero(content)
+    first = int(at[0])
+    while first and lines[first - 1][3]:
+        first -= 1
+    return first, int(at[-1]) + 1
+
+
+def _lines(parser: Lines, furniture: set[int]) -> list[tuple[str, int, int, bool]]:
+    """Text, tags, region and heading of each line without the pieces in ``furniture``; tags of empty lines count for the next."""
     out = []
     before = 0
-    for pieces, tags, region in parser.lines:
+    for pieces, tags, region, heading in parser.lines:
         text = " ".join("".join([t for t, s in pieces if s not in furniture]).split())
         if text:
-            out.append((text, before + tags, region))
+            out.append((text, before + tags, region, heading))
             before = 0
         else:
             before += tags
     return out
 
 
-def _ratios(lines: list[tuple[str, int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    ratios = np.array([len(text) / max(1, tags) for text, tags, _ in lines])
+def _ratios(lines: list[tuple[str, int, int, bool]]) -> tuple[np.ndarray, np.ndarray]:
+    ratios = np.array([len(text) / max(1, tags) for text, tags, *_ in lines])
     return ratios, smooth(ratios)
 
 
@@ -250,7 +310,9 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
 
     Null, empty and tag-only pages have empty text. Rows are independent of
     each other: repeated ones give the same text, an empty table gives an
-    empty result, other columns are not read.
+    empty result, other columns are not read. Any markup is read, however
+    broken; time is linear in a page, and memory is bounded by a batch of
+    pages.
     """
 
     @F.pandas_udf("string")

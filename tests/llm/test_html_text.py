@@ -1,4 +1,5 @@
 import pytest
+from hypothesis import given, settings, strategies as st
 
 from ratelab.llm.html_text import extract_text, main_text, smooth
 
@@ -105,3 +106,52 @@ def test_teaser_card_does_not_replace_the_unmarked_text():
 
 def test_long_advertisement_beside_a_short_article_is_no_text():
     assert main_text(page(f"<div class='ad'>{LONG}</div><article><h1>Title</h1><p>Short.</p></article>")) == "Title\n\nShort."
+
+
+RUNNING = "long " * 109
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<p>One short.</p><p>Two short.</p><p>%s</p><p>Three short.</p>", "One short.\n\nTwo short.\n\n%s\n\nThree short."),
+        ("<h1>Heading</h1><p>%s</p>", "Heading\n\n%s"),
+        ("<h1>Heading</h1><p>%s</p><p>Last line.</p>", "Heading\n\n%s\n\nLast line."),
+        ('<article>%s</article><div class="user-comments">' + "said " * 200 + "</div>", "%s"),
+        ('<div class="post">%s</div><ul class="comment-list"><li>' + "said " * 200 + "</li></ul>", "%s"),
+        ('<div class="comments-open"><p>%s</p></div>', "%s"),
+        ("<p>a</p><![foo[ x ]]><p>b %s</p>", "a\n\nb %s"),
+    ],
+)
+def test_unmarked_pages_headings_and_readers(html, want):
+    assert main_text(html % RUNNING) == want % RUNNING.strip()
+
+
+def test_both_of_two_articles_stay():
+    html = f"<article>{'a' * 125}</article><article>{'b' * 126}</article>"
+    assert main_text(html) == "a" * 125 + "\n\n" + "b" * 126
+
+
+@pytest.mark.parametrize("html", ["<![%x", "<![ ", "<![[", "<!", "<!d", "<![CDATA[x", "<?", "</", "<a b='", "&#x110000;&#0;&", "<!--", "\x00<p\x00>"])
+def test_broken_markup(html):
+    for page in (html, f"<p>text</p>{html}", f"{html}<p>text</p>"):
+        assert isinstance(main_text(page), str)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["<", ">", "!", "[", "]", "-", "--", "/", "p", "b", "li", "div", "svg", " ", "x", "'", '"', "=", "&", "#", ";", "CDATA", "?", "class", "article"]), max_size=60))
+def test_any_markup(parts):
+    assert isinstance(main_text("".join(parts)), str)
+
+
+def test_linear_time():
+    """Sixteen times the tags in far less than 256 times the time."""
+    import time
+
+    for make in (lambda n: "<b>" * n + "</i>" * n, lambda n: "<i><p>" + "<b>" * n + "</i>" * n, lambda n: "<p>" + "<b>" * n + "<li>x" * n):
+        took = []
+        for n in (2_000, 32_000):
+            start = time.process_time()
+            main_text(make(n))
+            took.append(time.process_time() - start)
+        assert took[1] < 80 * max(took[0], 0.01)
