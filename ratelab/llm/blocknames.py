@@ -30,17 +30,21 @@ def name_contents(df: DataFrame, content: list[str], row: list[str], carried: li
     the content's place in it, so two contents never share one. A content with
     over 1 / HOT_SHARE of all rows (fewer than HOT_SHARE such contents exist)
     is named from a broadcast list of them, and its rows are spread evenly.
+    The result is stored.
     """
-    counts = scratch.keep(df.groupBy(F.xxhash64(*content).alias("hash")).count(), f"counts{level}")
+    # Contents are made and hashed once; the counts read the hashes alone.
+    contents = f"contents{level}"
+    df = scratch.keep(df.withColumn("hash", F.xxhash64(*content)), contents)
+    counts = scratch.keep(df.groupBy("hash").count(), f"counts{level}")
     total = counts.agg(F.sum("count")).first()[0] or 0
     limit = max(total // HOT_SHARE, 1)
     heavy = [r["hash"] for r in counts.filter(F.col("count") > limit).select("hash").collect()]
-    bucket = F.pmod(F.xxhash64(*content), F.lit(_BUCKETS))
+    bucket = F.pmod("hash", F.lit(_BUCKETS))
     hot_name = F.lit(None).cast("long")
     if heavy:
         # The hash narrows the search; the count on contents proves the bound.
         found = (
-            df.filter(F.xxhash64(*content).isin(heavy))
+            df.filter(F.col("hash").isin(heavy))
             .groupBy(*content).count().filter(F.col("count") > limit)
             .select(*content, (-F.row_number().over(Window.orderBy(*content))).cast("long").alias("hot"))
         )
@@ -49,12 +53,15 @@ def name_contents(df: DataFrame, content: list[str], row: list[str], carried: li
         bucket = F.when(hot_name.isNull(), bucket).otherwise(F.pmod(F.xxhash64(*row), F.lit(_BUCKETS)))
     content_or_null = [F.when(hot_name.isNull(), F.col(c)).alias(c) for c in content]
     place = F.dense_rank().over(Window.partitionBy("bucket").orderBy(*content))
-    return df.select(
+    named = df.select(
         *row, *carried, *content_or_null, hot_name.alias("hot_name"), bucket.cast("long").alias("bucket")
     ).select(
         *row, *carried,
         F.coalesce("hot_name", F.shiftleft("bucket", 32) + place.cast("long")).alias("name"),
     )
+    named = scratch.keep(named, f"names{level}")
+    scratch.drop(contents)
+    return named
 
 
 def name_texts(
@@ -82,7 +89,7 @@ def name_texts(
         *[F.when(F.col("pos") == 0, F.col(c)).alias(c) for c in fixed if c != "blocks"],
     )
     carried = [c for c in pieces.columns if c not in ("row", "pos", "block")]
-    level = scratch.keep(name_contents(pieces, ["block"], ["row", "pos"], carried, scratch, 0), "names0")
+    level = name_contents(pieces, ["block"], ["row", "pos"], carried, scratch, 0)
     first = level.filter("pos = 0")
     done = first.filter("blocks = 1").select("row", "name")
     names = level.filter("blocks > 1").select("row", "pos", F.col("blocks").alias("width"), "name")
@@ -96,7 +103,7 @@ def name_texts(
             # No content is ever named 0: it stands for a missing right half.
             F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(0)).alias("right"),
         )
-        level = scratch.keep(name_contents(pairs, ["left", "right"], ["row", "pos"], ["width"], scratch, step), f"names{step}")
+        level = name_contents(pairs, ["left", "right"], ["row", "pos"], ["width"], scratch, step)
         done = done.unionByName(level.filter("width = 1").select("row", "name"))
         names = level.filter("width > 1")
         widest = -(-widest // 2)
