@@ -13,7 +13,9 @@ from checks.derived import BASE
 DATA_QUERIES = [
     name
     for name in registry.ORACLES
-    if not name.startswith(("poisson", "nb_", "profile", "sequential", "pearson", "adjustment", "aic"))
+    if not name.startswith(
+        ("poisson", "nb_", "profile", "sequential", "pearson", "adjustment", "aic", "mixed", "collapsed", "year_")
+    )
 ]
 
 
@@ -43,7 +45,13 @@ def test_matches_sql(spark, con, sf_dir, name):
     assert ok, note
 
 
-@pytest.mark.parametrize("name", ["poisson_adjusted_error", "nb_adjusted", "profile_limits", "adjustment_comparison"])
+@pytest.mark.parametrize(
+    "name",
+    [
+        "poisson_adjusted_error", "nb_adjusted", "profile_limits", "adjustment_comparison", "mixed_intercept_poisson_season",
+        "mixed_intercept_nb", "mixed_intercept_gaussian", "collapsed_nb_admits", "year_nb_borough", "nb_absorbed_practice",
+    ],
+)
 def test_models_match_sql(spark, name):
     larger = "/root/testdata/sf0.01"
     ok, note = compare(spark, connect(larger), larger, name)
