@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,6 +31,9 @@ FAN = 64  # matrices combined in one group
 FLOOR = -1_000_000.0
 UNKNOWN = -10.0  # below the lowest score
 _MEMO = 500_000
+_TOGETHER = 1 << 18  # characters of texts whose new units are learnt in one go
+_LETTER = 1 << 31  # marks a code point among ids
+_SHORT = 48  # characters of a unit that is learnt with others
 _SPACE = "▁"
 _UNIT = re.compile(f"{_SPACE}*[^{_SPACE}]+|{_SPACE}+")
 _NEVER = float("-inf")
@@ -47,13 +52,19 @@ class Pieces:
         self.id = {self.text[i]: i for i in plain}
         self.score = {self.text[i]: max(model.get_score(i), FLOOR) for i in plain}
         self.unknown = min(self.score.values()) + UNKNOWN
+        # Scores of pieces, and None for what only begins some piece: a search ends where neither goes on.
+        self.begun: dict[str, float | None] = dict.fromkeys(p[:i] for p in self.id for i in range(1, len(p)))
+        self.begun.update(self.score)
         self.byte = {int(t[1:-1], 16): i for i, t in enumerate(self.text) if model.is_byte(i)}
         self.byte_of = {i: b for b, i in self.byte.items()}
         self.unk_id = model.unk_id()
         self.longest = max(map(len, self.id))
         # No piece goes on after a space that follows other characters: every text can be cut there.
         self.cuts = not any(_SPACE in p.lstrip(_SPACE) for p in self.id)
-        self._known: dict[str, tuple[float, bytes, bool]] = {}
+        self.spelt = [bytes([self.byte_of[i]]) if i in self.byte_of else t.encode() for i, t in enumerate(self.text)]
+        self._ids: dict[str, bytes] = {}
+        self._sum: dict[str, float] = {}
+        self._trie()
 
     def ids(self, piece: str) -> list[int]:
         if piece in self.id:
@@ -64,17 +75,23 @@ class Pieces:
         """Best sums to positions of ``s`` by pieces that start before ``n``, and where the last piece starts (-1: entered there)."""
         best = entry[: len(s) + 1] + [_NEVER] * (len(s) + 1 - len(entry))
         back = [-1] * len(best)
-        score, longest = self.score, self.longest
-        for b in range(min(n, len(s))):
+        begun, unknown, end = self.begun, self.unknown, len(s)
+        for b in range(min(n, end)):
             at = best[b]
             if at == _NEVER:
                 continue
-            for e in range(b + 1, min(b + longest, len(s)) + 1):
-                w = score.get(s[b:e])
+            e = b + 1
+            w = begun.get(s[b:e])
+            total = at + (unknown if w is None else w)
+            if total > best[e]:
+                best[e], back[e] = total, b
+            while e < end:
+                e += 1
+                w = begun.get(s[b:e], 0.0)
                 if w is None:
-                    if e > b + 1:
-                        continue
-                    w = self.unknown
+                    continue
+                if w == 0.0 and s[b:e] not in begun:
+                    break
                 if at + w > best[e]:
                     best[e], back[e] = at + w, b
         return best, back
@@ -85,26 +102,111 @@ class Pieces:
         while back[end] >= 0:
             found.append(s[back[end] : end])
             end = back[end]
-        return end, np.array([i for p in reversed(found) for i in self.ids(p)], "<u4").tobytes()
+        return end, array("I", [i for p in reversed(found) for i in self.ids(p)]).tobytes()
 
-    def unit(self, s: str) -> tuple[float, bytes, bool]:
-        """Best sum and ids of a text without an inner cut, and whether they decode to it; remembered."""
-        if s not in self._known:
-            if len(self._known) > _MEMO:
-                self._known.clear()
+    def unit(self, s: str) -> tuple[float, bytes]:
+        """Best sum and ids of a text without an inner cut; remembered."""
+        if s not in self._ids:
             best, back = self.forward(s, len(s), [0.0])
-            ids = self.trace(s, back, len(s))[1]
-            self._known[s] = best[-1], ids, self.decode(np.frombuffer(ids, "<u4").tolist()) == s
-        return self._known[s]
+            self._sum[s], self._ids[s] = best[-1], self.trace(s, back, len(s))[1]
+        return self._sum[s], self._ids[s]
+
+    def _forget(self) -> None:
+        if len(self._ids) > _MEMO:
+            self._ids.clear()
+            self._sum.clear()
+
+    def _trie(self) -> None:
+        """``begun`` as arrays: a node per beginning of a piece, its children by (node, letter)."""
+        nodes = ["", *self.begun]
+        number = {x: i for i, x in enumerate(nodes)}
+        letters = sorted({c for p in self.id for c in p})
+        self.letter = np.zeros(0x110000, np.int64)  # 0: in no piece
+        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.wide = len(letters) + 1
+        steps = np.array([number[x[:-1]] * self.wide + self.letter[ord(x[-1])] for x in nodes[1:]])
+        order = np.argsort(steps)
+        self.steps, self.child = steps[order], order + 1
+        self.node_score = np.array([_NEVER if self.begun.get(x) is None else self.begun[x] for x in nodes])
+        self.node_id = np.array([self.id.get(x, -1) for x in nodes], np.int64)
+
+    def learn(self, units: list[str]) -> None:
+        """Remember ``unit`` of many short distinct texts: ``forward`` and ``trace`` on all of them side by side."""
+        units = sorted(units, key=len, reverse=True)
+        size = np.array([len(u) for u in units])
+        n, most = len(units), int(size[0])
+        letters = np.array(units, f"<U{most}").view(np.uint32).reshape(n, most)
+        text = self.letter[letters]
+        best = np.full((n, most + 1), _NEVER)
+        best[:, 0] = 0.0
+        back, last = np.zeros((n, most + 1), np.int64), np.full((n, most + 1), -1, np.int64)
+        for b in range(most):
+            row = np.arange(np.searchsorted(-size, -b))  # those longer than b
+            at, node = best[: len(row), b], np.zeros(len(row), np.int64)
+            lone = np.ones(len(row), bool)
+            for e in range(b + 1, min(b + self.longest, most) + 1):
+                inside = np.searchsorted(row, np.searchsorted(-size, -(e - 1)))
+                row, node = row[:inside], node[:inside]
+                key = node * self.wide + text[row, e - 1]
+                place = np.minimum(np.searchsorted(self.steps, key), len(self.steps) - 1)
+                on = np.flatnonzero(self.steps[place] == key)
+                row, node = row[on], self.child[place[on]]
+                if not len(row):
+                    break
+                w = self.node_score[node]
+                if e == b + 1:
+                    lone[row[w > _NEVER]] = False
+                total = at[row] + w
+                up = np.flatnonzero(total > best[row, e])
+                own = row[up]
+                best[own, e], back[own, e], last[own, e] = total[up], b, self.node_id[node[up]]
+            own = np.flatnonzero(lone)  # their next letter is no piece
+            total = at[own] + self.unknown
+            up = np.flatnonzero(total > best[own, b + 1])
+            best[own[up], b + 1], back[own[up], b + 1], last[own[up], b + 1] = total[up], b, -1
+        ids, free = np.zeros((n, most), "<u4"), np.full(n, most)
+        row, end, plain = np.arange(n), size.copy(), np.ones(n, bool)
+        while len(row):
+            found = last[row, end[row]]
+            plain[row[found < 0]] = False
+            free[row] -= 1
+            ids[row, free[row]] = np.where(found < 0, _LETTER + letters[row, end[row] - 1], found)
+            end[row] = back[row, end[row]]
+            row = row[end[row] > 0]
+        self._sum.update(zip(units, best[np.arange(n), size].tolist()))
+        for u, own, at, ok in zip(units, ids, free.tolist(), plain.tolist()):
+            found = own[at:]
+            if not ok:  # characters that are no piece become bytes
+                found = np.array([j for i in found.tolist() for j in ([i] if i < _LETTER else self.ids(chr(i - _LETTER)))], "<u4")
+            self._ids[u] = found.tobytes()
+
+    def whole_all(self, texts: Iterable[str]) -> Iterator[tuple[bytes, bool]]:
+        """``whole`` of each text, the new units of some texts learnt together."""
+        waiting: list[tuple[str, list[str]]] = []
+        size = 0
+        for s in chain(texts, [None]):
+            if s is not None:
+                waiting.append((s, self.units(s)))
+                size += len(s)
+            if s is None or size > _TOGETHER:
+                self._forget()
+                new = set(chain.from_iterable(units for _, units in waiting)).difference(self._ids)
+                short = [u for u in new if len(u) <= _SHORT]
+                if short:
+                    self.learn(short)
+                for u in new.difference(short):
+                    self.unit(u)
+                for own, units in waiting:
+                    yield self.whole(own, units)
+                waiting, size = [], 0
 
     def units(self, s: str) -> list[str]:
         return _UNIT.findall(s) if self.cuts else [s]
 
-    def whole(self, s: str) -> tuple[bytes, bool]:
-        """Ids of a text, and whether they decode to it: they do if those of all units do."""
-        known = self._known.get
-        found = [known(u) or self.unit(u) for u in self.units(s)]
-        return b"".join([x[1] for x in found]), all([x[2] for x in found])
+    def whole(self, s: str, units: list[str]) -> tuple[bytes, bool]:
+        """Ids of a text whose units are remembered, and whether they decode to it."""
+        ids = b"".join(map(self._ids.__getitem__, units))
+        return ids, self.decode(np.frombuffer(ids, "<u4").tolist()) == s
 
     def parts(self, s: str, n: int) -> tuple[int, list[str], int] | None:
         """First cut, units up to the last cut, last cut among positions 0 < p <= n; None without cuts."""
@@ -118,6 +220,7 @@ class Pieces:
 
     def transfer(self, s: str, n: int) -> np.ndarray:
         """Best sums from each state at a chunk's start to each state at its end; ``s`` reaches beyond ``n``."""
+        self._forget()
         m = np.full((self.longest, self.longest), _NEVER)
         cut = self.parts(s, n)
         for i in range(min(self.longest, n + 1)):
@@ -155,6 +258,7 @@ class Pieces:
         """Ids of the best path from state ``start`` to state ``end``."""
         if start > n:
             return b""
+        self._forget()
         entry = [_NEVER] * start + [0.0]
         cut = self.parts(s, n)
         if not cut or start > cut[0]:
@@ -166,10 +270,7 @@ class Pieces:
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids with its spaces still as the marker; bytes that are no UTF-8 become replacement characters."""
-        out: list[bytes] = []
-        for i in ids:
-            out.append(bytes([self.byte_of[i]]) if i in self.byte_of else self.text[i].encode())
-        return b"".join(out).decode("utf-8", "replace")
+        return b"".join(map(self.spelt.__getitem__, ids)).decode("utf-8", "replace")
 
 
 def pieces(path: str) -> Pieces:
@@ -224,7 +325,7 @@ def state_vectors(matrices: DataFrame, last: int, size: int, scratch: Scratch, n
     vectors = levels[-1].select("row", F.lit(0).cast("long").alias("k"), start.alias("before")).distinct()
     for height in reversed(range(len(levels))):
         level, group = levels[height], F.floor(F.col("k") / FAN)
-        joined = level.withColumn("g", group).join(vectors.withColumnRenamed("k", "g"), ["row", "g"])
+        joined = level.withColumn("g", group).join(vectors.withColumnRenamed("k", "g").hint("merge"), ["row", "g"])
         found = joined.groupBy("row", "g").applyInPandas(down, "row long, k long, v array<double>")
         vectors = scratch.keep(found, f"{name}_down{height}").withColumnRenamed("v", "before")
     return vectors.select("row", "k", F.col("before").alias("v"))
@@ -250,7 +351,7 @@ def encode_texts(docs: DataFrame, scratch: Scratch, model: str, row: str, text:
     @F.pandas_udf("struct<ids: binary, spelt_right: boolean>")
     def whole(texts: pd.Series) -> pd.DataFrame:
         own = pieces(model)
-        found = [own.whole(marked(t)) for t in texts]
+        found = list(own.whole_all(map(marked, texts)))
         # The marker in a text comes back as a space.
         right = [ok and _SPACE not in t for (_, ok), t in zip(found, texts)]
         return pd.DataFrame({"ids": [x[0] for x in found], "spelt_right": right})
@@ -292,7 +393,7 @@ def encode_chunks(cut: DataFrame, scratch: Scratch, model: str, chunk: int) -> D
             yield pd.DataFrame({"row": b["row"], "k": b["left"], "m": made})
 
     # Back from the end, where no piece reaches over: the same scan on the chunks in falling order.
-    backward = chunks.join(values, ["row", "k"]).select("row", "left", "s", "n", "v").mapInPandas(origins, "row long, k long, m array<double>")
+    backward = chunks.join(values.hint("merge"), ["row", "k"]).select("row", "left", "s", "n", "v").mapInPandas(origins, "row long, k long, m array<double>")
     ends = state_vectors(scratch.keep(backward, "origins"), most, reach, scratch, "backward")
     state = F.array_position("v", F.lit(0.0)) - 1  # one state is left
     ends = ends.select("row", F.col("k").alias("left"), state.alias("end"))
@@ -307,7 +408,7 @@ def encode_chunks(cut: DataFrame, scratch: Scratch, model: str, chunk: int) -> D
                 right.append(own.decode(np.frombuffer(ids[-1], "<u4").tolist()) == s[int(i) : n + int(j)])
             yield pd.DataFrame({"row": b["row"], "k": b["k"], "ids": ids, "spelt_right": right})
 
-    known = chunks.join(ends, ["row", "left"]).join(starts, ["row", "left"], "left").withColumn("start", F.coalesce("start", F.lit(0)))
+    known = chunks.join(ends.hint("merge"), ["row", "left"]).join(starts.hint("merge"), ["row", "left"], "left").withColumn("start", F.coalesce("start", F.lit(0)))
     return known.select("row", "k", "s", "n", "start", "end").mapInPandas(traces, "row long, k long, ids binary, spelt_right boolean")
 
 
@@ -326,12 +427,9 @@ def encode_documents(docs: DataFrame, scratch: Scratch, model: str, doc_id: str
     @F.pandas_udf("struct<n_tokens: long, ids_crc32: long, round_trip: boolean>")
     def whole(texts: pd.Series) -> pd.DataFrame:
         own, out = pieces(model), []
-        for t in texts:
-            if t is None:
-                out.append((0, 0, True))
-                continue
-            ids, ok = own.whole(marked(t))
-            out.append((len(ids) // 4, zlib.crc32(ids), ok and _SPACE not in t))
+        # Long texts come as null: they are chunks elsewhere.
+        for t, (ids, ok) in zip(texts, own.whole_all("" if t is None else marked(t) for t in texts)):
+            out.append((len(ids) // 4, zlib.crc32(ids), t is None or ok and _SPACE not in t))
         return pd.DataFrame(out, columns=["n_tokens", "ids_crc32", "round_trip"])
 
     # One pass: short texts leave their digest, long ones their chunks.
@@ -360,7 +458,7 @@ def encode_documents(docs: DataFrame, scratch: Scratch, model: str, doc_id: str
             crcs.append(crc)
         return pd.DataFrame({"n_tokens": n, "ids_crc32": crcs})
 
-    long = rows.filter("c IS NOT NULL").select("row", "doc_id", "marker").join(joined, "row")
+    long = rows.filter("c IS NOT NULL").select("row", "doc_id", "marker").join(joined.hint("merge"), "row")
     long = long.select("doc_id", digest("parts").alias("d"), "n_chunks", (F.col("round_trip") & ~F.col("marker")).alias("round_trip"))
     return short.unionByName(long.select("doc_id", "d.n_tokens", "d.ids_crc32", "n_chunks", "round_trip"))
 

@@ -95,3 +95,19 @@ def test_matrices_combine_associatively():
     a, b, c = (np.where(rng.random((4, 4)) < 0.3, -np.inf, rng.integers(-9, 9, (4, 4)).astype(float)) for _ in range(3))
     p = maxplus._product
     assert (p([p([a, b]), c]) == p([a, p([b, c])])).all()
+
+
+def test_units_learnt_together_are_those_of_the_plain_search():
+    own = Pieces(MODEL)
+    rows = [t for k in range(300, 340) for t in texts(k)] + ["", " ", "a" * 60, "\x00", "b\x00", "é" * 47]
+    found = list(own.whole_all(map(marked, rows)))
+    assert [np.frombuffer(ids, "<u4").tolist() for ids, _ in found] == [brute(t) for t in rows]
+    assert all(ok for _, ok in found)
+
+
+def test_whole_documents_are_decoded(monkeypatch):
+    # A fault in decoding shows, however the units were remembered.
+    own = Pieces(MODEL)
+    assert [ok for _, ok in own.whole_all(map(marked, ["the end", "of it"]))] == [True, True]
+    own.spelt[own.id["▁it"]] = b"?"
+    assert [ok for _, ok in own.whole_all(map(marked, ["the end", "of it"]))] == [True, False]
