@@ -22,14 +22,15 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class _Memo(dict):
-    """Ids of pieces; asking for an unknown one notes it and gives None."""
-
-    def __init__(self) -> None:
-        self.unknown: set[str] = set()
-
-    def __missing__(self, piece: str) -> None:
-        self.unknown.add(piece)
+def _places(values: list, wanted: object) -> list[int]:
+    """Where ``wanted`` stands in ``values``."""
+    out, at = [], -1
+    try:
+        while True:
+            at = values.index(wanted, at + 1)
+            out.append(at)
+    except ValueError:
+        return out
 
 
 class Encoder:
@@ -49,8 +50,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._spaced = _Memo()  # pieces after a space
-        self._first = _Memo()  # pieces at the start of a text
+        self._spaced: dict[str, bytes] = {}  # pieces after a space
+        self._first: dict[str, bytes] = {}  # pieces at the start of a text
         self._tails: dict[str, bytes] = {"\n": self._plain(["\n"])[0]}
         self._memo = memo
 
@@ -58,42 +59,47 @@ class Encoder:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
-    def _words(self, known: _Memo, lead: str) -> None:
+    def _words(self, known: dict[str, bytes], unknown: set[str], lead: str) -> None:
         """Remember unknown pieces; letters with punctuation after them as the two parts they are cut into."""
-        new, joined, tails = set(), [], set()
-        for x in known.unknown:
-            if not x or x[-1].isspace():
+        new, joined, also, tails = [], [], set(), set()
+        for x in unknown:
+            if x[-1:] not in _TAIL:
+                if not x[-1].isspace():
+                    new.append(x)
                 continue
             word = x.rstrip(_TAIL)
-            if len(word) == len(x) or not word.isalpha() or not (word.isascii() or word.lower().isalpha()):
-                new.add(x)
+            if not word.isalpha() or not (word.isascii() or word.lower().isalpha()):
+                if x:
+                    new.append(x)
                 continue
             tail = x[len(word) :]
             joined.append((x, word, tail))
-            if word not in known:
-                new.add(word)
+            if word not in known and word not in unknown:
+                also.add(word)
             if tail not in self._tails:
                 tails.add(tail)
-        known.unknown.clear()
-        known.update(zip(new, self._plain([lead + x for x in new])))
+        new += also
+        known.update(zip(new, self._plain([lead + x for x in new] if lead else new)))
         self._tails.update(zip(tails, self._plain(list(tails))))
-        known.update([(x, known[word] + self._tails[tail]) for x, word, tail in joined])
+        for x, word, tail in joined:
+            known[x] = known[word] + self._tails[tail]
 
-    def _learn(self) -> list[str]:
+    def _learn(self, after: set[str], start: set[str]) -> list[str]:
         """Remember what is unknown. Gives the pieces over two lines, which are for this time only."""
         spaced, first = self._spaced, self._first
         lines = []
-        for x in spaced.unknown:
-            head, feed, rest = x.partition("\n")
-            if feed and head and not head[-1].isspace() and rest and not rest[0].isspace() and not rest[-1].isspace():
+        for x in [x for x in after if "\n" in x]:
+            head, _, rest = x.partition("\n")
+            if head and not head[-1].isspace() and rest and not rest[0].isspace() and not rest[-1].isspace():
                 lines.append((x, head, rest))
-        spaced.unknown.difference_update([x for x, _, _ in lines])
-        for _, head, rest in lines:
-            spaced[head], first[rest]  # noted, if unknown
-        self._words(spaced, " ")
-        self._words(first, "")
+                after.remove(x)
+        after.update([head for _, head, _ in lines if head not in spaced])
+        start.update([rest for _, _, rest in lines if rest not in first])
+        self._words(spaced, after, " ")
+        self._words(first, start, "")
         feed = self._tails["\n"]
-        spaced.update([(x, spaced[head] + feed + first[rest]) for x, head, rest in lines])
+        for x, head, rest in lines:
+            spaced[x] = spaced[head] + feed + first[rest]
         return [x for x, _, _ in lines]
 
     def _some(self, parts: list[tuple[str, bool]]) -> list[bytes]:
@@ -105,25 +111,23 @@ class Encoder:
             self._tails = {"\n": self._tails["\n"]}
         cut = [text.split(" ") for text, _ in parts]
         first = [None if after else pieces.pop(0) for (_, after), pieces in zip(parts, cut)]
-        spaced, start = self._spaced.__getitem__, self._first.__getitem__
+        spaced, start = self._spaced.get, self._first.get
         found = [list(map(spaced, pieces)) for pieces in cut]
-        for x in first:
-            if x is not None:
-                start(x)
-        passing = self._learn()
+        # Only the places without ids yet are looked up again.
+        gaps = [_places(own, None) for own in found]
+        new = {pieces[i] for pieces, own in zip(cut, gaps) for i in own}
+        passing = self._learn(new, {x for x in first if x is not None and start(x) is None})
         out = []
-        for (text, after), x, pieces, own in zip(parts, first, cut, found):
-            if None in own:
-                own = list(map(spaced, pieces))
+        for (text, after), x, pieces, own, at in zip(parts, first, cut, found, gaps):
+            for i in at:
+                own[i] = spaced(pieces[i])
             head = b"" if x is None else start(x)
-            if head is None or None in own:
+            if head is None or (at and None in own):
                 out.append(self._plain([" " + text if after else text])[0])
             else:
-                out.append(b"".join([head, *own]))
+                out.append(head + b"".join(own))
         for x in passing:
             del self._spaced[x]
-        self._spaced.unknown.clear()
-        self._first.unknown.clear()
         return out
 
     def encode(self, text: str | None) -> bytes:
