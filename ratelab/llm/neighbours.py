@@ -13,14 +13,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from ratelab.llm.common import attach, parts
 from ratelab.scratch import Scratch
 
-TABLES = 8
-BUCKET = 512  # vectors of a bucket that a further, coarser rotation is to leave, about
-PROBED = 4096  # vectors that a table's probes are to meet, about (all, if fewer)
-MIN_PROBES = 10
+TABLES = 8  # and one more each time the buckets of a table double
+BUCKET = 512  # vectors that further rotations leave in a bucket, about, at most
+PROBED = 4096  # vectors that a table's probes are to meet, about (all, if fewer), at every size
+FILED = 1024  # vectors filed at a time
 SIDE = 4096  # vectors of a bucket scored as one block
 BIN_ROWS = 20_000
 SEED = 1
@@ -56,17 +57,29 @@ def axis_order(turned: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Plan:
-    """Tables for vectors of ``dims`` numbers: ``second`` axes pairs of a further rotation, ``probes`` per query."""
+    """``tables`` for vectors of ``dims`` numbers, and how many buckets (``probes``) a query looks under in each.
+
+    The nearest axis of one rotation names a bucket; beyond BUCKET vectors a
+    bucket, those of further rotations (``second``, then ``more`` axes) join the
+    name. So buckets keep their size, and probes their number, at any ``n``.
+    """
 
     def __init__(self, n: int, dims: int, lift: float | None):
         self.lift = lift  # largest norm, where norms differ
         self.width = 1 << max(0, (dims + (lift is not None) - 1).bit_length())
-        self.second = 0
-        while n > BUCKET * 2 * self.width * max(1, 2 * self.second) and self.second < self.width:
-            self.second = max(2, 2 * self.second)
-        axes = 2 * self.width * max(1, 2 * self.second)
-        wanted = math.ceil(axes * PROBED / max(1, n))
-        self.probes = min(axes, max(MIN_PROBES * max(1, self.second), wanted))
+        self.axes, self.tables, self.more = 2 * self.width, TABLES, []
+        while n > BUCKET * self.axes:
+            if not self.more or self.more[-1] == self.width:
+                self.more.append(1)
+            else:
+                self.more[-1] *= 2
+            self.axes *= 2
+            self.tables += 1
+        self.probes = min(self.axes, max(1, math.ceil(self.axes * PROBED / max(1, n))))
+
+    @property
+    def second(self) -> int:
+        return self.more[0] if self.more else 0
 
     def lifted(self, x: np.ndarray, query: bool) -> np.ndarray:
         """With one more coordinate the largest inner product is the smallest angle, whatever the norms."""
@@ -77,17 +90,15 @@ class Plan:
 
     def codes(self, x: np.ndarray, table: int, probes: int) -> np.ndarray:
         """The ``probes`` nearest buckets of each row in ``table``."""
-        axes = 2 * self.width
-        if not self.second:
-            return axis_order(rotate(x, table, 0, self.width), min(probes, axes))[0]
-        first, far1 = axis_order(rotate(x, table, 0, self.width), min(probes, axes))
-        other, far2 = axis_order(rotate(x, table, 1, self.width)[:, : self.second], min(probes, 2 * self.second))
-        far = (far1[:, :, None] + far2[:, None, :]).reshape(len(x), -1)
-        best = np.argsort(far, axis=1, kind="stable")[:, :probes]
-        return (
-            np.take_along_axis(first, best // other.shape[1], axis=1) * (2 * self.second)
-            + np.take_along_axis(other, best % other.shape[1], axis=1)
-        )
+        code, far = axis_order(rotate(x, table, 0, self.width), min(probes, 2 * self.width))
+        for step, wide in enumerate(self.more, 1):
+            other, behind = axis_order(rotate(x, table, step, self.width)[:, :wide], min(probes, 2 * wide))
+            both = (far[:, :, None] + behind[:, None, :]).reshape(len(x), -1)
+            best = np.argsort(both, axis=1, kind="stable")[:, :probes]
+            own, added = best // other.shape[1], best % other.shape[1]
+            code = np.take_along_axis(code, own, axis=1) * (2 * wide) + np.take_along_axis(other, added, axis=1)
+            far = np.take_along_axis(both, best, axis=1)
+        return code
 
 
 def usable(vector: str) -> Column:
@@ -97,44 +108,42 @@ def usable(vector: str) -> Column:
     return c.isNotNull() & (F.size(c) > 0) & F.coalesce(finite, F.lit(False)) & F.exists(c, lambda x: x != 0)
 
 
-def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
-    """``vector, ids, size`` per distinct vector: the ``keep`` smallest ids and the number of rows.
+def distinct_vectors(rows: DataFrame, keep: int, every: int) -> DataFrame:
+    """``vector, ids, size, asks`` per distinct vector: the ``keep`` smallest ids, the number of rows, any query among them.
 
     Smallest ids are combined in three steps (part of the table, 1,024 parts,
     all), so a vector in a third of all rows never gathers its rows in a task.
     """
-    found = rows.select("vector", F.array("id").alias("ids"), F.lit(1).cast("long").alias("size"), F.shiftright(F.monotonically_increasing_id(), 33).alias("part"))
+    found = rows.select("vector", F.array("id").alias("ids"), F.lit(1).cast("long").alias("size"), (F.col("id") % every == 0).alias("asks"), F.shiftright(F.monotonically_increasing_id(), 33).alias("part"))
     for shift in (0, 10, 62):
         salted = found.withColumn("part", F.shiftright("part", shift))
         found = salted.groupBy("vector", "part").agg(
-            F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, keep).alias("ids"), F.sum("size").alias("size")
+            F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, keep).alias("ids"), F.sum("size").alias("size"),
+            F.max("asks").alias("asks"),
         )
-    return found.select("vector", "ids", "size")
+    return found.select("vector", "ids", "size", "asks")
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), "<f8").reshape(len(column), -1)
+    return np.array(column.to_list(), float)
 
 
 def _filed(vectors: DataFrame, plan_of: dict[int, Plan], query: bool) -> DataFrame:
-    """``dims, tab, code, vid, first, bytes``: one row per table (and probe, for queries) and vector."""
+    """``dims, tab, code, vid``: one row per table (and probe, for queries) and vector."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for dims, own in batch.groupby(batch["vector"].map(len)):
-                x = np.stack(own["vector"].to_list()).astype(float)
-                data = np.array([r.astype("<f8").tobytes() for r in x], object)
                 plan = plan_of[dims]
-                at = plan.lifted(x, query)
-                for t in range(TABLES):
-                    codes = plan.codes(at, t, plan.probes if query else 1)
-                    yield pd.DataFrame({
-                        "dims": dims, "tab": t, "code": codes.ravel(),
-                        "vid": np.repeat(own["vid"].to_numpy(), codes.shape[1]),
-                        "first": np.repeat(own["first"].to_numpy(), codes.shape[1]), "bytes": np.repeat(data, codes.shape[1]),
-                    })
+                for a in range(0, len(own), FILED):
+                    some = own.iloc[a : a + FILED]
+                    at = plan.lifted(_matrix(some["vector"]), query)
+                    for t in range(plan.tables):
+                        codes = plan.codes(at, t, plan.probes if query else 1)
+                        vid = np.repeat(some["vid"].to_numpy(), codes.shape[1])
+                        yield pd.DataFrame({"dims": dims, "tab": t, "code": codes.ravel(), "vid": vid})
 
-    return vectors.select("vid", "first", "vector").mapInPandas(run, "dims int, tab int, code long, vid long, first long, bytes binary")
+    return vectors.select("vid", "vector").mapInPandas(run, "dims int, tab int, code long, vid long")
 
 
 PAIRS = 1 << 16  # pairs scored again at a time
@@ -161,6 +170,70 @@ def nearest_of_block(q: np.ndarray, v: np.ndarray, first: np.ndarray, k: int) ->
     return i, j, score
 
 
+KEY = ["dims", "tab", "code"]
+
+
+def _met(index: DataFrame, probes: DataFrame, vectors: DataFrame, scratch: Scratch, k: int, name: str) -> DataFrame:
+    """``qvid, far, first, vid``: the ``k`` nearest, and more, of the vectors that each query meets.
+
+    ``index`` and ``probes`` (``dims, tab, code, vid``) say who meets whom. A
+    bucket is scored in blocks of SIDE vectors and SIDE queries, each with
+    each; vectors are looked up once for every block they are in.
+    """
+    sizes = index.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
+    asked = probes.groupBy(*KEY).agg(F.count(F.lit(1)).alias("asked"))
+    sizes = sizes.join(asked, KEY).withColumns({
+        "blocks": F.ceil(F.col("n") / SIDE).cast("int"), "turns": F.ceil(F.col("asked") / SIDE).cast("int")
+    })
+    sizes = scratch.keep(sizes, f"{name}_sizes")
+    totals = sizes.agg(F.sum("n"), F.sum("asked"), F.sum(F.col("n") * F.col("turns") + F.col("asked") * F.col("blocks"))).first()
+    n_index, n_asked, n_copies = (int(x or 0) for x in totals)
+    part = lambda c: F.pmod(F.xxhash64("vid"), c).cast("int")
+    every_one = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    there = attach(index, sizes, KEY, "n", n_index).withColumn("block", part("blocks")).withColumn("turn", every_one("turns"))
+    here = attach(probes, sizes, KEY, "asked", n_asked).withColumn("turn", part("turns")).withColumn("block", every_one("blocks"))
+    columns = [*KEY, "block", "turn", "vid"]
+    both = there.select(*columns, F.lit(False).alias("asks")).unionByName(here.select(*columns, F.lit(True).alias("asks")))
+    bins = parts(n_copies, BIN_ROWS)
+    both = both.withColumn("bin", F.pmod(F.xxhash64(*KEY, "block", "turn"), F.lit(bins)).cast("int"))
+    # In a bin a vector of several buckets is looked up, and sent, once.
+    both = both.groupBy("bin", "vid").agg(F.collect_list(F.struct(*KEY, "block", "turn", "asks")).alias("places"))
+    both = both.join(vectors.select("vid", "first", "vector"), "vid")
+
+    def score(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.reset_index(drop=True)
+        counts = group["places"].map(len).to_numpy()
+        places = pd.DataFrame([tuple(p.values()) for own in group["places"] for p in own], columns=[*KEY, "block", "turn", "asks"])
+        places["at"] = np.repeat(np.arange(len(group)), counts)
+        vids, first, out = group["vid"].to_numpy(), group["first"].to_numpy(), []
+        for _, own in places.groupby([*KEY, "block", "turn"]):
+            asks, at = own["asks"].to_numpy(bool), own["at"].to_numpy()
+            if asks.all() or not asks.any():
+                continue
+            there, here = at[~asks], at[asks]
+            v = _matrix(group["vector"].iloc[there])
+            for a in range(0, len(here), 1024):
+                some = here[a : a + 1024]
+                i, j, found = nearest_of_block(_matrix(group["vector"].iloc[some]), v, first[there], k)
+                out.append(pd.DataFrame({"qvid": vids[some[i]], "far": -found, "first": first[there[j]], "vid": vids[there[j]]}))
+        if not out:
+            return pd.DataFrame({"qvid": [], "far": [], "first": [], "vid": []})
+        # Equal pairs have equal scores, so a pair met in several tables is one row.
+        best = pd.concat(out).drop_duplicates(["qvid", "vid"]).sort_values(["qvid", "far", "first"])
+        return best.groupby("qvid").head(k)
+
+    return both.groupBy("bin").applyInPandas(score, "qvid long, far double, first long, vid long")
+
+
+def _lists(hits: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """``qvid, list``: the ``k`` nearest rows met, as (far, other); a query that meets nothing is left out."""
+    # At most k rows per query and bin come here.
+    best = hits.groupBy("qvid").agg(F.slice(F.sort_array(F.collect_set(F.struct("far", "first", "vid"))), 1, k).alias("best"))
+    pairs = best.select("qvid", F.explode("best").alias("b")).select("qvid", "b.far", "b.vid")
+    pairs = pairs.join(found.select("vid", "ids"), "vid").select("qvid", "far", F.explode("ids").alias("other"))
+    return pairs.groupBy("qvid").agg(F.slice(F.sort_array(F.collect_list(F.struct("far", "other"))), 1, k).alias("list"))
+
+
 def nearest(
     vectors: DataFrame, scratch: Scratch, k: int = 20, every: int = 20, vec_id: str = "vec_id", embedding: str = "embedding"
 ) -> DataFrame:
@@ -170,65 +243,42 @@ def nearest(
     ids, the query's own row left out. Vectors that are null, empty or zero,
     or hold null or non-finite components, take no part, nor do rows with null
     ids. Vectors of different lengths never meet. Equal vectors are searched
-    once, so a very common one costs no more than a rare one. An empty table
+    once, so a very common one costs no more than a rare one. A query whose
+    probes meet fewer than ``k`` other rows is searched in all rows. An empty table
     gives an empty result; repeated ids are rows of their own. Other columns
     are not read.
     """
-    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("vector"))
+    # Floats stay floats wherever they are stored or sent; doubles are made of them to compute.
+    kind = "array<float>" if vectors.select(embedding).schema[0].dataType == ArrayType(FloatType(), True) else "array<double>"
+    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast(kind).alias("vector"))
     # Grouping takes -0.0 and 0.0 for one value, and so does an inner product.
     rows = scratch.keep(rows.filter(F.col("id").isNotNull() & usable("vector")), "vectors")
-    found = distinct_vectors(rows, k + 1).withColumn("vid", F.monotonically_increasing_id())
+    found = distinct_vectors(rows, k + 1, every).withColumn("vid", F.monotonically_increasing_id())
     # Ties between vectors go to the one with the smallest id, wherever vectors are cut off.
     found = found.withColumn("first", F.element_at("ids", 1))
     found = scratch.keep(found, "distinct")
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
-    stats = found.groupBy(F.size("vector").alias("dims")).agg(F.count(F.lit(1)), F.min(norm), F.max(norm)).collect()
-    plan_of = {dims: Plan(n, dims, high if high > 1.001 * low else None) for dims, n, low, high in stats}
-    queries = rows.filter(F.col("id") % every == 0).select("vector").distinct().join(found, "vector")
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    stats = found.groupBy(F.size("vector").alias("dims")).agg(F.count(F.lit(1)), F.min(norm), F.max(norm), F.sum("size")).collect()
+    plan_of = {dims: Plan(n, dims, high if high > 1.001 * low else None) for dims, n, low, high, _ in stats}
+    queries = found.filter("asks")
     index = scratch.keep(_filed(found, plan_of, False), "index")
-    probes = scratch.keep(_filed(queries.select("vid", "first", "vector"), plan_of, True), "probes")
-
-    # A bucket is scored in blocks of SIDE vectors and SIDE queries: each meets each.
-    key = ["dims", "tab", "code"]
-    sizes = index.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    asked = probes.groupBy(*key).agg(F.count(F.lit(1)).alias("asked"))
-    sizes = sizes.join(asked, key).withColumns({
-        "blocks": F.ceil(F.col("n") / SIDE).cast("int"), "turns": F.ceil(F.col("asked") / SIDE).cast("int")
-    })
-    sizes = scratch.keep(sizes, "sizes")
-    totals = sizes.agg(F.sum("n"), F.sum("asked"), F.sum(F.col("n") * F.col("turns") + F.col("asked") * F.col("blocks"))).first()
-    n_index, n_asked, n_copies = (int(x or 0) for x in totals)
-    part = lambda c: F.pmod(F.xxhash64("vid"), c).cast("int")
-    every_one = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    there = attach(index, sizes, key, "n", n_index).withColumn("block", part("blocks")).withColumn("turn", every_one("turns"))
-    here = attach(probes, sizes, key, "asked", n_asked).withColumn("turn", part("turns")).withColumn("block", every_one("blocks"))
-    columns = [*key, "block", "turn", "vid", "first", "bytes"]
-    both = there.select(*columns, F.lit(False).alias("asks")).unionByName(here.select(*columns, F.lit(True).alias("asks")))
-    both = both.withColumn("bin", F.pmod(F.xxhash64(*key, "block", "turn"), F.lit(parts(n_copies, BIN_ROWS))))
-
-    def score(group: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, own in group.groupby(["dims", "tab", "code", "block", "turn"]):
-            asks = own["asks"].to_numpy()
-            if asks.all() or not asks.any():
-                continue
-            v, vids, first = _matrix(own["bytes"][~asks]), own["vid"].to_numpy()[~asks], own["first"].to_numpy()[~asks]
-            q, qids = _matrix(own["bytes"][asks]), own["vid"].to_numpy()[asks]
-            for at in range(0, len(q), 1024):
-                i, j, found = nearest_of_block(q[at : at + 1024], v, first, k + 1)
-                out.append(pd.DataFrame({"qvid": qids[at + i], "vid": vids[j], "first": first[j], "score": found}))
-        return pd.concat(out) if out else pd.DataFrame({"qvid": [], "vid": [], "first": [], "score": []})
-
-    hits = both.groupBy("bin").applyInPandas(score, "qvid long, vid long, first long, score double")
-    # A query meets at most tables x probes x blocks x (k + 1) vectors here.
-    best = hits.groupBy("qvid").agg(
-        F.slice(F.sort_array(F.collect_set(F.struct((-F.col("score")).alias("far"), "first", "vid"))), 1, k + 1).alias("best")
-    )
-    pairs = best.select("qvid", F.posexplode("best").alias("at", "b")).select("qvid", "b.far", "b.vid")
-    pairs = pairs.join(found.select("vid", "ids"), "vid").select("qvid", "far", F.explode("ids").alias("other"))
+    probes = scratch.keep(_filed(queries, plan_of, True), "probes")
     # k + 1 rows hold the k nearest of every query with this vector, itself left out.
-    lists = pairs.groupBy("qvid").agg(F.slice(F.sort_array(F.collect_list(F.struct("far", "other"))), 1, k + 1).alias("list"))
-    lists = scratch.keep(lists.join(found.select(F.col("vid").alias("qvid"), "vector", "size"), "qvid").select("vector", "size", "list"), "lists")
+    lists = _lists(_met(index, probes, found, scratch, k + 1, "probed"), found, k + 1)
+    lists = queries.select(F.col("vid").alias("qvid"), "vector", "size").join(lists, "qvid", "left")
+    there = F.lit(0)
+    for dims, _, _, _, total in stats:
+        there = F.when(F.size("vector") == dims, F.lit(min(total, k + 1))).otherwise(there)
+    lists = lists.withColumn("short", F.coalesce(F.size("list"), F.lit(0)) < there)
+    lists = scratch.keep(lists, "lists")
+    short = lists.filter("short").select("qvid", "vector", "size")
+    if not short.isEmpty():
+        # Their probes met too few rows: each goes through all vectors of its length, in blocks.
+        whole = lambda of, vid: of.select(F.size("vector").alias("dims"), F.lit(0).alias("tab"), F.lit(0).cast("long").alias("code"), F.col(vid).alias("vid"))
+        again = _met(whole(found, "vid"), whole(short, "qvid"), found, scratch, k + 1, "whole")
+        again = short.join(_lists(again, found, k + 1), "qvid")
+        lists = scratch.keep(lists.filter(~F.col("short")).select(*again.columns).unionByName(again), "completed")
+    lists = lists.select("vector", "size", "list")
     asked = attach(rows.filter(F.col("id") % every == 0), lists, ["vector"], "size", rows.count())
     # One entry of the query's own row goes, not those of other rows with its id.
     mine = F.array_position(F.transform("list", lambda x: x["other"]), F.col("id"))

@@ -116,3 +116,61 @@ def test_ties_in_a_block():
     i, j, score = neighbours.nearest_of_block(q, v, first, 5)
     assert (score == 4).all() and i.tolist() == sorted([0, 1, 2] * 5)
     assert sorted(first[j[:5]].tolist()) == sorted(first[1::2].tolist())[:5]
+
+
+def met_share(x, plan, asked, k=20):
+    """Share of the true ``k`` nearest that the plan's probes meet."""
+    found = [set() for _ in asked]
+    at, from_ = plan.lifted(x, False), plan.lifted(x[asked], True)
+    for t in range(plan.tables):
+        own = plan.codes(at, t, 1)[:, 0]
+        for i, q in enumerate(plan.codes(from_, t, plan.probes)):
+            found[i] |= set(np.flatnonzero(np.isin(own, q)).tolist())
+    hits = 0
+    for i, a in enumerate(asked):
+        s = x @ x[a]
+        s[a] = -np.inf
+        hits += len(set(np.argsort(-s)[:k].tolist()) & found[i])
+    return hits / k / len(asked)
+
+
+@pytest.mark.parametrize("n, rotations", [(60_000, 0), (140_000, 1)])
+def test_recall_with_production_constants(n, rotations):
+    """Random directions, which have no near neighbours, and table vectors with noise."""
+    rng = np.random.default_rng(8)
+    asked = rng.choice(n, 40, replace=False)
+    if not rotations:
+        x = rng.normal(size=(n, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        plan = Plan(n, 64, None)
+        assert plan.probes < plan.axes / 8 and not plan.more
+        assert met_share(x, plan, asked) >= 0.9
+    import pyarrow.parquet as pq
+
+    base = np.array(pq.read_table("/root/testdata/sf0.1/embeddings.parquet")["embedding"].to_pylist())
+    x = base[rng.integers(0, len(base), n)]
+    x = x + rng.normal(size=x.shape) * 0.3 * np.linalg.norm(x, axis=1, keepdims=True) / x.shape[1] ** 0.5
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    plan = Plan(n, x.shape[1], None)
+    assert len(plan.more) == rotations and plan.probes < plan.axes / 8
+    assert met_share(x, plan, asked) >= 0.9
+
+
+def test_probes_stay_as_many_at_any_size():
+    plans = [Plan(10**e, 64, None) for e in range(5, 12)]
+    assert max(p.probes for p in plans) <= 2 * neighbours.PROBED / neighbours.BUCKET
+    assert all(p.axes * neighbours.BUCKET >= 10**e for e, p in zip(range(5, 12), plans))
+    assert max(p.tables for p in plans) < 40
+
+
+def test_queries_that_meet_too_few_rows_are_searched_in_all(spark, scratch, monkeypatch):
+    monkeypatch.setattr(neighbours, "TABLES", 1)
+    monkeypatch.setattr(neighbours, "PROBED", 1)
+    monkeypatch.setattr(neighbours, "SIDE", 50)
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(y) for y in np.float32(rng.normal(size=8) * rng.uniform(0.5, 2))]) for i in range(300)]
+    lists = {}
+    for r in sorted(nearest(frame(spark, rows), scratch, k=290, every=7).collect(), key=lambda r: (r.query_id, r.rank)):
+        lists.setdefault(r.query_id, []).append(r.vec_id)
+    want = brute(rows, 290, 7)
+    assert lists == {i: [j for j, _ in own] for i, (own,) in want.items()}
