@@ -7,11 +7,15 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+
 _CHUNK = 1 << 21  # characters of a text encoded at once
 _TOGETHER = 1 << 18  # characters of texts encoded in one call
 _MEMO = 600_000  # pieces of a kind a worker remembers, about
+_LINE = 256  # unknown words encoded as one text
 _TAIL = ".,:;!?*%$#&|"  # punctuation after letters
 _CUT = re.compile(r"(?<=\S) ")
+_SPACE = "\u0120"  # how byte-level vocabularies write a space
 _loaded: dict[str, "Encoder"] = {}
 
 
@@ -22,6 +26,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _letters(word: str) -> bool:
+    """Whether both kinds of vocabulary take ``word`` for one run of letters."""
+    return word.isalpha() and (word.isascii() or word.lower().isalpha())
+
+
 def _places(values: list, wanted: object) -> list[int]:
     """Where ``wanted`` stands in ``values``."""
     out, at = [], -1
@@ -42,7 +51,10 @@ class Encoder:
     between letters and the punctuation after them. A text cut there gives the
     same ids piece by piece. Pieces recur, so each is encoded by the library
     once and remembered. A piece that ends in white space, or is empty, is
-    never remembered; its text is given to the library whole.
+    never remembered; its text is given to the library whole. Unknown words of
+    letters go to the library as lines of words, and ids that only start or
+    only end a word tell where each one's ids are; a line whose words cannot
+    be told apart so is encoded word by word.
     """
 
     def __init__(self, path: str, memo: int = _MEMO):
@@ -54,21 +66,56 @@ class Encoder:
         self._first: dict[str, bytes] = {}  # pieces at the start of a text
         self._tails: dict[str, bytes] = {"\n": self._plain(["\n"])[0]}
         self._memo = memo
+        model, vocabulary = self._tokenizer.model, self._tokenizer.get_vocab()
+        suffix, unknown = getattr(model, "end_of_word_suffix", None), getattr(model, "unk_token", None)
+        self._by_end = bool(suffix)
+        self._edge = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        edge = (lambda x: x.endswith(suffix)) if suffix else (lambda x: x.startswith(_SPACE))
+        self._edge[[i for x, i in vocabulary.items() if edge(x)]] = True
+        feed = np.frombuffer(self._tails["\n"], "<u4")
+        self._feed = int(feed[0]) if len(feed) == 1 else -1
+        self._unknown = vocabulary.get(unknown) if unknown else None
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
+    def _lines(self, words: list[str], lead: str) -> list[bytes]:
+        """Ids of words of letters, each as if ``lead`` stood before it."""
+        fed = not lead and not self._by_end  # a line feed takes the place of the space that would join the next word
+        lines = [words[i : i + _LINE] for i in range(0, len(words), _LINE)]
+        joined = [lead + ("\n" if fed else " ").join(x) for x in lines]
+        out = []
+        for line, x in zip(lines, self._tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+            ids = np.array(x.ids, "<u4")
+            edges = np.flatnonzero(ids == self._feed if fed else self._edge[ids])
+            if fed:
+                starts, ends = [0, *(edges + 1)], [*edges, len(ids)]
+            elif self._by_end:
+                starts, ends = [0, *(edges[:-1] + 1)], edges + 1
+            else:
+                starts, ends = edges, [*edges[1:], len(ids)]
+            # Each word has one edge at least: as many edges as words are one each.
+            if len(starts) != len(line) or not len(ids) or starts[0] != 0 or ends[-1] != len(ids) or (ids == self._unknown).any():
+                out += self._plain([lead + word for word in line])
+                continue
+            data = ids.tobytes()
+            out += [data[4 * a : 4 * b] for a, b in zip(map(int, starts), map(int, ends))]
+        return out
+
     def _words(self, known: dict[str, bytes], unknown: set[str], lead: str) -> None:
         """Remember unknown pieces; letters with punctuation after them as the two parts they are cut into."""
-        new, joined, also, tails = [], [], set(), set()
+        new, plain, joined, also, tails = [], [], [], set(), set()
         for x in unknown:
+            if _letters(x):
+                plain.append(x)
+                continue
             if x[-1:] not in _TAIL:
                 if not x[-1].isspace():
                     new.append(x)
                 continue
             word = x.rstrip(_TAIL)
-            if not word.isalpha() or not (word.isascii() or word.lower().isalpha()):
+            if not _letters(word):
                 if x:
                     new.append(x)
                 continue
@@ -78,7 +125,8 @@ class Encoder:
                 also.add(word)
             if tail not in self._tails:
                 tails.add(tail)
-        new += also
+        plain += also
+        known.update(zip(plain, self._lines(plain, lead)))
         known.update(zip(new, self._plain([lead + x for x in new] if lead else new)))
         self._tails.update(zip(tails, self._plain(list(tails))))
         for x, word, tail in joined:

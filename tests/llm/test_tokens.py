@@ -163,3 +163,17 @@ def test_packed_sequences_hold_the_ids(spark, scratch):
 def test_slots_of_equal_lengths():
     where = slots([([(3, 2), (1, 1)], 5), ([(3, 1)], 2)])
     assert where.to_dict("list") == {"length": [1, 3, 3], "first": [0, 0, 10], "copies": [1, 2, 1], "sequence": [0, 0, 5], "offset": [6, 0, 0]}
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_lines_of_words_give_each_word_its_ids(name, monkeypatch):
+    from ratelab.llm import encoding
+
+    monkeypatch.setattr(encoding, "_LINE", 3)
+    words = ["İstanbul", "ǅ", "ﬁne", "ſ", "ª", "ẞ", "ŉ", "ΐ", "क़", "各位", "كتاب", "ไทย", "x", "Unbelievable", "a" * 500, "naïve", "𝒜"]
+    own = encoding.Encoder(encoding.vocabulary(name))
+    for lead in (" ", ""):
+        got = own._lines(words, lead)
+        assert got == [own._plain([lead + w])[0] for w in words]
+    for text in (" ".join(words * 3), "\n".join(words), ", ".join(words)):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == own._tokenizer.encode(text, add_special_tokens=False).ids
