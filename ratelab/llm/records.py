@@ -61,8 +61,9 @@ def write_records(docs: DataFrame, path: str, vocabulary: str, doc_id: str = "do
     """Encode every row and write its record; rows are in order of ids, null ids first, repeated ones by row.
 
     Spark's own writer writes the files, so a lost or repeated task leaves
-    neither parts nor doubles, in any store that Spark can reach. Files are
-    bounded by ``file_text`` bytes of text or one document.
+    neither parts nor doubles, in any store that Spark can reach. Files hold
+    ``file_text`` bytes of text on average; ranges balance rows, so files of
+    long documents are larger than others.
     """
     row = fresh(docs, "row")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
