@@ -14,42 +14,11 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ratelab.operators.cells import CODED, LINK_KEYS, Codes, PatientTables, event_rule, members
-from ratelab.operators.membership import window_range
-from ratelab.sources.calendar import Calendar
+from ratelab.operators.membership import people_in_ranges, window_range
 
 CELL = [c for c in CODED if c != "month_no"]
 
 
-def _segments(df: DataFrame, calendar: Calendar, keys: list[str], name: str) -> DataFrame:
-    """Disjoint ranges of windows per person and ``keys``, with the number of membership rows over each.
-
-    Equal ranges are counted before the one shuffle, by person.
-    """
-    first, last = window_range(calendar, F.col("period_start"), F.col("effective_end"))
-    ranges = df.filter(F.col("patient").isNotNull()).select("patient", *keys, first.alias("first"), last.alias("last"))
-    counted = ranges.filter("first <= last").groupBy("patient", *keys, "first", "last").agg(F.count(F.lit(1)).alias("n"))
-    changes = counted.repartition("patient").select("patient", *keys, F.expr("inline(array(struct(first AS at, n AS d), struct(last + 1 AS at, -n AS d)))"))
-    changes = changes.groupBy("patient", *keys, "at").agg(F.sum("d").alias("d"))
-    order = Window.partitionBy("patient", *keys).orderBy("at")
-    return changes.select(
-        "patient", *keys, F.col("at").alias(f"from_{name}"), (F.lead("at").over(order) - 1).alias(f"to_{name}"),
-        F.sum("d").over(order).alias(f"n_{name}"),
-    ).filter(F.col(f"n_{name}") > 0)
-
-
-def _lasting(t: PatientTables, codes: Codes) -> DataFrame:
-    """Ranges of windows in which a person is in a cell, with the number of membership combinations."""
-    practice, profile, residence = members(t, codes)
-    place = _segments(practice, t.calendar, ["place"], "a")
-    person = _segments(profile, t.calendar, ["age_band", "sex"], "b")
-    area = _segments(residence, t.calendar, ["area"], "c")
-    joined = place.join(person, "patient").join(area, "patient")
-    return joined.select(
-        "patient", *CELL, F.greatest("from_a", "from_b", "from_c").alias("first"), F.least("to_a", "to_b", "to_c").alias("last"),
-        (F.col("n_a") * F.col("n_b") * F.col("n_c")).alias("copies"),
-    ).filter("first <= last")
-
-
 def _changes(ranges: DataFrame, amounts: dict[str, Column]) -> DataFrame:
     """``amounts`` coming in at ``first`` and going out after ``last``."""
     come = ranges.select(*CELL, F.col("first").alias("at"), *[a.alias(k) for k, a in amounts.items()])
@@ -73,7 +42,7 @@ def cells_by_changes(t: PatientTables, outcomes: dict[str, Column] | None = None
     if taken := set(outcomes) & {"persons", "at", *CODED, *LINK_KEYS}:
         raise ValueError(f"not a name for an outcome: {sorted(taken)}")
     codes = Codes(t)
-    lasting = _lasting(t, codes)
+    lasting = people_in_ranges(*members(t, codes), calendar)
     when = F.col("episode_start")
     first, last = window_range(calendar, when, when)
     seen = t.encounter.filter((when >= F.lit(calendar.first)) & (when < F.lit(calendar.last)) & F.col("patient").isNotNull())
